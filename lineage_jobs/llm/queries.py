@@ -28,6 +28,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKEN_MODEL), TOKEN_LIMIT)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that holds most of a benchmark item, with that item."""
+    from lineage_jobs.llm.decontamination import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     from lineage_jobs.llm.urls import url_verdicts
@@ -43,6 +50,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents, fit_toxicity(documents, _table(spark, sf_dir, "labels")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every line of every document, and whether the line is kept."""
+    from lineage_jobs.llm.lines import line_duplicates
+
+    return line_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    from lineage_jobs.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document."""
     from lineage_jobs.llm.shards import assign_shards
@@ -65,6 +86,24 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, filed by source, language and thousand; even ids one directory higher."""
+    from lineage_jobs.llm.licenses import license_scan
+
+    folder = F.when(F.col("doc_id") % 2 == 0, F.concat_ws("/", "source", "lang")).otherwise(
+        F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"))
+    )
+    documents = _table(spark, sf_dir, "documents")
+    return license_scan(documents.withColumn("path", F.concat_ws("/", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and its likeness to an edited text's and the next document's."""
+    from lineage_jobs.llm.fingerprints import edit_likeness
+
+    return edit_likeness(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: f for name, f in globals().items() if name.startswith("op") and callable(f)
