@@ -104,10 +104,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the whole pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        name: f for name, f in globals().items() if name.startswith("op") and callable(f)
-    }
+    """Every query of this module: those named opN_... and the pipeline."""
+    return {name: f for name, f in globals().items() if (name.startswith("op") and callable(f)) or name == "pipeline"}
 
 
 OP8_SQL = """
@@ -139,4 +145,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, CAST(NU
 
 def oracle_sql() -> dict[str, str]:
     """OP3_SQL holds for pages without canonical or redirect links, as in the given tables."""
-    return {"op3_url_filter": OP3_SQL, "op8_source_mix": OP8_SQL}
+    import corpus_pipeline
+
+    found = {"op3_url_filter": OP3_SQL, "op8_source_mix": OP8_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
