@@ -25,9 +25,7 @@ BOM = "﻿"
 
 def corpus_read(spark: SparkSession, path: str, pattern: str = "*.{sql,txt,ddl,json}") -> DataFrame:
     """``(path, text)``: one row for each script file below ``path``, read as UTF-8."""
-    files = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
-    )
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

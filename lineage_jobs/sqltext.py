@@ -93,30 +93,24 @@ def _squeeze(name):
     return F.lower(F.regexp_replace(name, r"\s*\.\s*", "."))
 
 
-TARGET = {
-    "insert": rf"(?i)^(?:INSERT|REPLACE)\s++(?:OVERWRITE\s++|INTO\s++|IGNORE\s++)*+(?:LOCAL\s++)?(?:TABLE\s++)?(?:IF\s++NOT\s++EXISTS\s++)?({NAME})(?:\s*+PARTITION\s*+{PAREN})?\s*+(\((?!\s*+SELECT\b)[^()]*+\))?",
-    "create": rf"(?i)^CREATE\b(?:(?!\b(?:TABLE|VIEW)\b)[^(])*+\b(?:TABLE|VIEW)\s++(?:IF\s++NOT\s++EXISTS\s++)?({NAME})\s*+(\([^()]*+\)(?=\s*+AS\b))?",
-    "update": rf"(?i)^UPDATE\s++(?:ONLY\s++)?({NAME})(\b\B)?",
-    "merge": rf"(?i)^MERGE\s++(?:INTO\s++)?({NAME})(\b\B)?",
-    "delete": rf"(?i)^DELETE\s++(?:FROM\s++)?({NAME})(\b\B)?",
-}
+IF_NOT = r"(?:IF\s++NOT\s++EXISTS\s++)?"
+INSERT_HEAD = rf"(?:INSERT|REPLACE)\s++(?:OVERWRITE\s++|INTO\s++|IGNORE\s++)*+(?:LOCAL\s++)?(?:TABLE\s++)?{IF_NOT}"
+CREATE_HEAD = rf"CREATE\b(?:(?!\b(?:TABLE|VIEW)\b)[^(])*+\b(?:TABLE|VIEW)\s++{IF_NOT}"
+WRITTEN = rf"(?i)^(?:{INSERT_HEAD}|{CREATE_HEAD}|UPDATE\s++(?:ONLY\s++)?|MERGE\s++(?:INTO\s++)?|DELETE\s++(?:FROM\s++)?)({NAME})"
+LISTED = rf"(?i)^(?:{INSERT_HEAD}{NAME}(?:\s*+PARTITION\s*+{PAREN})?\s*+\((?!\s*+SELECT\b)([^()]*+)\)|{CREATE_HEAD}{NAME}\s*+\(([^()]*+)\)(?=\s*+AS\b))"
 
 
 def sql_targets(statements: DataFrame) -> DataFrame:
     """``(script_id, stmt_idx, kind, table_name, cols)``: the table that a statement writes, and its explicit columns."""
-    rows = statements.where(F.col("kind").isin(*TARGET))
-    table = reduce(lambda out, k: F.when(F.col("kind") == k, F.regexp_extract("main", TARGET[k], 1)).otherwise(out), TARGET, F.lit(""))
-    cols = reduce(lambda out, k: F.when(F.col("kind") == k, F.regexp_extract("main", TARGET[k], 2)).otherwise(out), TARGET, F.lit(""))
-    return (
-        rows.withColumn("table_name", _squeeze(table))
-        .withColumn("listed", F.regexp_replace(cols, r"^\(|\)$", ""))
-        .where("table_name <> ''")
-        .select(
-            *KEY,
-            "kind",
-            "table_name",
-            F.when(strip(F.col("listed")) != "", F.transform(F.split("listed", ","), lambda c: strip(c))).otherwise(F.array().cast("array<string>")).alias("cols"),
-        )
+    rows = statements.where(F.col("kind").isin("insert", "create", "update", "merge", "delete")).select(
+        *KEY,
+        "kind",
+        _squeeze(F.regexp_extract("main", WRITTEN, 1)).alias("table_name"),
+        F.concat(F.regexp_extract("main", LISTED, 1), F.regexp_extract("main", LISTED, 2)).alias("listed"),
+    )
+    listed = F.transform(F.split("listed", ","), lambda c: strip(c))
+    return rows.where("table_name <> ''").select(
+        *KEY, "kind", "table_name", F.when(strip(F.col("listed")) != "", listed).otherwise(F.array().cast("array<string>")).alias("cols")
     )
 
 
