@@ -10,14 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineage_jobs.runtime import materialize, release
+
 #: Bounds of the sample that the classifier is fitted on: toxic texts, unlabelled texts, and their longest length.
-POSITIVES, UNLABELLED, SAMPLE_CHARS = 3_000, 6_000, 20_000
-#: Features of the model, and texts that a feature must occur in.
-FEATURES, LEAST_TEXTS = 20_000, 3
+POSITIVES, UNLABELLED, SAMPLE_CHARS = 4_000, 16_000, 20_000
+#: Features of the model, toxic texts that a feature must occur in, and how far its rate must stand out.
+FEATURES, LEAST_TEXTS, TELLING = 20_000, 3, 6.0
+#: Least chance that a text with a feature is toxic.
+LEAST_CHANCE = 0.5
 #: Starts of words that count as features beside the words themselves.
 STARTS = (4, 5, 6)
 #: Entries of a worker's cache of word features; longer words aren't kept.
-CACHED, KEPT_CHARS = 200_000, 48
+CACHED, KEPT_CHARS = 100_000, 48
 
 WORD = re.compile(r"\w+")
 
@@ -67,58 +71,38 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))
 
 
-def fit_pu(rows: list[np.ndarray], positive: np.ndarray, width: int, prior: float, rounds: int = 400, rate: float = 0.05, l2: float = 1e-4):
-    """Weights and bias of the non-negative PU risk with the logistic loss, by Adam on the whole sample.
+def fit_pu(rows: list[np.ndarray], positive: np.ndarray, width: int, prior: float, rounds: int = 600, rate: float = 0.05, l2: float = 1e-6):
+    """Weights and bias of the non-negative PU risk, by Adam on the whole sample.
 
-    The risk is ``prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)])``; where the second part falls
-    below zero, its gradient is turned round, so that the model cannot fit the unlabelled texts as all negative.
+    With the sigmoid loss ``loss(z) = 1 / (1 + exp(z))`` the risk is
+    ``prior * E_p[loss(f)] + max(0, E_u[loss(-f)] - prior * E_p[loss(-f)])``; where the second part falls below zero,
+    its gradient is turned round, so that the model cannot fit the unlabelled texts as all negative. The loss is
+    bounded, so a prior that is a little off cannot pull the bias up without end.
     """
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cols = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    w, b = np.zeros(width), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
+    w, b = np.full(width, 0.5), float(np.log(prior / (1 - prior)))
     unlabelled = ~positive
-    np_, nu = max(1, positive.sum()), max(1, unlabelled.sum())
+    n_p, n_u = max(1, positive.sum()), max(1, unlabelled.sum())
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, rounds + 1):
         z = np.bincount(at, w[cols], minlength=len(rows)) + b
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        as_negative = np.logaddexp(0, z)
-        rest = as_negative[unlabelled].sum() / nu - prior * as_negative[positive].sum() / np_
-        of_positive = np.where(positive, prior * (p - 1) / np_, 0.0)
-        of_rest = np.where(positive, -prior * p / np_, p / nu)
+        slope = p * (1 - p)
+        rest = p[unlabelled].sum() / n_u - prior * p[positive].sum() / n_p
+        of_positive = np.where(positive, -prior * slope / n_p, 0.0)
+        of_rest = np.where(positive, -prior * slope / n_p, slope / n_u)
         g = of_positive + of_rest if rest >= 0 else -of_rest
         grad = np.append(np.bincount(cols, g[at], minlength=width) + l2 * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = np.maximum(w - step[:-1], 0.0), b - step[-1]  # only signs of toxicity are features
     return w, b
 
 
-def train(positives: list[list[str]], unlabelled: list[list[str]], prior: float) -> Model:
-    """A model from the words of toxic texts and of unlabelled ones; without toxic texts one that scores the prior."""
-    texts = [*positives, *unlabelled]
-    sets = [{f for w in words for f in word_features(w)} for words in texts]
-    is_positive = np.array([True] * len(positives) + [False] * len(unlabelled), dtype=bool)
-    seen: dict[str, list[int]] = {}
-    for k, found in enumerate(sets):
-        for f in found:
-            seen.setdefault(f, [0, 0])[int(not is_positive[k])] += 1
-    n_p, n_u = max(1, len(positives)), max(1, len(unlabelled))
-
-    def told(f: str) -> float:
-        """How far a feature's rate among the toxic texts lies above its rate in all texts, in standard errors."""
-        p, u = seen[f][0], seen[f][1]
-        base = (u + 1) / (n_u + 2)
-        return (p - n_p * base) / np.sqrt(n_p * base * (1 - base) + 1e-9)
-
-    usable = sorted((f for f in seen if seen[f][0] >= LEAST_TEXTS), key=lambda f: (-told(f), f))
-    chosen = [f for f in usable[:FEATURES] if told(f) > 3]
-    number = {f: k for k, f in enumerate(chosen)}
-    if not positives or not chosen:
-        return Model({}, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), prior)
-    rows = [np.array(sorted(number[f] for f in s if f in number), dtype=np.int64) for s in sets]
-    w, b = fit_pu(rows, is_positive, len(chosen), prior)
-    return Model({f: float(w[k]) for f, k in number.items() if abs(w[k]) > 1e-6}, float(b), prior)
+def blank_model(prior: float) -> Model:
+    """A model without features, which gives every text the prior."""
+    return Model({}, float(np.log(prior / (1 - prior))), prior)
 
 
 def held_out(doc_id):
@@ -126,17 +110,61 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _sample(documents: DataFrame, ids: DataFrame, most: int) -> list[list[str]]:
-    """The words of the texts of up to ``most`` of ``ids``, those with the least hashes of their ids."""
+def _sample(documents: DataFrame, ids: DataFrame, most: int, positive: bool) -> DataFrame:
+    """``(doc_id, text, positive)`` of up to ``most`` of ``ids``, those with the least hashes."""
     chosen = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = documents.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most ``most`` ids
+    return texts.select("doc_id", "text", F.lit(positive).alias("positive"))
+
+
+def telling_features(sample: DataFrame, positives: int, unlabelled: int, prior: float) -> list[str]:
+    """The features that occur oftener in toxic texts than in all: at most :data:`FEATURES`, the most telling first.
+
+    A feature's rate among the toxic texts must lie :data:`TELLING` standard errors above its rate in the unlabelled ones, and
+    a text that has it must be toxic with a chance of :data:`LEAST_CHANCE` or more, by the class prior.
+    """
+
+    def run(batches):
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for text, positive in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for f in {f for w in text_words(text.as_py()) for f in word_features(w)}:
+                    seen.setdefault(f, [0, 0])[not positive] += 1
+            counts = np.array(list(seen.values()), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["feature", "p", "u"])
+
+    counts = (
+        sample.select("text", "positive")
+        .mapInArrow(run, "feature string, p long, u long")
+        .groupBy("feature")
+        .agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    )
+    base = (F.col("u") + 1) / F.lit(float(unlabelled + 2))
+    told = (F.col("p") - positives * base) / F.sqrt(positives * base * (1 - base) + 1e-9)
+    chance = F.lit(prior / positives) * F.col("p") / ((F.col("u") + 1) / F.lit(float(unlabelled + 1)))
+    best = (
+        counts.where(F.col("p") >= LEAST_TEXTS)
+        .withColumn("told", told)
+        .where((F.col("told") > TELLING) & (chance > LEAST_CHANCE))
+    )
+    return [r["feature"] for r in best.orderBy(F.col("told").desc(), "feature").limit(FEATURES).select("feature").collect()]
+
 
-    def words(batches):
+def _rows(sample: DataFrame, features: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The numbers of each sampled text's features, and which texts are toxic."""
+    shared = sample.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(features)})  # at most FEATURES
+
+    def run(batches):
+        number = shared.value
         for batch in batches:
-            got = [sorted(text_words(x.as_py())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.string()))], names=["doc_id", "words"])
+            got = [
+                np.array(sorted({number[f] for w in text_words(t.as_py()) for f in word_features(w) if f in number}), "<i4").tobytes()
+                for t in batch.column(1)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.binary())], names=["doc_id", "positive", "has"])
 
-    return [r["words"] for r in texts.select("doc_id", "text").mapInArrow(words, "doc_id long, words array<string>").orderBy("doc_id").collect()]
+    rows = sample.mapInArrow(run, "doc_id long, positive boolean, has binary").orderBy("positive", "doc_id").collect()
+    return [np.frombuffer(r["has"], "<i4").astype(np.int64) for r in rows], np.array([r["positive"] for r in rows], dtype=bool)
 
 
 def fit_toxicity(
@@ -157,9 +185,18 @@ def fit_toxicity(
         .where(F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("toxic").isNotNull())
     )
     prior = marks.agg(F.avg((F.col("toxic") == 1).cast("double"))).head()[0] or 0.0
-    positives = _sample(docs, marks.where("toxic = 1"), POSITIVES)
-    unlabelled = _sample(docs, docs, UNLABELLED)
-    return train(positives, unlabelled, min(max(prior, 1e-4), 0.9))
+    prior = min(max(prior, 1e-4), 0.9)
+    sample = materialize(
+        _sample(docs, marks.where("toxic = 1"), POSITIVES, True).unionByName(_sample(docs, docs, UNLABELLED, False))
+    )
+    sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
+    features = telling_features(sample, sizes.get(True, 0), sizes.get(False, 0), prior) if sizes.get(True) else []
+    if not features:
+        return blank_model(prior)
+    rows, positive = _rows(sample, features)
+    release(sample)
+    w, b = fit_pu(rows, positive, len(features), prior)
+    return Model({f: float(x) for f, x in zip(features, w, strict=True) if abs(x) > 1e-6}, float(b), prior)
 
 
 def toxicity_scores(documents: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
