@@ -15,7 +15,7 @@ LEAST = 5
 COVERAGE = 0.5
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in blocks of about this size.
 BLOCK_BYTES = 32 << 20
-CACHED = 300_000
+CACHED = 100_000
 
 WORD = re.compile(r"\w+")
 BASE, MIX = np.uint64(0x100000001B3), np.uint64(0xBF58476D1CE4E5B9)
