@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineage_jobs.runtime import strip
+from lineage_jobs.runtime import materialize, strip
 
 LITERAL = r"'(?:[^'\\]++|\\.|'')*+'"
 COMMENT = r"--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
@@ -179,9 +179,12 @@ def sql_blocks(statements: DataFrame, ctes: DataFrame) -> DataFrame:
             items, lambda b, k: F.struct(F.concat(F.lit(letter), k.cast("string")).alias("at"), F.lit(kind).alias("kind"), b.alias("body"))
         )
         children = F.when(several, tag(cleaned, ".u", "branch")).otherwise(F.concat(tag(derived, ".f", "derived"), tag(scalar, ".s", "scalar")))
-        level = level.select(*KEY, F.col("scope_id").alias("parent_scope_id"), F.explode(children).alias("x")).select(
+        below = level.select(*KEY, F.col("scope_id").alias("parent_scope_id"), F.explode(children).alias("x")).select(
             *KEY, F.concat("parent_scope_id", "x.at").alias("scope_id"), "parent_scope_id", "x.kind", _unwrap(F.col("x.body")).alias("body")
         )
+        level = materialize(below)
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out
 
