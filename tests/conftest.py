@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas
 import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
@@ -40,7 +41,7 @@ def duck():
 
 def plain(value):
     """A value as text, equal on both engines."""
-    if value is None or value != value:
+    if pandas.isna(value):
         return "NULL"
     return f"{value:.6g}" if isinstance(value, float) else str(value)
 
