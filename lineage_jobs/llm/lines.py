@@ -1,10 +1,10 @@
-"""Fuzzy line deduplication by MinHash over character shingles, in DataFrame operations only."""
+"""Fuzzy line deduplication by MinHash over all character shingles: signatures and exact comparison in numpy, joins as
+DataFrame operations."""
 
 from __future__ import annotations
 
-import random
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,11 @@ BANDS, ROWS = 10, 3
 LANES = BANDS * ROWS
 #: Lanes that may differ in a pair that is compared in full. At 0.8 they number 6 +- 2.2.
 MAX_APART = 16
-TARGETS = [random.Random(20240611 + k).getrandbits(32) - (1 << 31) for k in range(LANES)]
+#: Each lane mixes a shingle's hash by odd constants of its own, so that lanes are independent of each other.
+FIRST, SECOND = (np.random.default_rng(20240611).integers(0, 1 << 31, (2, LANES)) * 2 + 1).astype(np.uint32)
+MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Characters that are hashed at a time, and names of lines and shingle hashes that a task remembers.
+PIECE, SEEN, CACHED = 1 << 16, 200_000, 2_000_000
 PACKED = [f"p{k}" for k in range(-(-LANES // 4))]
 
 
@@ -46,36 +50,94 @@ def lines_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     )
 
 
-def anchored_shingles(bare):
-    """The shingles that start a word; the whole line where it is shorter than one."""
-    found = F.regexp_extract_all(bare, F.lit(rf"(?s)(?<![^ ])(?=(.{{{CHARS}}}))"), F.lit(1))
-    return F.when(F.length(bare) < CHARS, F.array(bare)).otherwise(found)
+def window_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the windows of ``CHARS`` code points of a text, in order; none for a shorter one."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = max(0, len(codes) - CHARS + 1)
+    h = codes[:n].copy()
+    for k in range(1, CHARS):
+        h *= MULTIPLIER
+        h += codes[k : k + n]
+    h ^= h >> np.uint64(30)
+    h *= MIX
+    h ^= h >> np.uint64(27)
+    return h
 
 
-def all_shingles(bare):
-    """All distinct character shingles of a line; the whole line where it is shorter than one."""
-    found = F.regexp_extract_all(bare, F.lit(rf"(?s)(?=(.{{{CHARS}}}))"), F.lit(1))
-    return F.when(F.length(bare) < CHARS, F.array(bare)).otherwise(F.array_distinct(found))
+def shingle_set(bare: str) -> np.ndarray:
+    """Sorted distinct hashes of all shingles of a line; one for a line that is shorter than a shingle."""
+    import xxhash
 
+    if len(bare) < CHARS:
+        return np.array([xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass"))], np.uint64)
+    return np.unique(window_hashes(bare))
 
-def line_signatures(lines: DataFrame) -> DataFrame:
-    """``(line_id, p0..)``: a row for each distinct bare line, named by its 64-bit hash, with packed 16-bit lanes.
 
-    A lane is the hash nearest to its target, by exclusive or, among the shingles that start a
-    word: an edit breaks the same share of these as of all shingles. The shingles are exploded and brought to
-    minima before the shuffle, which carries a row for each line and task.
+def lane_minima(bare: list[str]) -> np.ndarray:
+    """``(lines, LANES)``: in each lane the least mixed hash of all shingles of a line.
+
+    Lines are joined up to ``PIECE`` characters, longer ones cut into overlapping pieces, so that memory stays bounded.
     """
+    least = np.full((LANES, len(bare)), 0xFFFFFFFF, np.uint32)
+
+    def fold(pieces: list[str], owners: list[int]) -> None:
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(sizes) - sizes
+        h = window_hashes("".join(pieces) + " " * CHARS)
+        h = (h >> np.uint64(32)).astype(np.uint32)
+        cuts = np.stack([starts, starts + sizes - CHARS + 1], axis=1).ravel()  # windows across two pieces count for none
+        at, x, y = np.array(owners), np.empty_like(h), np.empty_like(h)
+        for k in range(LANES):
+            np.multiply(h, FIRST[k], out=x)
+            np.right_shift(x, np.uint32(16), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, SECOND[k], out=x)
+            np.minimum.at(least[k], at, np.minimum.reduceat(x, cuts)[::2])
+
+    pieces, owners, total = [], [], 0
+    for k, line in enumerate(bare):
+        if len(line) < CHARS:
+            h = (shingle_set(line) >> np.uint64(32)).astype(np.uint32) * FIRST
+            least[:, k] = (h ^ (h >> np.uint32(16))) * SECOND
+            continue
+        for start in range(0, len(line) - CHARS + 1, PIECE):
+            pieces.append(line[start : start + PIECE + CHARS - 1])
+            owners.append(k)
+            total += len(pieces[-1])
+            if total >= PIECE:
+                fold(pieces, owners)
+                pieces, owners, total = [], [], 0
+    if pieces:
+        fold(pieces, owners)
+    return least.T
+
+
+def line_signatures(lines: DataFrame) -> DataFrame:
+    """``(line_id, p0.., k0..)``: a row for each distinct bare line, named by its 64-bit hash, with packed 16-bit lanes
+    (see :func:`lane_minima`) and the keys of its bands."""
     bare = lines.select(computed(bare_line(F.col("line"))).alias("bare")).where("bare <> ''")
-    marks = bare.select(F.xxhash64("bare").alias("line_id"), F.explode(anchored_shingles(F.col("bare"))).alias("shingle"))
-    hashed = marks.select("line_id", F.hash("shingle").alias("h"))
-    least = hashed.groupBy("line_id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(t))).alias(f"m{k}") for k, t in enumerate(TARGETS)])
-    low = [F.col(f"m{k}").bitwiseAND(F.lit(0xFFFF)).cast("long") for k in range(LANES)]
-    packed = [
-        reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(lane, 16 * n) for n, lane in enumerate(low[k : k + 4])))
-        for k in range(0, LANES, 4)
-    ]
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]).alias(f"k{b}") for b in range(BANDS)]
-    return least.select("line_id", *[p.alias(n) for n, p in zip(PACKED, packed, strict=True)], *bands)
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            if len(seen) > SEEN:
+                seen.clear()
+            names, texts = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    texts.append(text.as_py())
+            low = np.zeros((len(texts), 4 * len(PACKED)), "<u2")
+            low[:, :LANES] = lane_minima(texts) & np.uint32(0xFFFF)
+            longs = np.ascontiguousarray(low.view("<i8").T)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *map(pa.array, longs)], names=["line_id", *PACKED])
+
+    signed = bare.select(F.xxhash64("bare").alias("line_id"), "bare").mapInArrow(run, ", ".join(f"{c} long" for c in ["line_id", *PACKED]))
+    one = signed.groupBy("line_id").agg(*[F.min(c).alias(c) for c in PACKED])  # equal for equal lines
+    lane = lambda k: F.shiftright(PACKED[k // 4], 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF))
+    bands = [F.xxhash64(F.lit(b), *[lane(b * ROWS + r) for r in range(ROWS)]).alias(f"k{b}") for b in range(BANDS)]
+    return one.select("line_id", *PACKED, *bands)
 
 
 def confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -92,10 +154,30 @@ def confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     )
     side = lambda k: texts.select(F.col("line_id").alias(k), F.col("bare").alias(f"bare_{k}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    sized = both.where(100 * F.least(F.length("bare_a"), F.length("bare_b")) >= (percent - 20) * F.greatest(F.length("bare_a"), F.length("bare_b")))
-    shingled = sized.select("a", "b", computed(F.struct(all_shingles(F.col("bare_a")).alias("a"), all_shingles(F.col("bare_b")).alias("b"))).alias("s"))
-    counted = shingled.select("a", "b", computed(F.struct(F.size("s.a").alias("na"), F.size("s.b").alias("nb"), F.size(F.array_intersect("s.a", "s.b")).alias("common"))).alias("n"))
-    links = materialize(counted.where(f"100 * n.common >= {percent} * (n.na + n.nb - n.common)").select("a", "b"))
+
+    def run(batches):
+        known, held = {}, 0
+        for batch in batches:
+            linked = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sets = []
+                for name, text in (row[:2], row[2:]):
+                    if name not in known:
+                        if held > CACHED:
+                            known, held = {}, 0
+                        known[name] = shingle_set(text)
+                        held += len(known[name])
+                    sets.append(known[name])
+                na, nb = map(len, sets)
+                if 100 * min(na, nb) < percent * max(na, nb):  # then the union alone is too large
+                    continue
+                common = len(np.intersect1d(*sets, assume_unique=True))
+                if 100 * common >= percent * (na + nb - common):
+                    linked.append((row[0], row[2]))
+            columns = list(zip(*linked, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["a", "b"])
+
+    links = materialize(both.select("a", "bare_a", "b", "bare_b").mapInArrow(run, "a long, b long"))
     release(involved, texts)
     return links
 

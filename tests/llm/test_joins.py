@@ -201,3 +201,36 @@ def test_pipeline_stages(spark):
     out = p.sharded(spark, mixed, SMALL)
     rows = out.collect()
     assert len(rows) == mixed.count() and sorted((r["shard"], r["slot"]) for r in rows) == sorted({(r["shard"], r["slot"]) for r in rows})
+
+
+def test_lines_without_words_against_brute_force(spark):
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    path = "".join(rng.choice(letters) for _ in range(180))
+    rows = [f"https://example.org/{path}", f"http://example.org/{path}", "ab" * 40, "ab" * 300, "z" * 3000, "z" * 30, "漢字" * 9, "漢字" * 70]
+    for _ in range(60):  # tokens of 40 to 120 characters with a changed one: likenesses on both sides of the threshold
+        one = [rng.choice(letters) for _ in range(rng.randrange(40, 200))]
+        other = list(one)
+        other[rng.choice([0, 1, 2, 3, 5, 8, len(one) // 2])] = "_"
+        rows += ["".join(one), "".join(other)]
+    long = "".join(rng.choice(letters) for _ in range(150_000))
+    rows += [long, long[:70_000] + "_" + long[70_001:]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    grams = {k: ({t[i : i + 10] for i in range(len(t) - 9)} or {t}) for k, t in enumerate(rows)}
+    want = components(sorted(grams), lambda a, b: 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]))
+    assert want[1] == 0 and want[3] == 2 and want[5] == 4
+    assert {r["doc_id"] for r in lines.line_duplicates(df).where("kept").collect()} == {k for k in want if want[k] == k}
+
+
+def test_line_lanes_are_independent():
+    rng = random.Random(4)
+    lost, apart, trials = 0, [], 3000
+    for _ in range(trials):  # 40 shingles in common and 5 on either side: a likeness of 0.8, in short lines
+        text = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+        shared = text(49)
+        a, b = lines.lane_minima([text(5) + shared, text(5) + shared])
+        same = (a & 0xFFFF) == (b & 0xFFFF)
+        lost += not same.reshape(lines.BANDS, lines.ROWS).all(axis=1).any()
+        apart.append(lines.LANES - same.sum())
+    assert lost <= 10 and 5.7 < sum(apart) / trials < 6.3
+    assert 4.3 < sum((x - 6) ** 2 for x in apart) / trials < 5.4  # binomial: 4.8
