@@ -17,8 +17,9 @@ INDEX_LANES, FILTER_LANES = CHUNKS * LANES_A_CHUNK, FILTER_LONGS * 8
 #: Lanes that may differ in a chunk that finds a pair. By the pigeonhole principle some chunk of a pair has no more
 #: than this if at most ``CHUNKS * (ALLOWED + 1) - 1`` = 15 of the 32 index lanes differ.
 ALLOWED = 1
-#: Lanes of all 128 that may differ. At a similarity of 0.8 they number 25.6 +- 4.5.
-MAX_APART = 48
+#: Lanes of all 128 that may differ. At a similarity of 0.8 they number 25.6 +- 4.5. Sets of fewer than ``SMALL``
+#: shingles are compared in full without this.
+MAX_APART, SMALL = 48, 60
 #: Entries of a worker's cache of word hashes.
 CACHED = 100_000
 
@@ -27,7 +28,8 @@ INDEX = [f"s{k}" for k in range(CHUNKS)]
 CROWD = 8
 #: Sets of either side that are compared in one group.
 BLOCK = 256
-TARGETS = np.random.default_rng(20240611).integers(0, 1 << 64, INDEX_LANES + FILTER_LANES, dtype=np.uint64)
+#: Each lane mixes a shingle's hash by odd constants of its own, so that lanes are independent of each other.
+FIRST, SECOND = np.random.default_rng(20240611).integers(0, 1 << 31, (2, INDEX_LANES + FILTER_LANES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -75,15 +77,19 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The longs of the index lanes and of the filter lanes.
 
-    A lane takes the low bits of the hash nearest to its random target (least exclusive or); every hash of a set is
-    equally likely to be it, so two sets agree in a lane as often as their Jaccard similarity says.
+    A lane takes the low bits of the least of the hashes as the lane mixes them; every hash of a set is equally likely
+    to be it, so two sets agree in a lane as often as their Jaccard similarity says, whatever the other lanes do.
     """
-    least = None
-    for start in range(0, len(hashes), 8192):
-        block = (hashes[None, start : start + 8192] ^ TARGETS[:, None]).min(axis=1)
-        least = block if least is None else np.minimum(least, block)
-    index = (least[:INDEX_LANES] & np.uint64(0xFFFF)).astype("<u2").view("<i8")
-    rest = (least[INDEX_LANES:] & np.uint64(0xFF)).astype("u1").view("<i8")
+    least, h = np.empty(INDEX_LANES + FILTER_LANES, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    x, y = np.empty_like(h), np.empty_like(h)
+    for k in range(len(least)):
+        np.multiply(h, FIRST[k], out=x)
+        np.right_shift(x, np.uint32(16), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.multiply(x, SECOND[k], out=x)
+        least[k] = x.min()
+    index = (least[:INDEX_LANES] & np.uint32(0xFFFF)).astype("<u2").view("<i8")
+    rest = (least[INDEX_LANES:] & np.uint32(0xFF)).astype("u1").view("<i8")
     return index, rest
 
 
@@ -198,7 +204,7 @@ def open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
 def open_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of different components in a bucket that may still be links, crowds aside.
 
-    Their sizes must allow it and their signatures lie close enough; the hub was tried with all.
+    Their sizes must allow it and the signatures of larger sets lie close enough; the hub was tried with all.
     """
     alone = materialize(rows.where("not crowd and id <> hub").join(sets.select("id", *INDEX, "rest"), "id"))
     left = alone.where("own <> hubs").select(*[F.col(c).alias(f"l_{c}") for c in alone.columns])
@@ -209,7 +215,7 @@ def open_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         & ((F.col("own") == F.col("hubs")) | (F.col("l_id") < F.col("id")))
         & near_enough(F.col("l_n"), F.col("n"), percent)
         & _same_chunk(F.col("slot"), mine, theirs)
-        & (apart(mine, theirs, F.col("l_rest"), F.col("rest")) <= MAX_APART)
+        & ((F.least("l_n", "n") < SMALL) | (apart(mine, theirs, F.col("l_rest"), F.col("rest")) <= MAX_APART))
     )
     return left.join(alone, cond).select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).distinct()
 

@@ -234,3 +234,32 @@ def test_line_lanes_are_independent():
         apart.append(lines.LANES - same.sum())
     assert lost <= 10 and 5.7 < sum(apart) / trials < 6.3
     assert 4.3 < sum((x - 6) ** 2 for x in apart) / trials < 5.4  # binomial: 4.8
+
+
+def test_short_documents_of_just_the_threshold(spark):
+    rng = random.Random(31)
+    docs, word = [], iter(range(10**9))
+    for _ in range(500):  # one of 5 shingles, or 2 of 10, is not in common: a likeness of exactly 0.8
+        n = rng.choice([4, 8])
+        shared = [f"w{next(word)}" for _ in range(n + 3)]
+        for k in range(2 if n == 8 else 1):
+            docs.append((len(docs), " ".join([f"x{next(word)}", *shared])))
+        if n == 4:
+            docs.append((len(docs), " ".join(shared)))
+    sets = {d: shingles(t, 4) for d, t in docs}
+    want = {d: d - 1 if d % 2 else d for d in sets}
+    assert all(100 * len(sets[d] & sets[d + 1]) == 80 * len(sets[d] | sets[d + 1]) for d in range(0, len(docs), 2))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, words=4).collect()} == want
+
+
+def test_signature_lanes_are_independent():
+    import numpy as np
+
+    rng, apart = np.random.default_rng(5), []
+    for _ in range(4000):
+        h = rng.integers(0, 1 << 64, 10, dtype=np.uint64)
+        (a, x), (b, y) = (neardup.signature(s) for s in (h[:9], h[1:]))
+        apart.append((a.view("<u2") != b.view("<u2")).sum() + (x.view("u1") != y.view("u1")).sum())
+    assert abs(np.mean(apart) - 25.6) < 0.5 and 18 < np.var(apart) < 23  # binomial: 20.5
+    assert np.mean(np.array(apart) > neardup.MAX_APART) < 1e-3
