@@ -1,7 +1,7 @@
 """Mining of SQL text into flat facts with regular expressions: statements, targets, blocks, relations, columns.
 
 Every pattern loops possessively, so that its work and stack stay bounded on long scripts. Parentheses are followed
-to a depth of four; text that is deeper or doesn't balance is flagged, never guessed at. Names are lower-cased.
+to a depth of :data:`DEPTH`; text that is deeper or doesn't balance is flagged, never guessed at. Names are lower-cased.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from lineage_jobs.runtime import materialize, strip
 
 LITERAL = r"'(?:[^'\\]++|\\.|'')*+'"
 COMMENT = r"--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
+#: How deep parentheses are followed; :func:`mined` flags what is deeper.
+DEPTH = 5
 PAREN = r"\([^()]*+\)"
-for _ in range(3):
+for _ in range(DEPTH - 1):
     PAREN = rf"\((?:[^()]++|{PAREN})*+\)"
 NAME = r"[\w$]++(?:\s*+\.\s*+[\w$]++)*+"
 CTE = rf"[\w$]++\s*+(?:{PAREN}\s*+)?AS\s*+(?:(?:NOT\s++)?MATERIALIZED\s*+)?{PAREN}"
@@ -59,7 +61,7 @@ def sql_statements(scripts: DataFrame) -> DataFrame:
 def mined(statements: DataFrame) -> DataFrame:
     """``statements`` with ``code``, ``main`` (the code without its CTEs) and ``needs_parser``."""
     left = F.col("code")
-    for _ in range(5):
+    for _ in range(DEPTH):
         left = F.regexp_replace(left, r"\([^()]*+\)", "")
     return (
         statements.withColumn("code", sql_code(F.col("sql")))
