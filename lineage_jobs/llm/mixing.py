@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineage_jobs.runtime import broadcast_if_small, materialize
 
-#: Mean number of copies beyond which a call is refused: the table to invert has about as many entries.
+#: Mean number of copies up to which the table to invert is an array from 0; beyond, it is rows round the mean.
 MOST_RATE = 10_000
+#: Copies of a document that are made in one go where it may have very many.
+BLOCK = 10_000
 
 
 def uniform(*columns):
@@ -32,6 +36,26 @@ def poisson_table(rate):
     return F.when(rate > 0, table).otherwise(F.array(F.lit(1.0)))
 
 
+def poisson_rows(rates: DataFrame) -> DataFrame:
+    """``(mix_source, mix_low, mix_high, mix_n)``: for large rates, the count ``mix_n`` of the numbers from ``mix_low``
+    to below ``mix_high``, a row for each count within nine standard deviations of the mean.
+
+    The probabilities take Stirling's series, with the powers joined so that nothing large cancels.
+    """
+    spread = 9 * F.sqrt("rate")
+    rows = rates.select("source", "rate", F.explode(F.sequence(F.floor(F.col("rate") - spread), F.ceil(F.col("rate") + spread))).alias("n"))
+    x = (F.col("n") - F.col("rate")) / F.col("rate")
+    p = F.exp(-F.col("rate") * ((1 + x) * F.log1p(x) - x) - 1 / (12.0 * F.col("n"))) / F.sqrt(2 * math.pi * F.col("n"))
+    order = Window.partitionBy("source").orderBy("n")
+    summed = rows.withColumn("cdf", F.sum(p).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return summed.select(
+        F.col("source").alias("mix_source"),
+        F.lag("cdf", 1, 0.0).over(order).alias("mix_low"),
+        F.when(F.lead("n").over(order).isNull(), 2.0).otherwise(F.col("cdf")).alias("mix_high"),
+        F.col("n").alias("mix_n"),
+    )
+
+
 def source_rates(
     documents: DataFrame,
     weights: dict[str, float] | None = None,
@@ -91,9 +115,8 @@ def mix_sources(
     """
     rates = materialize(source_rates(documents, weights, power, budget, source, text))
     known = rates.agg(F.count(F.lit(1)).alias("n"), F.max("rate").alias("most")).head()
-    if (known["most"] or 0) > MOST_RATE:
-        raise ValueError(f"a source would be repeated {known['most']:.0f} times; at most {MOST_RATE}")
-    table = rates.select(F.col("source").alias("mix_source"), poisson_table(F.col("rate")).alias("mix_cdf"))
+    usual = rates.where(F.col("rate") <= MOST_RATE)
+    table = usual.select(F.col("source").alias("mix_source"), poisson_table(F.col("rate")).alias("mix_cdf"))
     small = broadcast_if_small(table, known["n"], 10_000)
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     seeded = F.lit(str(seed))
@@ -104,11 +127,23 @@ def mix_sources(
         "mix_n", F.least(F.size(beyond), F.size("mix_cdf") - 1)
     )
     kept = columns or documents.columns
-    return (
-        counted.where("mix_n > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
-        .withColumn("place", F.md5(F.concat_ws(":", seeded, key, F.col("copy").cast("string"))))
-        .select(*[c for c in kept if c not in ("copy", "place")], "copy", "place")
+    copies = counted.where("mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
+    wanted = [F.col(c) for c in dict.fromkeys([*kept, doc_id]) if c not in ("copy", "place")]
+    copies = copies.select(*wanted, "copy")
+    if (known["most"] or 0) > MOST_RATE:
+        entries = poisson_rows(rates.where(F.col("rate") > MOST_RATE))
+        found = F.col(source).eqNullSafe(F.col("mix_source")) & (F.col("mix_u") >= F.col("mix_low")) & (F.col("mix_u") < F.col("mix_high"))
+        blocks = (
+            documents.withColumn("mix_u", u)
+            .join(entries, found)
+            .withColumn("mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("mix_n") - 1) / BLOCK))))
+            .repartition(key, "mix_block")
+        )
+        first = F.col("mix_block") * BLOCK + 1
+        many = blocks.withColumn("copy", F.explode(F.sequence(first, F.least(first + BLOCK - 1, F.col("mix_n"))))).withColumn("copy", F.col("copy").cast("int"))
+        copies = copies.unionByName(many.select(*wanted, "copy"))
+    return copies.withColumn("place", F.md5(F.concat_ws(":", seeded, key, F.col("copy").cast("string")))).select(
+        *[c for c in kept if c not in ("copy", "place")], "copy", "place"
     )
 
 

@@ -263,3 +263,22 @@ def test_signature_lanes_are_independent():
         apart.append((a.view("<u2") != b.view("<u2")).sum() + (x.view("u1") != y.view("u1")).sum())
     assert abs(np.mean(apart) - 25.6) < 0.5 and 18 < np.var(apart) < 23  # binomial: 20.5
     assert np.mean(np.array(apart) > neardup.MAX_APART) < 1e-3
+
+
+def test_mixing_with_very_large_rates(spark):
+    import hashlib
+    import math
+
+    docs = [(k, "x", "tiny") for k in range(4)] + [(9, "x" * 200_000, "big"), (None, "z" * 8, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rates = {r["source"]: r["rate"] for r in mixing.source_rates(df, {"tiny": 1, "big": 1}).collect()}
+    assert rates["tiny"] > mixing.MOST_RATE
+    got = mixing.mix_sources(df, {"tiny": 1, "big": 1}, columns=["doc_id", "source"])
+    seen = {r["doc_id"]: r for r in got.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("last")).collect()}
+    for k in range(4):
+        u, total, n, rate = int(hashlib.md5(f"0:{k}".encode()).hexdigest()[:13], 16) / 2**52, 0.0, -1, rates["tiny"]
+        while total <= u:
+            n += 1
+            total += math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
+        assert seen[k]["n"] == seen[k]["d"] == seen[k]["last"] and abs(seen[k]["n"] - n) <= 1
+    assert None not in seen
