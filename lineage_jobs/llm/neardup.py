@@ -80,14 +80,13 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     A lane takes the low bits of the least of the hashes as the lane mixes them; every hash of a set is equally likely
     to be it, so two sets agree in a lane as often as their Jaccard similarity says, whatever the other lanes do.
     """
-    least, h = np.empty(INDEX_LANES + FILTER_LANES, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
-    x, y = np.empty_like(h), np.empty_like(h)
-    for k in range(len(least)):
-        np.multiply(h, FIRST[k], out=x)
-        np.right_shift(x, np.uint32(16), out=y)
-        np.bitwise_xor(x, y, out=x)
-        np.multiply(x, SECOND[k], out=x)
-        least[k] = x.min()
+    h, least = (hashes >> np.uint64(32)).astype(np.uint32), None
+    for start in range(0, len(h), 512):  # so that a block of all lanes stays in the cache
+        x = h[None, start : start + 512] * FIRST[:, None]
+        x ^= x >> np.uint32(16)
+        x *= SECOND[:, None]
+        block = x.min(axis=1)
+        least = block if least is None else np.minimum(least, block)
     index = (least[:INDEX_LANES] & np.uint32(0xFFFF)).astype("<u2").view("<i8")
     rest = (least[INDEX_LANES:] & np.uint32(0xFF)).astype("u1").view("<i8")
     return index, rest
