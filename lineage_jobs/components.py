@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineage_jobs.runtime import materialize, release
+from lineage_jobs.runtime import broadcast_if_small, materialize, release
+
+#: Rows of node and least neighbour up to which they are broadcast; nodes may be structs with names.
+MAX_BROADCAST = 200_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,19 +20,20 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node on the smallest node of its neighbourhood."""
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Hang every larger neighbour of a node on the smallest node of its neighbourhood; ``n`` edges."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = broadcast_if_small(least, 2 * n, MAX_BROADCAST)  # at most a row for each end
     return (
         both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Hang a node and its smaller neighbours on the smallest of them."""
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Hang a node and its smaller neighbours on the smallest of them; ``n`` edges at most."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(broadcast_if_small(least, n, MAX_BROADCAST), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -54,7 +58,7 @@ def connected_components(
     for _ in range(max_rounds):
         if not state[0]:
             break
-        following = materialize(_small_star(_large_star(now)))
+        following = materialize(_small_star(_large_star(now, state[0]), 2 * state[0]))
         after = _state(following)
         release(now)
         now = following

@@ -15,10 +15,13 @@ MAX_BROADCAST_ROWS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where neither is set (tests on one machine) a temporary folder is made and set.
+    Only where neither is set and everything runs on one machine a temporary folder is made and set; on a cluster
+    executors and driver wouldn't share it, so there the setting is asked for.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -51,4 +54,24 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = MAX_BROADCAST_ROWS)
 
 def strip(column):
     """All white space off both ends (``trim`` takes only spaces)."""
-    return F.regexp_replace(column, r"^\s+|\s+$", "")
+    return F.regexp_replace(column, r"^\s++|(?<!\s)\s++$", "")
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", by: list[str] | None = None, least: int = 1000) -> DataFrame:
+    """``rows`` joined with ``side`` on ``key``, of which very many ``rows`` may have the same value.
+
+    A value that has more rows than one task's fair share is dealt to several tasks by a hash of the columns ``by``
+    (default: all), with its rows of ``side`` repeated for each; there are at most four such values for each shuffle
+    partition, so that their table can be broadcast. Rows without a key are dealt alike. ``side`` should have few rows for
+    each key; ``how`` is ``inner`` or ``left``.
+    """
+    share = max(least, rows.count() // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count(F.lit(1)) / share).alias("spread_parts"))
+    hot = materialize(counts.where("spread_parts > 1"))
+    salt = F.xxhash64(*[F.col(c) for c in by or rows.columns])
+    parts = F.coalesce("spread_parts", F.when(F.col(key).isNull(), F.lit(1 << 20)).otherwise(F.lit(1)))
+    a = rows.join(F.broadcast(hot), key, "left").withColumn("spread_salt", F.pmod(salt, parts).cast("int")).drop("spread_parts")
+    b = side.join(F.broadcast(hot), key, "left").withColumn(
+        "spread_salt", F.explode(F.sequence(F.lit(0), (F.coalesce("spread_parts", F.lit(1)) - 1).cast("int")))
+    ).drop("spread_parts")
+    return a.join(b, [key, "spread_salt"], how).drop("spread_salt")
