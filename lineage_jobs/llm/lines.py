@@ -1,41 +1,39 @@
-"""Fuzzy line deduplication by MinHash over all character shingles: signatures and exact comparison in numpy, joins as
-DataFrame operations."""
+"""Fuzzy line deduplication by MinHash over all character shingles, in DataFrame operations only."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineage_jobs.components import connected_components
 from lineage_jobs.llm.lanes import distance
-from lineage_jobs.runtime import broadcast_if_small, materialize, release
+from lineage_jobs.runtime import broadcast_if_small, materialize, release, spread_join
 
 #: Characters of a shingle; shorter lines are one shingle.
 CHARS = 10
 #: Least similarity of linked lines, in percent.
 PERCENT = 80
-#: Bands of the signature and lanes of a band. Two lines share a band with a chance of 0.9992 at a similarity of 0.8,
-#: of 0.99993 at 0.85.
-BANDS, ROWS = 10, 3
-LANES = BANDS * ROWS
-#: Lanes that may differ in a pair that is compared in full. At 0.8 they number 6 +- 2.2.
-MAX_APART = 16
-#: Each lane mixes a shingle's hash by odd constants of its own, so that lanes are independent of each other.
-FIRST, SECOND = (np.random.default_rng(20240611).integers(0, 1 << 31, (2, LANES)) * 2 + 1).astype(np.uint32)
-MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Characters that are hashed at a time, and names of lines and shingle hashes that a task remembers.
-PIECE, SEEN, CACHED = 1 << 16, 200_000, 2_000_000
+#: The lanes of the signature stand in a square of three by three; the bands are its twelve lines of three (rows,
+#: columns and broken diagonals), so that any two lanes share one band. Two lines share a band with a chance of
+#: 0.9902 at a similarity of 0.8, 0.9973 at 0.85, 0.9996 at 0.9.
+LANES = 9
+BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
+#: Lanes that may differ in a pair that is compared in full where no hub is involved: of those that share a band, pairs of
+#: a similarity of 0.8 have more with a chance of 0.003.
+MAX_APART = 5
+#: Rows of a bucket's smaller side that one task compares with its larger side.
+BLOCK = 1000
+#: Rows of linked or repeated lines up to which they are broadcast, at some 40 bytes each.
+MAX_LINKED = 500_000
 PACKED = [f"p{k}" for k in range(-(-LANES // 4))]
 
 
-def bare_line(line):
-    """What of a line counts: its words in lower case with one space between."""
-    spaced = F.lower(line)
+def bare_line(lower):
+    """What of a line in lower case counts: its words with one space between."""
+    odd = F.contains(lower, F.lit("  ")) | F.startswith(lower, F.lit(" ")) | F.endswith(lower, F.lit(" "))
     for space in "\t\r\x0b\x0c":
-        spaced = F.replace(spaced, F.lit(space), F.lit(" "))
-    return F.array_join(F.array_remove(F.split(spaced, " "), ""), " ")
+        odd = odd | F.contains(lower, F.lit(space))
+    return F.when(odd, F.trim(F.regexp_replace(lower, "[ \t\r\x0b\x0c]++", " "))).otherwise(lower)
 
 
 def computed(column):
@@ -50,184 +48,149 @@ def lines_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     )
 
 
-def window_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the windows of ``CHARS`` code points of a text, in order; none for a shorter one."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    n = max(0, len(codes) - CHARS + 1)
-    h = codes[:n].copy()
-    for k in range(1, CHARS):
-        h *= MULTIPLIER
-        h += codes[k : k + n]
-    h ^= h >> np.uint64(30)
-    h *= MIX
-    h ^= h >> np.uint64(27)
-    return h
+def bare_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``bare`` in place of ``line``."""
+    rest = [c for c in lines.columns if c != "line"]
+    lower = lines.select(*rest, computed(F.lower("line")).alias("lower"))
+    return lower.select(*rest, computed(bare_line(F.col("lower"))).alias("bare"))
 
 
-def shingle_set(bare: str) -> np.ndarray:
-    """Sorted distinct hashes of all shingles of a line; one for a line that is shorter than a shingle."""
-    import xxhash
+def starts(code):
+    """Where the shingles of a text in UTF-32 start: 0, 1, ... code points."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.shiftright(F.octet_length(code), 2) - CHARS))
 
-    if len(bare) < CHARS:
-        return np.array([xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass"))], np.uint64)
-    return np.unique(window_hashes(bare))
 
+def shingle(code, start):
+    """The hash of the shingle at a code point of a text in UTF-32, where any place is reached at once."""
+    return F.xxhash64(F.substring(code, start * 4 + 1, F.lit(4 * CHARS)))
 
-def lane_minima(bare: list[str]) -> np.ndarray:
-    """``(lines, LANES)``: in each lane the least mixed hash of all shingles of a line.
 
-    Lines are joined up to ``PIECE`` characters, longer ones cut into overlapping pieces, so that memory stays bounded.
-    """
-    least = np.full((LANES, len(bare)), 0xFFFFFFFF, np.uint32)
-
-    def fold(pieces: list[str], owners: list[int]) -> None:
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        starts = np.cumsum(sizes) - sizes
-        h = window_hashes("".join(pieces) + " " * CHARS)
-        h = (h >> np.uint64(32)).astype(np.uint32)
-        cuts = np.stack([starts, starts + sizes - CHARS + 1], axis=1).ravel()  # windows across two pieces count for none
-        at, x, y = np.array(owners), np.empty_like(h), np.empty_like(h)
-        for k in range(LANES):
-            np.multiply(h, FIRST[k], out=x)
-            np.right_shift(x, np.uint32(16), out=y)
-            np.bitwise_xor(x, y, out=x)
-            np.multiply(x, SECOND[k], out=x)
-            np.minimum.at(least[k], at, np.minimum.reduceat(x, cuts)[::2])
-
-    pieces, owners, total = [], [], 0
-    for k, line in enumerate(bare):
-        if len(line) < CHARS:
-            h = (shingle_set(line) >> np.uint64(32)).astype(np.uint32) * FIRST
-            least[:, k] = (h ^ (h >> np.uint32(16))) * SECOND
-            continue
-        for start in range(0, len(line) - CHARS + 1, PIECE):
-            pieces.append(line[start : start + PIECE + CHARS - 1])
-            owners.append(k)
-            total += len(pieces[-1])
-            if total >= PIECE:
-                fold(pieces, owners)
-                pieces, owners, total = [], [], 0
-    if pieces:
-        fold(pieces, owners)
-    return least.T
+def lane(k: int):
+    """The number whose minimum over all shingles is lane ``k``: the shingle's hash, mixed anew for each four lanes and
+    turned by 16 bits for each lane, so that every lane is decided by bits of its own."""
+    h, turn = F.col(f"h{k // 4}"), 16 * (k % 4)
+    return F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn)) if turn else h
 
 
 def line_signatures(lines: DataFrame) -> DataFrame:
-    """``(line_id, p0.., k0..)``: a row for each distinct bare line, named by its 64-bit hash, with packed 16-bit lanes
-    (see :func:`lane_minima`) and the keys of its bands."""
-    bare = lines.select(computed(bare_line(F.col("line"))).alias("bare")).where("bare <> ''")
-
-    def run(batches):
-        seen = set()
-        for batch in batches:
-            if len(seen) > SEEN:
-                seen.clear()
-            names, texts = [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if name not in seen:
-                    seen.add(name)
-                    names.append(name)
-                    texts.append(text.as_py())
-            low = np.zeros((len(texts), 4 * len(PACKED)), "<u2")
-            low[:, :LANES] = lane_minima(texts) & np.uint32(0xFFFF)
-            longs = np.ascontiguousarray(low.view("<i8").T)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *map(pa.array, longs)], names=["line_id", *PACKED])
-
-    signed = bare.select(F.xxhash64("bare").alias("line_id"), "bare").mapInArrow(run, ", ".join(f"{c} long" for c in ["line_id", *PACKED]))
-    one = signed.groupBy("line_id").agg(*[F.min(c).alias(c) for c in PACKED])  # equal for equal lines
-    lane = lambda k: F.shiftright(PACKED[k // 4], 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF))
-    bands = [F.xxhash64(F.lit(b), *[lane(b * ROWS + r) for r in range(ROWS)]).alias(f"k{b}") for b in range(BANDS)]
-    return one.select("line_id", *PACKED, *bands)
-
-
-def confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of line ids whose full shingle sets have ``percent`` % of their union in common."""
-    involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct())
-    few = broadcast_if_small(involved, involved.count())
-    texts = materialize(
-        lines.select(computed(bare_line(F.col("line"))).alias("bare"))
+    """``(line_id, k0.., p0..)``: a row for each distinct bare line, named by its 64-bit hash, with the keys of its bands
+    and the low 16 bits of its lanes, packed.
+
+    Every shingle is a row of a generated loop and lanes are combined minima, so that no array is held.
+    """
+    code = bare_lines(lines).where("bare <> ''").select(F.xxhash64("bare").alias("line_id"), computed(F.encode("bare", "UTF-32")).alias("code"))
+    at = code.select("line_id", "code", F.explode(starts(F.col("code"))).alias("start"))
+    hashed = at.select("line_id", shingle(F.col("code"), F.col("start")).alias("h0"))
+    mixed = hashed.select("line_id", "h0", *[F.xxhash64("h0", F.lit(j)).alias(f"h{j}") for j in range(1, -(-LANES // 4))])
+    one = mixed.groupBy("line_id").agg(*[F.min(lane(k)).alias(f"l{k}") for k in range(LANES)])
+    bands = [F.xxhash64(F.lit(b), *[f"l{k}" for k in band]).alias(f"k{b}") for b, band in enumerate(BANDS)]
+    packed = []
+    for p, name in enumerate(PACKED):
+        whole = F.lit(0).cast("long")
+        for k in range(4 * p, min(LANES, 4 * p + 4)):
+            whole = whole.bitwiseOR(F.shiftleft(F.xxhash64(f"l{k}").bitwiseAND(F.lit(0xFFFF)), 16 * (k % 4)))
+        packed.append(whole.alias(name))
+    return one.select("line_id", *bands, *packed)
+
+
+def shingle_sets(rows: DataFrame, bare: str, out: str) -> DataFrame:
+    """``rows`` with the distinct shingle hashes of a column of bare lines as ``out`` in its place."""
+    rest = [c for c in rows.columns if c != bare]
+    coded = rows.select(*rest, computed(F.encode(bare, "UTF-32")).alias("code"))
+    hashes = F.array_distinct(F.transform(starts(F.col("code")), lambda k: shingle(F.col("code"), k)))
+    return coded.select(*rest, computed(hashes).alias(out))
+
+
+def lines_named(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(line_id, bare, n)``: the lines that ``ids(line_id)`` names, and the numbers of their distinct shingles."""
+    few = broadcast_if_small(ids, ids.count())
+    texts = (
+        bare_lines(lines.select("line"))
         .where("bare <> ''")
         .select(F.xxhash64("bare").alias("line_id"), "bare")
         .join(few, "line_id", "left_semi")
-        .groupBy("line_id")
-        .agg(F.min("bare").alias("bare"))
+        .distinct()
     )
+    sized = shingle_sets(texts.withColumn("code_of", F.col("bare")), "code_of", "hashes")
+    return materialize(sized.select("line_id", "bare", F.size("hashes").alias("n")))
+
+
+def near_enough(n, m, percent: int):
+    """Whether sets of these sizes can be linked at all."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of line ids whose full shingle sets have ``percent`` % of their union in common."""
     side = lambda k: texts.select(F.col("line_id").alias(k), F.col("bare").alias(f"bare_{k}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-
-    def run(batches):
-        known, held = {}, 0
-        for batch in batches:
-            linked = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sets = []
-                for name, text in (row[:2], row[2:]):
-                    if name not in known:
-                        if held > CACHED:
-                            known, held = {}, 0
-                        known[name] = shingle_set(text)
-                        held += len(known[name])
-                    sets.append(known[name])
-                na, nb = map(len, sets)
-                if 100 * min(na, nb) < percent * max(na, nb):  # then the union alone is too large
-                    continue
-                common = len(np.intersect1d(*sets, assume_unique=True))
-                if 100 * common >= percent * (na + nb - common):
-                    linked.append((row[0], row[2]))
-            columns = list(zip(*linked, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["a", "b"])
-
-    links = materialize(both.select("a", "bare_a", "b", "bare_b").mapInArrow(run, "a long, b long"))
-    release(involved, texts)
-    return links
-
-
-def open_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs of a band's bucket that lie in different components and whose signatures are close enough."""
-    mine = labels.select(F.col("node").alias("id"), F.col("component").alias("own"))
-    its = labels.select(F.col("node").alias("hub"), F.col("component").alias("hubs"))
-    told = (
-        members.join(mine, "id", "left")
-        .join(its, "hub", "left")
-        .withColumn("own", F.coalesce("own", "id"))
-        .withColumn("hubs", F.coalesce("hubs", "hub"))
-    )
-    open_keys = (
-        told.groupBy("key")
-        .agg(F.max(F.col("own") != F.col("hubs")).alias("mixed"), F.count(F.lit(1)).alias("size"))
-        .where("mixed and size > 2")
-        .select("key")
+    both = spread_join(materialize(spread_join(pairs, side("b"), "b", by=["a", "b"])), side("a"), "a", by=["a", "b"])
+    sets = shingle_sets(shingle_sets(both.select("a", "b", "bare_a", "bare_b"), "bare_a", "set_a"), "bare_b", "set_b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    counted = sets.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("both"), common.alias("common"))
+    return materialize(counted.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b"))
+
+
+def open_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of a band's bucket that lie in different components and whose sizes and signatures allow a
+    link; the hub was tried with all.
+
+    The lines outside the hub's component are dealt into blocks, each of which meets all lines of the bucket in a
+    task of its own; what comes out are only the pairs that are left.
+    """
+    few = broadcast_if_small(labels, labels.count())
+    mine = few.select(F.col("node").alias("id"), F.col("component").alias("own"))
+    its = few.select(F.col("node").alias("hub"), F.col("component").alias("hubs"))
+    told = spread_join(members, its, "hub", "left", ["key", "id"]).join(mine, "id", "left").select(
+        "key", "id", F.coalesce("own", "id").alias("own"), F.coalesce("hubs", "hub").alias("hubs"), (F.col("id") == F.col("hub")).alias("is_hub")
     )
-    rows = materialize(
-        told.join(open_keys, "key").where("id <> hub").join(signed.select(F.col("line_id").alias("id"), *PACKED), "id")
+    outside = (F.col("own") != F.col("hubs")).cast("long")
+    buckets = materialize(
+        told.groupBy("key").agg(F.sum(outside).alias("outside"), F.count(F.lit(1)).alias("size")).where("outside > 0 and size > 2")
+        .select("key", F.ceil(F.col("outside") / BLOCK).cast("int").alias("blocks"))
     )
-    left = rows.where("own <> hubs").select(*[F.col(c).alias(f"l_{c}") for c in rows.columns])
+    rows = told.where("not is_hub").join(broadcast_if_small(buckets, buckets.count()), "key")
+    rows = rows.join(signed.select(F.col("line_id").alias("id"), *PACKED), "id").join(texts.select(F.col("line_id").alias("id"), "n"), "id")
+    rows = materialize(rows)
+    left = rows.where("own <> hubs").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = left.select("block", *[F.col(c).alias(f"l_{c}") for c in rows.columns])
+    right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cond = (
         (F.col("l_key") == F.col("key"))
+        & (left["block"] == right["block"])
         & (F.col("l_own") != F.col("own"))
         & ((F.col("own") == F.col("hubs")) | (F.col("l_id") < F.col("id")))
+        & near_enough(F.col("l_n"), F.col("n"), percent)
         & (distance([(F.col(f"l_{c}"), F.col(c)) for c in PACKED], 16) <= MAX_APART)
     )
-    return left.join(rows, cond).select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).distinct()
+    pairs = left.join(right, cond).select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).distinct()
+    found = materialize(pairs)
+    release(rows, buckets)
+    return found
 
 
 def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(line_id, class_id)`` of the distinct bare lines that are linked with another one."""
     signed = materialize(line_signatures(lines))
-    keys = signed.select(F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"), F.col("line_id").alias("id"))
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    members = materialize(keys.join(hubs, "key"))
-    pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    lanes = lambda k: signed.select(F.col("line_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in PACKED])
-    near = distance([(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in PACKED], 16) <= MAX_APART
-    tried = materialize(pairs.join(lanes("a"), "a").join(lanes("b"), "b").where(near).select("a", "b"))
-    links = confirm(tried, lines, percent)
+    keys = signed.select(F.explode(F.array(*[f"k{b}" for b in range(len(BANDS))])).alias("key"), F.col("line_id").alias("id"))
+    hubs = materialize(
+        keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
+    )
+    members = materialize(keys.join(broadcast_if_small(hubs, hubs.count()), "key"))
+    texts = lines_named(materialize(members.select(F.col("id").alias("line_id")).distinct()), lines)
+    sizes = texts.select("line_id", "n")
+    few = lambda k: broadcast_if_small(sizes.select(F.col("line_id").alias(k), F.col("n").alias(f"n_{k}")), sizes.count())
+    tried = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = materialize(tried.join(few("b"), "b").join(few("a"), "a").where(near_enough(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
+    links = confirm(pairs, texts, percent)
     labels = materialize(connected_components(links, "a", "b"))
-    further = confirm(materialize(open_pairs(members, labels, signed)), lines, percent)
-    edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further)
-    found = connected_components(edges, "a", "b").select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
-    release(members, tried)
-    return found
+    further = confirm(open_pairs(members, labels, signed, texts, percent), texts, percent)
+    found = labels
+    if not further.isEmpty():
+        edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further)
+        found = materialize(connected_components(edges, "a", "b"))
+        release(labels)
+    release(signed, hubs, members, texts, pairs, links, further)
+    return found.select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
 
 
 def line_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,19 +203,22 @@ def line_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str =
     """
     lines = lines_of(documents, doc_id, text)
     classes = line_classes(lines, percent)
-    bare = lines.select("doc_id", "line_no", computed(bare_line(F.col("line"))).alias("bare"))
-    named = bare.select("doc_id", "line_no", F.when(F.col("bare") != "", F.xxhash64("bare")).alias("line_id"))
-    classed = materialize(
-        named.join(classes, "line_id", "left").withColumn("class_id", F.coalesce("class_id", "line_id"))
+    named = bare_lines(lines).select("doc_id", "line_no", F.when(F.col("bare") != "", F.xxhash64("bare")).alias("line_id"))
+    linked = classes.count()
+    if linked <= MAX_LINKED:
+        classed = named.join(F.broadcast(classes), "line_id", "left")
+    else:
+        classed = spread_join(materialize(named), classes, "line_id", "left", ["doc_id", "line_no"])
+    classed = materialize(classed.select("doc_id", "line_no", "line_id", F.coalesce("class_id", "line_id").alias("class_id")))
+    repeated = materialize(
+        classed.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("class_id")
     )
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    first = (
-        classed.where("class_id is not null")
-        .groupBy("class_id")
-        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("lines"))
-        .where("lines > 1")
-    )
-    return classed.join(first, "class_id", "left").select(
+    n = repeated.count()
+    inside = classed.join(F.broadcast(repeated), "class_id") if n <= MAX_LINKED else spread_join(classed, repeated, "class_id", "inner", ["doc_id", "line_no"])
+    first = materialize(inside.groupBy("class_id").agg(F.min(place).alias("first")))
+    out = classed.join(F.broadcast(first), "class_id", "left") if n <= MAX_LINKED else spread_join(classed, first, "class_id", "left", ["doc_id", "line_no"])
+    return out.select(
         "doc_id",
         "line_no",
         "line_id",
@@ -264,8 +230,11 @@ def line_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str =
 def without_duplicate_lines(documents: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, text)``: each document's text from its kept lines; null where the text is null.
 
-    Ids must be unique and not null for this form.
+    Ids must be unique and not null for this form; else a ValueError is raised.
     """
+    odd = documents.groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if not odd.isEmpty():
+        raise ValueError("document ids must be unique and not null")
     kept = line_duplicates(documents, percent, doc_id, text).where("kept").select("doc_id", "line_no")
     lines = lines_of(documents, doc_id, text).join(kept, ["doc_id", "line_no"])
     joined = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("rows"))

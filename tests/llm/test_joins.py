@@ -222,18 +222,26 @@ def test_lines_without_words_against_brute_force(spark):
     assert {r["doc_id"] for r in lines.line_duplicates(df).where("kept").collect()} == {k for k in want if want[k] == k}
 
 
-def test_line_lanes_are_independent():
+def test_recall_of_line_bands(spark):
+    """Pairs of likeness 0.8 to 0.85 on full sets, with and without spaces, long and short: how many share a band."""
     rng = random.Random(4)
-    lost, apart, trials = 0, [], 3000
-    for _ in range(trials):  # 40 shingles in common and 5 on either side: a likeness of 0.8, in short lines
-        text = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
-        shared = text(49)
-        a, b = lines.lane_minima([text(5) + shared, text(5) + shared])
-        same = (a & 0xFFFF) == (b & 0xFFFF)
-        lost += not same.reshape(lines.BANDS, lines.ROWS).all(axis=1).any()
-        apart.append(lines.LANES - same.sum())
-    assert lost <= 10 and 5.7 < sum(apart) / trials < 6.3
-    assert 4.3 < sum((x - 6) ** 2 for x in apart) / trials < 5.4  # binomial: 4.8
+    rows = []
+    for k in range(1500):
+        letters = rng.choice(["abcdefghijklmnopqrstuvwxyz    ", "".join(map(chr, range(0x4E00, 0x4F00))), "ab", "0123456789abcdef"])
+        one = "x" + "".join(rng.choice(letters) for _ in range(rng.choice([60, 80, 105, 210, 520]))) + "x"
+        n = max(1, len(one) // 100)
+        other = list(one)
+        for _ in range(n):
+            other[rng.choice([0, 3, rng.randrange(len(one))])] = "_"
+        pair = [" ".join(t.split()) for t in (one, "".join(other))]
+        a, b = ({t[i : i + 10] for i in range(len(t) - 9)} for t in pair)
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            rows += [(k, t) for t in pair]
+    df = spark.createDataFrame(rows, "k long, line string").withColumn("line_id", F.xxhash64("line"))
+    signed = lines.line_signatures(df.select("line"))
+    keys = df.join(signed, "line_id").select("k", "line_id", F.explode(F.array(*[f"k{b}" for b in range(len(lines.BANDS))])).alias("key"))
+    met = keys.groupBy("k", "key").agg(F.countDistinct("line_id").alias("n")).groupBy("k").agg(F.max("n").alias("n")).collect()
+    assert len(met) > 300 and sum(r["n"] == 2 for r in met) > 0.98 * len(met)
 
 
 def test_short_documents_of_just_the_threshold(spark):
