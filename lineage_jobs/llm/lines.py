@@ -18,14 +18,19 @@ PERCENT = 80
 #: 0.9902 at a similarity of 0.8, 0.9973 at 0.85, 0.9996 at 0.9.
 LANES = 9
 BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
-#: Lanes that may differ in a pair that is compared in full where no hub is involved: of those that share a band, pairs of
-#: a similarity of 0.8 have more with a chance of 0.003.
-MAX_APART = 5
+#: Further lanes of the lines that share a band with another, and how many of them may differ in a pair that is compared
+#: in full: at a similarity of 0.8 they number 4.8 +- 2, and more than the bound with a chance of 4e-5.
+SECOND_LANES, MAX_APART = 24, 13
 #: Rows of a bucket's smaller side that one task compares with its larger side.
-BLOCK = 1000
+BLOCK = 500
+#: Lines outside the hub's component from which on a bucket is compared as a whole.
+CROWD = 20
+#: Further hubs that are drawn from either side of a bucket before all pairs that are still open are compared.
+HUBS = 3
 #: Rows of linked or repeated lines up to which they are broadcast, at some 40 bytes each.
 MAX_LINKED = 500_000
-PACKED = [f"p{k}" for k in range(-(-LANES // 4))]
+KEYS = [f"k{b}" for b in range(len(BANDS))]
+PACKED = [f"p{k}" for k in range(SECOND_LANES // 8)]
 
 
 def bare_line(lower):
@@ -56,13 +61,13 @@ def bare_lines(lines: DataFrame) -> DataFrame:
 
 
 def starts(code):
-    """Where the shingles of a text in UTF-32 start: 0, 1, ... code points."""
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.shiftright(F.octet_length(code), 2) - CHARS))
+    """The bytes, from 1, at which the shingles of a text in UTF-32 start."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(code) - (4 * CHARS - 1)), F.lit(4))
 
 
 def shingle(code, start):
-    """The hash of the shingle at a code point of a text in UTF-32, where any place is reached at once."""
-    return F.xxhash64(F.substring(code, start * 4 + 1, F.lit(4 * CHARS)))
+    """The hash of the shingle at a byte of a text in UTF-32, where any place is reached at once."""
+    return F.xxhash64(F.substring(code, start, F.lit(4 * CHARS)))
 
 
 def lane(k: int):
@@ -72,125 +77,166 @@ def lane(k: int):
     return F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn)) if turn else h
 
 
-def line_signatures(lines: DataFrame) -> DataFrame:
-    """``(line_id, k0.., p0..)``: a row for each distinct bare line, named by its 64-bit hash, with the keys of its bands
-    and the low 16 bits of its lanes, packed.
+def lane_minima(bare: DataFrame, first: int, count: int) -> DataFrame:
+    """``(line_id, l0..)`` of ``bare(line_id, bare)``: the lanes from ``first`` (a multiple of four) on.
 
-    Every shingle is a row of a generated loop and lanes are combined minima, so that no array is held.
+    Every shingle is a row of a generated loop and lanes are combined minima, so that no array of hashes is held.
     """
-    code = bare_lines(lines).where("bare <> ''").select(F.xxhash64("bare").alias("line_id"), computed(F.encode("bare", "UTF-32")).alias("code"))
+    code = bare.select("line_id", computed(F.encode("bare", "UTF-32")).alias("code"))
     at = code.select("line_id", "code", F.explode(starts(F.col("code"))).alias("start"))
-    hashed = at.select("line_id", shingle(F.col("code"), F.col("start")).alias("h0"))
-    mixed = hashed.select("line_id", "h0", *[F.xxhash64("h0", F.lit(j)).alias(f"h{j}") for j in range(1, -(-LANES // 4))])
-    one = mixed.groupBy("line_id").agg(*[F.min(lane(k)).alias(f"l{k}") for k in range(LANES)])
+    hashed = at.select("line_id", shingle(F.col("code"), F.col("start")).alias("h"))
+    mixed = hashed.select("line_id", *[F.xxhash64("h", F.lit(first // 4 + j)).alias(f"h{j}") for j in range(-(-count // 4))])
+    return mixed.groupBy("line_id").agg(*[F.min(lane(k)).alias(f"l{k}") for k in range(count)])
+
+
+def line_signatures(lines: DataFrame) -> DataFrame:
+    """``(line_id, k0..)``: a row for each distinct bare line, named by its 64-bit hash, with the keys of its bands."""
+    bare = bare_lines(lines.select("line")).where("bare <> ''").select(F.xxhash64("bare").alias("line_id"), "bare")
     bands = [F.xxhash64(F.lit(b), *[f"l{k}" for k in band]).alias(f"k{b}") for b, band in enumerate(BANDS)]
-    packed = []
-    for p, name in enumerate(PACKED):
-        whole = F.lit(0).cast("long")
-        for k in range(4 * p, min(LANES, 4 * p + 4)):
-            whole = whole.bitwiseOR(F.shiftleft(F.xxhash64(f"l{k}").bitwiseAND(F.lit(0xFFFF)), 16 * (k % 4)))
-        packed.append(whole.alias(name))
-    return one.select("line_id", *bands, *packed)
+    return lane_minima(bare, 0, LANES).select("line_id", *bands)
 
 
-def shingle_sets(rows: DataFrame, bare: str, out: str) -> DataFrame:
-    """``rows`` with the distinct shingle hashes of a column of bare lines as ``out`` in its place."""
+def shingles_of(rows: DataFrame, bare: str, out: str) -> DataFrame:
+    """``rows`` with the shingle hashes of a column of bare lines as ``out`` in its place."""
     rest = [c for c in rows.columns if c != bare]
-    coded = rows.select(*rest, computed(F.encode(bare, "UTF-32")).alias("code"))
-    hashes = F.array_distinct(F.transform(starts(F.col("code")), lambda k: shingle(F.col("code"), k)))
-    return coded.select(*rest, computed(hashes).alias(out))
+    # the outer loop of one round names the code, which the inner loop else would copy from the row for each shingle
+    hashes = F.transform(F.array(F.encode(bare, "UTF-32")), lambda code: F.transform(starts(code), lambda k: shingle(code, k)))
+    return rows.select(*rest, F.explode(hashes).alias(out))
 
 
-def lines_named(ids: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(line_id, bare, n)``: the lines that ``ids(line_id)`` names, and the numbers of their distinct shingles."""
+def lines_named(ids: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(line_id, bare)`` and ``(line_id, p0..)``: the lines that ``ids(line_id)`` names, and their second lanes, packed."""
     few = broadcast_if_small(ids, ids.count())
-    texts = (
+    texts = materialize(
         bare_lines(lines.select("line"))
         .where("bare <> ''")
         .select(F.xxhash64("bare").alias("line_id"), "bare")
         .join(few, "line_id", "left_semi")
         .distinct()
     )
-    sized = shingle_sets(texts.withColumn("code_of", F.col("bare")), "code_of", "hashes")
-    return materialize(sized.select("line_id", "bare", F.size("hashes").alias("n")))
+    packed = []
+    for p, name in enumerate(PACKED):
+        whole = F.col(f"l{8 * p}").bitwiseAND(F.lit(0xFF))
+        for k in range(1, 8):
+            whole = whole.bitwiseOR(F.shiftleft(F.col(f"l{8 * p + k}").bitwiseAND(F.lit(0xFF)), 8 * k))
+        packed.append(whole.alias(name))
+    return texts, materialize(lane_minima(texts, 4 * -(-LANES // 4), SECOND_LANES).select("line_id", *packed))
 
 
-def near_enough(n, m, percent: int):
-    """Whether sets of these sizes can be linked at all."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def alike(left: str, right: str):
+    """Whether the second lanes of two lines, under two prefixes, stand close enough."""
+    return distance([(F.col(f"{left}{c}"), F.col(f"{right}{c}")) for c in PACKED], 8) <= MAX_APART
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of line ids whose full shingle sets have ``percent`` % of their union in common."""
     side = lambda k: texts.select(F.col("line_id").alias(k), F.col("bare").alias(f"bare_{k}"))
     both = spread_join(materialize(spread_join(pairs, side("b"), "b", by=["a", "b"])), side("a"), "a", by=["a", "b"])
-    sets = shingle_sets(shingle_sets(both.select("a", "b", "bare_a", "bare_b"), "bare_a", "set_a"), "bare_b", "set_b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    counted = sets.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("both"), common.alias("common"))
-    return materialize(counted.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b"))
-
+    sets = shingles_of(shingles_of(both.select("a", "b", "bare_a", "bare_b"), "bare_a", "all_a"), "bare_b", "all_b")
+    return materialize(sets.where(linked("all_a", "all_b", percent)).select("a", "b"))
 
-def open_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of a band's bucket that lie in different components and whose sizes and signatures allow a
-    link; the hub was tried with all.
 
-    The lines outside the hub's component are dealt into blocks, each of which meets all lines of the bucket in a
-    task of its own; what comes out are only the pairs that are left.
-    """
+def open_rows(members: DataFrame, labels: DataFrame, signed: DataFrame, lanes: DataFrame) -> DataFrame:
+    """``(key, id, own, outside, n, blocks, p0.., k0..)``: the lines of the buckets that hold several components; ``outside``
+    says whether a line isn't in the component of its bucket's hub."""
     few = broadcast_if_small(labels, labels.count())
     mine = few.select(F.col("node").alias("id"), F.col("component").alias("own"))
     its = few.select(F.col("node").alias("hub"), F.col("component").alias("hubs"))
     told = spread_join(members, its, "hub", "left", ["key", "id"]).join(mine, "id", "left").select(
-        "key", "id", F.coalesce("own", "id").alias("own"), F.coalesce("hubs", "hub").alias("hubs"), (F.col("id") == F.col("hub")).alias("is_hub")
+        "key", "id", F.coalesce("own", "id").alias("own"), (F.coalesce("own", "id") != F.coalesce("hubs", "hub")).alias("outside")
     )
-    outside = (F.col("own") != F.col("hubs")).cast("long")
     buckets = materialize(
-        told.groupBy("key").agg(F.sum(outside).alias("outside"), F.count(F.lit(1)).alias("size")).where("outside > 0 and size > 2")
-        .select("key", F.ceil(F.col("outside") / BLOCK).cast("int").alias("blocks"))
+        told.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("n"), F.count(F.lit(1)).alias("size")).where("n > 0 and size > 2")
+        .select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = told.where("not is_hub").join(broadcast_if_small(buckets, buckets.count()), "key")
-    rows = rows.join(signed.select(F.col("line_id").alias("id"), *PACKED), "id").join(texts.select(F.col("line_id").alias("id"), "n"), "id")
-    rows = materialize(rows)
-    left = rows.where("own <> hubs").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = told.join(broadcast_if_small(buckets, buckets.count()), "key").join(lanes.select(F.col("line_id").alias("id"), *PACKED), "id")
+    rows = rows.join(signed.select(F.col("line_id").alias("id"), *KEYS), "id")
+    out = materialize(rows)
+    release(buckets)
+    return out
+
+
+def star_pairs(rows: DataFrame, seed: int) -> DataFrame:
+    """The pairs ``(a, b)`` of further hubs with the lines of other components of their buckets.
+
+    Of each bucket :data:`HUBS` lines of the first hub's component and as many outside are drawn by hash; those inside
+    meet the lines outside, those outside meet all. So a bucket gives rows in proportion to its size.
+    """
+    ranks = [F.struct(F.xxhash64("id", F.lit(seed + k)).alias("rank"), "id", "own", "outside", *PACKED) for k in range(HUBS)]
+    drawn = rows.groupBy("key").agg(*[F.min(F.when(F.col("outside") == out, r)).alias(f"h{k}_{out}") for k, r in enumerate(ranks) for out in (True, False)])
+    hubs = drawn.select("key", F.explode(F.array(*[c for c in drawn.columns if c != "key"])).alias("hub")).where("hub is not null").distinct()
+    met = rows.join(hubs.select("key", "hub.*").select("key", *[F.col(c).alias(f"h_{c}") for c in ["id", "own", "outside", *PACKED]]), "key")
+    near = met.where("own <> h_own and (outside or h_outside)").where(alike("", "h_"))
+    return materialize(near.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
+
+
+def _met(rows: DataFrame, percent: int | None = None) -> DataFrame:
+    """The pairs ``l_..``, ``r_..`` of a bucket's lines that lie in different components and whose second lanes allow a link.
+
+    The lines outside the hub's component are dealt into blocks, each of which meets all lines of the bucket in a
+    task of its own. A pair comes up in the first bucket that it shares only. With ``percent`` the sets in ``hashes`` decide too.
+    """
+    left = rows.where("outside").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.select("block", *[F.col(c).alias(f"l_{c}") for c in rows.columns])
-    right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = rows.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = right.select("r_block", *[F.col(c).alias(f"r_{c}") for c in rows.columns])
     cond = (
-        (F.col("l_key") == F.col("key"))
-        & (left["block"] == right["block"])
-        & (F.col("l_own") != F.col("own"))
-        & ((F.col("own") == F.col("hubs")) | (F.col("l_id") < F.col("id")))
-        & near_enough(F.col("l_n"), F.col("n"), percent)
-        & (distance([(F.col(f"l_{c}"), F.col(c)) for c in PACKED], 16) <= MAX_APART)
+        (F.col("l_key") == F.col("r_key"))
+        & (F.col("block") == F.col("r_block"))
+        & (F.col("l_own") != F.col("r_own"))
+        & (~F.col("r_outside") | (F.col("l_id") < F.col("r_id")))
+        & (F.coalesce(*[F.when(F.col(f"l_{k}") == F.col(f"r_{k}"), F.col(f"l_{k}")) for k in KEYS]) == F.col("l_key"))
+        & alike("l_", "r_")
     )
-    pairs = left.join(right, cond).select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).distinct()
-    found = materialize(pairs)
-    release(rows, buckets)
-    return found
+    if percent is not None:
+        cond = cond & linked("l_hashes", "r_hashes", percent)
+    return left.join(right, cond).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
+
+
+def linked(a: str, b: str, percent: int):
+    """Whether ``percent`` % of the union of two arrays of shingle hashes are in common."""
+    return 100 * F.size(F.array_intersect(a, b)) >= percent * F.size(F.array_union(a, b))
+
+
+def open_links(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: the links between the components of a bucket that no hub has found.
+
+    Buckets with few lines outside the hub's component give pairs, which are confirmed as others are. In crowded ones
+    the shingle sets themselves meet, block by block, and only links come out. Both ways compare every pair.
+    """
+    few = confirm(materialize(_met(rows.where(F.col("n") <= CROWD))), texts, percent)
+    crowds = rows.where(F.col("n") > CROWD)
+    sets = texts.withColumnRenamed("line_id", "id").join(crowds.select("id").distinct(), "id", "left_semi")
+    sets = materialize(shingles_of(sets, "bare", "hashes").select("id", F.array_distinct("hashes").alias("hashes")))
+    return materialize(few.unionByName(_met(crowds.join(sets, "id"), percent)))
 
 
 def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(line_id, class_id)`` of the distinct bare lines that are linked with another one."""
     signed = materialize(line_signatures(lines))
-    keys = signed.select(F.explode(F.array(*[f"k{b}" for b in range(len(BANDS))])).alias("key"), F.col("line_id").alias("id"))
+    keys = signed.select(F.explode(F.array(*KEYS)).alias("key"), F.col("line_id").alias("id"))
     hubs = materialize(
         keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     )
     members = materialize(keys.join(broadcast_if_small(hubs, hubs.count()), "key"))
-    texts = lines_named(materialize(members.select(F.col("id").alias("line_id")).distinct()), lines)
-    sizes = texts.select("line_id", "n")
-    few = lambda k: broadcast_if_small(sizes.select(F.col("line_id").alias(k), F.col("n").alias(f"n_{k}")), sizes.count())
+    ids = materialize(members.select(F.col("id").alias("line_id")).distinct())
+    texts, lanes = lines_named(ids, lines)
+    few = broadcast_if_small(lanes, lanes.count(), MAX_LINKED)
+    side = lambda k: few.select(F.col("line_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in PACKED])
     tried = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = materialize(tried.join(few("b"), "b").join(few("a"), "a").where(near_enough(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
-    links = confirm(pairs, texts, percent)
-    labels = materialize(connected_components(links, "a", "b"))
-    further = confirm(open_pairs(members, labels, signed, texts, percent), texts, percent)
-    found = labels
-    if not further.isEmpty():
-        edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further)
-        found = materialize(connected_components(edges, "a", "b"))
-        release(labels)
-    release(signed, hubs, members, texts, pairs, links, further)
-    return found.select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
+    pairs = materialize(tried.join(side("b"), "b").join(side("a"), "a").where(alike("a_", "b_")).select("a", "b"))
+    labels = materialize(connected_components(confirm(pairs, texts, percent), "a", "b"))
+    for last, seed in ((False, 1), (True, 0)):
+        rows = open_rows(members, labels, signed, lanes)
+        links = open_links(rows, texts, percent) if last else confirm(star_pairs(rows, seed), texts, percent)
+        if not links.isEmpty():
+            edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+            merged = materialize(connected_components(edges, "a", "b"))
+            release(labels)
+            labels = merged
+        release(rows, links)
+    release(signed, hubs, members, ids, texts, lanes, pairs)
+    return labels.select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
 
 
 def line_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
