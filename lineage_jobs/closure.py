@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineage_jobs.components import connected_components
-from lineage_jobs.runtime import materialize
+from lineage_jobs.runtime import broadcast_if_small, materialize
 from lineage_jobs.schemas import EDGE_PARTS
 
 
 def _component_of_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """The nodes that undirected paths join to a seed. ``edges(src, dst)``, ``seeds(node)``; nodes are structs."""
-    parts = materialize(connected_components(edges))
+    scripts = materialize(seeds.select("node.script_id").distinct())  # scripts are graphs of their own
+    few = broadcast_if_small(scripts, scripts.count())
+    near = edges.withColumn("script_id", F.col("src.script_id")).join(few, "script_id", "left_semi").drop("script_id")
+    parts = materialize(connected_components(near))
     chosen = parts.join(seeds.distinct(), "node", "left_semi").select("component").distinct()
     reached = parts.join(chosen, "component", "left_semi").select("node")
     return reached.unionByName(seeds.select("node")).distinct()
