@@ -19,6 +19,7 @@ CACHED = 100_000
 
 WORD = re.compile(r"\w+")
 BASE, MIX = np.uint64(0x100000001B3), np.uint64(0xBF58476D1CE4E5B9)
+INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 
 
 class WordHashes(dict):
@@ -44,16 +45,32 @@ def text_tokens(text: str | None) -> np.ndarray:
     return np.fromiter(map(WORDS.__getitem__, found), np.uint64, len(found))
 
 
+class Running:
+    """Running Karp-Rabin hashes of a token array: one pass sums up the prefixes, and then the windows of any width
+    come from two of them. The windows of the start ``k`` are told apart from their place by the inverse of the base."""
+
+    def __init__(self, tokens: np.ndarray):
+        n = len(tokens)
+        turns = np.full(n + 1, INVERSE, np.uint64)
+        turns[0] = 1
+        forth = np.full(n + 1, BASE, np.uint64)
+        forth[0] = 1
+        self.back, forth = np.cumprod(turns, dtype=np.uint64), np.cumprod(forth, dtype=np.uint64)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * forth[:n], dtype=np.uint64)])
+
+    def windows(self, width: int) -> np.ndarray:
+        """The hashes of all windows of ``width`` tokens."""
+        n = len(self.sums) - width
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        h = (self.sums[width:] - self.sums[:n]) * self.back[:n]
+        h ^= h >> np.uint64(31)
+        return h * MIX
+
+
 def rolling(tokens: np.ndarray, width: int) -> np.ndarray:
     """Karp-Rabin hashes of all windows of ``width`` tokens."""
-    n = len(tokens) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(width):
-        h = h * BASE + tokens[k : k + n]
-    h ^= h >> np.uint64(31)
-    return h * MIX
+    return Running(tokens).windows(width)
 
 
 def _free(marked: np.ndarray, width: int) -> np.ndarray:
@@ -88,6 +105,7 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[
     item_marked, text_marked = np.zeros(len(item), bool), np.zeros(len(text), bool)
     found: list[tuple[int, int, int]] = []
     width = min(len(item), len(text))
+    of_item, of_text = Running(item), Running(text)
     while width >= least:
         again = True
         while again:
@@ -96,10 +114,10 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[
             theirs = np.flatnonzero(_free(text_marked, width))
             if not len(mine) or not len(theirs):
                 break
-            hashes = rolling(text, width)[theirs]
+            hashes = of_text.windows(width)[theirs]
             order = np.argsort(hashes, kind="stable")
             hashes, theirs = hashes[order], theirs[order]
-            keys = rolling(item, width)[mine]
+            keys = of_item.windows(width)[mine]
             low, high = np.searchsorted(hashes, keys, "left"), np.searchsorted(hashes, keys, "right")
             matches = []
             for p, a, b in zip(mine.tolist(), low.tolist(), high.tolist(), strict=True):
@@ -128,6 +146,11 @@ class Items:
         self.least, self.coverage = least, coverage
         tokens = [(i, text_tokens(t)) for i, t in rows]
         self.tokens = [(i, t) for i, t in tokens if len(t) >= least]
+        # an item of fewer words than a seed is its own seed, and is matched whole
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, t in tokens:
+            if 0 < len(t) < least:
+                self.short.setdefault(len(t), {}).setdefault(int(rolling(t, len(t))[0]), []).append(i)
         seeds = [rolling(t, least) for _, t in self.tokens]
         owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
         flat = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
@@ -138,16 +161,21 @@ class Items:
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
         """``(item, its words, words tiled, tiles, coverage)`` of the items that the text covers enough."""
         words = text_tokens(text)
-        if len(words) < self.least or not len(self.seeds):
+        if not len(words):
             return []
-        grams = np.unique(rolling(words, self.least))
+        running, out = Running(words), []
+        for width, known in self.short.items():
+            for h in np.intersect1d(running.windows(width), np.fromiter(known, np.uint64, len(known))).tolist():
+                out += [(i, width, width, 1, 1.0) for i in known[h]]
+        if len(words) < self.least or not len(self.seeds):
+            return out
+        grams = np.unique(running.windows(self.least))
         low = np.searchsorted(self.seeds, grams, "left")
         hit = grams[self.seeds[np.minimum(low, len(self.seeds) - 1)] == grams]
         if not len(hit):
-            return []
+            return out
         low, high = np.searchsorted(self.seeds, hit, "left"), np.searchsorted(self.seeds, hit, "right")
         candidates = sorted({int(k) for a, b in zip(low, high, strict=True) for k in self.owner[a:b]})
-        out = []
         for k in candidates:
             item, tokens = self.tokens[k]
             within = np.zeros(len(tokens) + 1, np.int64)  # a tile lies within the seeds that both sides have
@@ -187,8 +215,8 @@ def contamination(
     of which the document's tiles cover at least ``coverage``.
 
     Map only: each block of the benchmark goes to all tasks with an index of its seeds; a document is tiled against the items
-    with which it shares enough seeds of five words. Whole texts are taken. Null and empty texts match nothing, nor do items of fewer than
-    five words; repeated rows of documents give repeated rows, repeated items count once.
+    with which it shares enough seeds of five words. Whole texts are taken. Null and empty texts match nothing; items of fewer than
+    five words match where they stand whole; repeated rows of documents give repeated rows, repeated items count once.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -108,17 +108,26 @@ def mix_sources(
     """The columns of ``columns`` (default: all), ``copy`` (from 1) and ``place``, a row for each copy of a document.
 
     The number of copies inverts the Poisson distribution of the source's rate (see :func:`source_rates`) at a
-    number hashed from ``seed`` and the id: the same on every run, and independent of how the rows are dealt.
+    number hashed from ``seed`` and the id (for a null id, from ``seed`` and the row's text and source): the same on
+    every run, and independent of how the rows are dealt.
     ``place`` is a hash of seed, id and copy; rows in the order of ``place`` are the global shuffle
-    (:func:`shuffled` deals them so). A null id counts as an empty one; repeated rows get equal counts each. Columns
-    of ``documents`` that are called ``copy`` or ``place`` give way to the new ones.
+    (:func:`shuffled` deals them so). Repeated rows get equal counts each; null and empty texts count no bytes
+    for their source and are mixed like others. An empty table gives an empty result. Columns of ``documents`` that are called
+    ``copy`` or ``place`` give way to the new ones.
     """
+    given = documents.columns
+    plain = {c: c for c in given}
+    if any(c.lower().startswith("mix_") for c in given):  # make room for the names used below
+        plain = {c: f"given_{k}" for k, c in enumerate(given)}
+        documents = documents.toDF(*plain.values())
+    doc_id, source, text = plain[doc_id], plain[source], plain[text]
     rates = materialize(source_rates(documents, weights, power, budget, source, text))
     known = rates.agg(F.count(F.lit(1)).alias("n"), F.max("rate").alias("most")).head()
     usual = rates.where(F.col("rate") <= MOST_RATE)
     table = usual.select(F.col("source").alias("mix_source"), poisson_table(F.col("rate")).alias("mix_cdf"))
     small = broadcast_if_small(table, known["n"], 10_000)
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    unnamed = F.concat(F.lit("-"), F.xxhash64(F.col(text), F.col(source)).cast("string"))
+    key = F.coalesce(F.col(doc_id).cast("string"), unnamed)
     seeded = F.lit(str(seed))
     joined = documents.join(small, F.col(source).eqNullSafe(F.col("mix_source")))
     u = uniform(seeded, key)
@@ -126,9 +135,10 @@ def mix_sources(
     counted = joined.withColumn("mix_u", u).withColumn(
         "mix_n", F.least(F.size(beyond), F.size("mix_cdf") - 1)
     )
-    kept = columns or documents.columns
+    kept = columns or given
     copies = counted.where("mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
-    wanted = [F.col(c) for c in dict.fromkeys([*kept, doc_id]) if c not in ("copy", "place")]
+    wanted = [F.col(plain[c]).alias(f"out_{k}") for k, c in enumerate(kept) if c not in ("copy", "place")]
+    wanted.append(key.alias("mix_key"))
     copies = copies.select(*wanted, "copy")
     if (known["most"] or 0) > MOST_RATE:
         entries = poisson_rows(rates.where(F.col("rate") > MOST_RATE))
@@ -142,8 +152,8 @@ def mix_sources(
         first = F.col("mix_block") * BLOCK + 1
         many = blocks.withColumn("copy", F.explode(F.sequence(first, F.least(first + BLOCK - 1, F.col("mix_n"))))).withColumn("copy", F.col("copy").cast("int"))
         copies = copies.unionByName(many.select(*wanted, "copy"))
-    return copies.withColumn("place", F.md5(F.concat_ws(":", seeded, key, F.col("copy").cast("string")))).select(
-        *[c for c in kept if c not in ("copy", "place")], "copy", "place"
+    return copies.withColumn("place", F.md5(F.concat_ws(":", seeded, "mix_key", F.col("copy").cast("string")))).select(
+        *[F.col(f"out_{k}").alias(c) for k, c in enumerate(kept) if c not in ("copy", "place")], "copy", "place"
     )
 
 

@@ -144,7 +144,7 @@ def full_sets(ids: DataFrame, documents: DataFrame, words: int) -> DataFrame:
             sets = [shingle_set(x.as_py(), words).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
 
-    texts = documents.select("doc_id", "text").join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = documents.select("doc_id", "text").join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     return materialize(texts.mapInArrow(run, "id long, hashes array<long>"))
 
 
@@ -290,9 +290,14 @@ def near_duplicates(
     components, the pairs between components whose signatures lie close enough, large components as a whole in blocks.
     So a bucket of copies gives rows in proportion to its size, and nothing is capped. Every link is confirmed on the full sets.
     Documents without words are linked with nothing; so are rows with a null id, whose ``component_id`` is null and
-    which are kept. Rows with the same id count as one document.
+    which are kept. Rows with the same id are one node with the greatest of their texts (null the least); each of them
+    gives a row. An empty table gives an empty result; other columns make no difference.
     """
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    twice = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if (n := twice.count()) > 0:
+        same = docs.join(broadcast_if_small(twice, n), "doc_id").groupBy("doc_id").agg(F.struct(F.max("text").alias("text")).alias("best"))
+        docs = docs.join(same, "doc_id", "left").select("doc_id", F.when(F.col("best").isNotNull(), F.col("best.text")).otherwise(F.col("text")).alias("text"))
     signed = materialize(signatures(docs, words))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     sets = materialize(
@@ -316,18 +321,20 @@ def near_duplicates(
         .select(F.col("hub").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
-    links = confirm(materialize(tried), docs, words, percent)
+    tried = materialize(tried)
+    links = confirm(tried, docs, words, percent)
     labels = materialize(connected_components(links, "a", "b"))
     rows = open_rows(members, labels)
     further = confirm(materialize(open_pairs(rows, sets, percent)), docs, words, percent)
     joined = crowd_links(rows, labels, docs, words, percent)
     edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further).unionByName(joined)
-    found = connected_components(edges, "a", "b").select(F.col("node").alias("id"), F.col("component"))
+    found = materialize(connected_components(edges, "a", "b")).select(F.col("node").alias("id"), F.col("component"))
     named = sets.select("set_a", "set_b", "id").join(found, "id", "left").select(
         "set_a", "set_b", F.coalesce("component", "id").alias("component")
     )
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
+    release(members, labels, rows, tried, links, further, joined)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )

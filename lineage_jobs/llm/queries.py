@@ -80,10 +80,11 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each copy of a document in the mixture of sources weighted by the square root of their bytes."""
-    from lineage_jobs.llm.mixing import mix_sources
+    """Each copy of a document, with its text, in the mixture of sources weighted by the square root of their bytes,
+    globally shuffled."""
+    from lineage_jobs.llm.mixing import mix_sources, shuffled
 
-    return mix_sources(_table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
+    return shuffled(mix_sources(_table(spark, sf_dir, "documents"), columns=["doc_id", "source", "text"]))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,11 +124,11 @@ r AS (SELECT source, CASE WHEN n_bytes > 0 THEN sqrt(n_bytes) / raw * b / n_byte
 steps AS (SELECT source, k, exp(-rate + k * ln(rate) - ln(gamma(k + 1))) AS p
           FROM r, range(0, 101) AS g(k) WHERE rate > 0),
 cdf AS (SELECT source, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM steps),
-d AS (SELECT doc_id, source, CAST('0x' || substr(md5('0:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+d AS (SELECT doc_id, source, text, CAST('0x' || substr(md5('0:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
       FROM documents),
-n AS (SELECT d.doc_id, d.source, (SELECT count(*) FROM cdf WHERE cdf.source = d.source AND cdf.c <= d.u) AS n FROM d)
-SELECT doc_id, source, CAST(copy AS INTEGER) AS copy,
-       md5('0:' || CAST(doc_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)) AS place
+n AS (SELECT d.doc_id, d.source, d.text, (SELECT count(*) FROM cdf WHERE cdf.source = d.source AND cdf.c <= d.u) AS n FROM d)
+SELECT n.doc_id, n.source, n.text, CAST(copy AS INTEGER) AS copy,
+       md5('0:' || CAST(n.doc_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)) AS place
 FROM n, range(1, n.n + 1) AS g(copy)
 """
 

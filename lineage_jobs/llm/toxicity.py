@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from lineage_jobs.runtime import materialize, release
 
-#: Bounds of the sample that the classifier is fitted on: toxic texts, unlabelled texts, and their longest length.
-POSITIVES, UNLABELLED, SAMPLE_CHARS = 4_000, 16_000, 20_000
+#: Bounds of the sample that the classifier is fitted on: toxic texts, and unlabelled texts.
+POSITIVES, UNLABELLED = 4_000, 16_000
 #: Features of the model, toxic texts that a feature must occur in, and how far its rate must stand out.
 FEATURES, LEAST_TEXTS, TELLING = 20_000, 3, 6.0
 #: Least chance that a text with a feature is toxic.
@@ -113,7 +113,7 @@ def held_out(doc_id):
 def _sample(documents: DataFrame, ids: DataFrame, most: int, positive: bool) -> DataFrame:
     """``(doc_id, text, positive)`` of up to ``most`` of ``ids``, those with the least hashes."""
     chosen = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most ``most`` ids
+    texts = documents.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))  # at most ``most`` ids
     return texts.select("doc_id", "text", F.lit(positive).alias("positive"))
 
 
@@ -174,11 +174,12 @@ def fit_toxicity(
 
     Confirmed toxic rows (``toxic = 1``) are the positives; rows of ``documents``, whatever their label, are the
     unlabelled texts; the class prior is the share of toxic rows among all labelled ones that aren't held out.
-    Both samples are bounded (:data:`POSITIVES`, :data:`UNLABELLED`) and take texts of at most
-    :data:`SAMPLE_CHARS` code points.
+    Both samples are bounded (:data:`POSITIVES`, :data:`UNLABELLED`: the ids of the least hashes) and take whole texts
+    of any length. Rows with a null id, text or label aren't learnt from; of rows with the same id the greatest text counts,
+    and an id is toxic if any of its labels says so. Without toxic rows every text gets the prior.
     """
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(
-        F.col("doc_id").isNotNull() & ~held_out("doc_id") & (F.length("text") <= SAMPLE_CHARS)
+        F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("text").isNotNull()
     )
     marks = (
         labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(toxic).alias("toxic"))

@@ -67,6 +67,13 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    rows = [(1, "a b c d e f g"), (1, "z y x w v u"), (2, "z y x w v u"), (3, "a b c d e f g"), (4, None), (4, "a b c d e f g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df, words=4).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (4, 3)]
+
+
 def test_signature_distance_counts_lanes(spark):
     from lineage_jobs.llm.lanes import lanes_apart
 
@@ -137,6 +144,16 @@ def test_mixing_rates(spark):
     assert mixed.count() == mixing.shuffled(mixed).count() and mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_of_odd_rows(spark):
+    docs = [(None, f"text {k}", "s") for k in range(400)] + [(7, "twin", "s"), (7, "twin", "s"), (8, None, "s"), (9, "", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("mix_source", F.lit("clash")).withColumn("mix_n", F.lit(1))
+    got = mixing.mix_sources(df, budget=1.0)
+    assert got.columns == ["doc_id", "text", "source", "mix_source", "mix_n", "copy", "place"]
+    rows = got.collect()
+    assert 300 < sum(r["doc_id"] is None for r in rows) < 500 and len({r["text"] for r in rows}) > 200  # null ids are drawn one by one
+    assert sum(r["doc_id"] == 7 for r in rows) % 2 == 0
+
+
 @pytest.fixture(scope="module")
 def toxic(spark):
     rng = random.Random(5)

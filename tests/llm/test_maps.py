@@ -64,6 +64,18 @@ def test_urls(spark):
     assert urls.url_verdicts(df.limit(0), RULES).count() == 0
 
 
+def test_relative_links_and_many_rules(spark):
+    pages = [
+        (1, "https://a.test/x/y", "<link rel=canonical href='//spam.net/z'>"), (2, "https://b.test/x/y", "<link rel='canonical' href=\"other\">"),
+        (3, "https://b.test/x/other", '<meta http-equiv="refresh" content="0; url=/bad/1">'), (4, "https://c.test", '<link rel="canonical" href="mailto:x@spam.net">'),
+        (5, "https://h77.test/p9/q", ""), (6, "https://sub.h77.test/p9", ""), (7, "https://h5001.test/p9/", ""),
+    ]
+    rules = [(f"h{k}.test/p9/", "block") for k in range(5000)] + [("h77.test/", "allow"), ("net/", "block"), ("b.test/bad/", "block")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.url_verdicts(df, rules).collect()}
+    assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow"), 5: ("h77.test/p9/", "block"), 6: ("h77.test/", "allow"), 7: (None, "allow")}
+
+
 def test_tiles_find_reordered_passages():
     words = [f"w{k}" for k in range(30)]
     item = decontamination.text_tokens(" ".join(words))
@@ -72,9 +84,49 @@ def test_tiles_find_reordered_passages():
     assert decontamination.tiles(item, decontamination.text_tokens(" ".join(words[:4]))) == []
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=60), st.integers(1, 60))
+def test_running_hashes_equal_those_of_each_window(a, width):
+    import numpy as np
+
+    tokens, base = np.array(a, np.uint64), int(decontamination.BASE)
+    plain = [sum(x * pow(base, k, 1 << 64) for k, x in enumerate(a[p : p + width])) % (1 << 64) for p in range(len(a) - width + 1)]
+    want = [(h ^ (h >> 31)) * int(decontamination.MIX) % (1 << 64) for h in plain]
+    assert decontamination.rolling(tokens, width).tolist() == want
+
+
+def plain_tiling(a, b, least):
+    """Greedy string tiling as it is defined: always the longest match of unmarked tokens, of several the first."""
+    free_a, free_b, total = [True] * len(a), [True] * len(b), 0
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(a)):
+            for t in range(len(b)):
+                n = 0
+                while p + n < len(a) and t + n < len(b) and a[p + n] == b[t + n] and free_a[p + n] and free_b[t + n]:
+                    n += 1
+                best = max(best, (n, -p, -t))
+        n, p, t = best[0], -best[1], -best[2]
+        if n < least:
+            return total
+        free_a[p : p + n], free_b[t : t + n] = [False] * n, [False] * n
+        total += n
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.permutations(range(5)), st.integers(0, 3))
+def test_coverage_equals_plain_greedy_tiling(order, lost):
+    import numpy as np
+
+    item = list(range(50))  # without repeats the longest match is the only one
+    text = [x for k in order for x in [*item[k * 10 + lost : k * 10 + 10], 99]]
+    found = decontamination.tiles(np.array(item, np.uint64), np.array(text, np.uint64), 5)
+    assert sum(n for _, _, n in found) == plain_tiling(item, text, 5)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=60))
-def test_tiles_equal_plain_greedy_tiling(a, b):
+def test_tiles_are_valid_and_leave_nothing(a, b):
     import numpy as np
 
     item, text = np.array(a, np.uint64), np.array(b, np.uint64)
@@ -99,6 +151,9 @@ def test_contamination(spark, odd):
         got = decontamination.contamination(docs, bench, block_bytes=block)
         assert sorted((r["doc_id"], r["item_id"], r["tiled_words"]) for r in got.collect()) == [(10, 1, 20), (12, 1, 40)]
     assert sorted(r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).collect()) == [11, 13]
+    words = spark.createDataFrame([(7, "Too SHORT!")], "item_id long, text string")
+    said = spark.createDataFrame([(1, "it is too short."), (2, "short too"), (3, "too short too short")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_words"]) for r in decontamination.contamination(said, words).collect()) == [(1, 2), (3, 2)]
     assert decontamination.contamination(odd, bench).count() == 0 and decontamination.drop_contaminated(odd, bench).count() == len(ODD)
     assert decontamination.contamination(docs, bench.limit(0)).count() == 0
 
