@@ -99,15 +99,15 @@ END AS text
 FROM orders
 """
 
-#: One script per order, shapes of G1, G2, G3, G4, G5 and a pure query.
+#: One script per order; the variant is `o_orderkey % 6`: 0 listed target columns and an unnamed expression, 1 a view over a CTE and a second statement, 2 a FROM-subquery, 3 a qualified star, 4 an update, 5 a query.
 SQL_SCRIPTS = """
 SELECT o_orderkey AS script_id, CASE o_orderkey % 6
-  WHEN 0 THEN concat('INSERT INTO dw.a SELECT o.id, u.name, o.amt * 1.1 AS amt FROM ods.o', CAST(o_custkey % 50 AS VARCHAR(9)), ' o LEFT JOIN dim.u u ON o.uid = u.id WHERE o.dt = ''a;b''')
-  WHEN 1 THEN concat('WITH c AS (SELECT id, name FROM dim.u', CAST(o_custkey % 50 AS VARCHAR(9)), ' WHERE s = 1) INSERT INTO dw.v SELECT c.id, p.t FROM c JOIN agg.p p ON c.id = p.id; INSERT INTO tmp.x SELECT id FROM dim.u')
-  WHEN 2 THEN concat('CREATE TABLE dws.s AS SELECT s.city, SUM(s.amt) AS t, COUNT(*) AS n FROM ods.s', CAST(o_custkey % 50 AS VARCHAR(9)), ' s GROUP BY s.city')
-  WHEN 3 THEN concat('INSERT INTO db.t SELECT * FROM db.s', CAST(o_custkey % 50 AS VARCHAR(9)))
-  WHEN 4 THEN concat('UPDATE dw.u u SET cn = c.name, lv = l.lv FROM dim.c', CAST(o_custkey % 50 AS VARCHAR(9)), ' c, dim.l l WHERE u.c = c.id AND u.l = l.id')
-  ELSE concat('SELECT a FROM q.r', CAST(o_custkey % 50 AS VARCHAR(9)))
+  WHEN 0 THEN concat('INSERT INTO fin.book (acct, fee) SELECT b.nr, coalesce(k.rate, 0) * b.vol FROM core.trade', CAST(o_custkey % 50 AS VARCHAR(9)), ' b JOIN core.cost k ON k.nr = b.nr AND k.kind <> ''x;y'' WHERE b.vol > 0')
+  WHEN 1 THEN concat('CREATE VIEW web.top AS WITH hits AS (SELECT page, visitor FROM log.raw', CAST(o_custkey % 50 AS VARCHAR(9)), ' WHERE code = 200) SELECT h.page AS url, count(DISTINCT h.visitor) visitors FROM hits h; REPLACE INTO web.seen (who) SELECT visitor FROM log.raw', CAST(o_custkey % 50 AS VARCHAR(9)))
+  WHEN 2 THEN concat('INSERT INTO geo.area SELECT z.land, max(z.height) AS peak FROM (SELECT land, height FROM geo.point', CAST(o_custkey % 50 AS VARCHAR(9)), ') z GROUP BY z.land')
+  WHEN 3 THEN concat('CREATE TABLE arc.copy AS SELECT p.*, q.note FROM [arc].[live', CAST(o_custkey % 50 AS VARCHAR(9)), '] p LEFT JOIN arc.memo q ON q.id = p.id')
+  WHEN 4 THEN concat('UPDATE hr.staff SET desk = d.room, boss = coalesce(d.head, ''none'') FROM hr.desk', CAST(o_custkey % 50 AS VARCHAR(9)), ' d WHERE d.id = staff.id')
+  ELSE concat('SELECT t.k, t.v FROM kv.store', CAST(o_custkey % 50 AS VARCHAR(9)), ' AS t LIMIT 9')
 END AS text
 FROM orders
 """

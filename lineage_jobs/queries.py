@@ -453,21 +453,21 @@ def sql_statements(spark, sf_dir):
     return sqltext.sql_statements(derived(spark, sf_dir, fixtures.SQL_SCRIPTS))
 
 
-@query(_S + """SELECT script_id, 1 AS stmt_idx, CASE v WHEN 2 THEN 'create' WHEN 4 THEN 'update' WHEN 5 THEN 'select' ELSE 'insert' END AS kind, false AS needs_parser FROM o
+@query(_S + """SELECT script_id, 1 AS stmt_idx, CASE v WHEN 1 THEN 'create' WHEN 3 THEN 'create' WHEN 4 THEN 'update' WHEN 5 THEN 'select' ELSE 'insert' END AS kind, false AS needs_parser FROM o
 UNION ALL SELECT script_id, 2, 'insert', false FROM o WHERE v = 1""")
 def sql_statement_kind(spark, sf_dir):
     return statements(spark, sf_dir).select("script_id", "stmt_idx", "kind", "needs_parser")
 
 
-_TARGETS = "CASE v WHEN 0 THEN 'dw.a' WHEN 1 THEN 'dw.v' WHEN 2 THEN 'dws.s' WHEN 3 THEN 'db.t' WHEN 4 THEN 'dw.u' END"
+_TARGETS = "CASE v WHEN 0 THEN 'fin.book' WHEN 1 THEN 'web.top' WHEN 2 THEN 'geo.area' WHEN 3 THEN 'arc.copy' WHEN 4 THEN 'hr.staff' END"
 
 
-@query(_S + f"""SELECT script_id, 1 AS stmt_idx, {_TARGETS} AS table_name FROM o WHERE v < 5 UNION ALL SELECT script_id, 2, 'tmp.x' FROM o WHERE v = 1""")
+@query(_S + f"""SELECT script_id, 1 AS stmt_idx, {_TARGETS} AS table_name FROM o WHERE v < 5 UNION ALL SELECT script_id, 2, 'web.seen' FROM o WHERE v = 1""")
 def sql_targets(spark, sf_dir):
     return sqltext.sql_targets(statements(spark, sf_dir)).select("script_id", "stmt_idx", "table_name")
 
 
-@query(_S + "SELECT script_id, 1 AS stmt_idx, 0 AS pos, 'c' AS name, 'SELECT id, name FROM dim.u' || x || ' WHERE s = 1' AS body FROM o WHERE v = 1")
+@query(_S + "SELECT script_id, 1 AS stmt_idx, 0 AS pos, 'hits' AS name, 'SELECT page, visitor FROM log.raw' || x || ' WHERE code = 200' AS body FROM o WHERE v = 1")
 def sql_ctes(spark, sf_dir):
     return sqltext.sql_ctes(statements(spark, sf_dir))
 
@@ -479,10 +479,10 @@ def sql_blocks(spark, sf_dir):
     return blocks(spark, sf_dir, fixtures.NESTED_SCRIPTS).drop("body")
 
 
-_SOURCES = """r AS (SELECT script_id, 1 AS stmt_idx, 'm' AS scope_id, 'ods.o' || x AS table_name, 'o' AS alias, 0 AS pos FROM o WHERE v = 0 UNION ALL SELECT script_id, 1, 'm', 'dim.u', 'u', 1 FROM o WHERE v = 0
-UNION ALL SELECT script_id, 1, 'c0', 'dim.u' || x, 'u' || x, 0 FROM o WHERE v = 1 UNION ALL SELECT script_id, 1, 'm', 'c', 'c', 0 FROM o WHERE v = 1 UNION ALL SELECT script_id, 1, 'm', 'agg.p', 'p', 1 FROM o WHERE v = 1
-UNION ALL SELECT script_id, 2, 'm', 'dim.u', 'u', 0 FROM o WHERE v = 1 UNION ALL SELECT script_id, 1, 'm', 'ods.s' || x, 's', 0 FROM o WHERE v = 2
-UNION ALL SELECT script_id, 1, 'm', 'db.s' || x, 's' || x, 0 FROM o WHERE v = 3 UNION ALL SELECT script_id, 1, 'm', 'q.r' || x, 'r' || x, 0 FROM o WHERE v = 5)"""
+_SOURCES = """r AS (SELECT script_id, stmt_idx, scope_id, CASE WHEN numbered THEN t || x ELSE t END AS table_name, CASE WHEN a = '' THEN split_part(t, '.', 2) || x ELSE a END AS alias, pos
+FROM o JOIN (VALUES (0, 1, 'm', 'core.trade', true, 'b', 0), (0, 1, 'm', 'core.cost', false, 'k', 1), (1, 1, 'c0', 'log.raw', true, '', 0), (1, 1, 'm', 'hits', false, 'h', 0), (1, 2, 'm', 'log.raw', true, '', 0),
+(2, 1, 'm', NULL, false, 'z', 0), (2, 1, 'm.f0', 'geo.point', true, '', 0), (3, 1, 'm', 'arc.live', true, 'p', 0), (3, 1, 'm', 'arc.memo', false, 'q', 1), (5, 1, 'm', 'kv.store', true, 't', 0))
+AS f(w, stmt_idx, scope_id, t, numbered, a, pos) ON f.w = o.v)"""
 
 
 @query(_S.rstrip() + f", {_SOURCES} SELECT * FROM r")
@@ -496,25 +496,26 @@ def physical(spark, sf_dir):
     return s, sqltext.sql_physical_sources(sqltext.sql_relations(sqltext.sql_blocks(s, ctes)), ctes)
 
 
-@query(_S.rstrip() + f", {_SOURCES} SELECT DISTINCT script_id, stmt_idx, table_name FROM r WHERE table_name <> 'c'")
+@query(_S.rstrip() + f", {_SOURCES} SELECT DISTINCT script_id, stmt_idx, table_name FROM r WHERE table_name <> 'hits'")
 def sql_physical_sources(spark, sf_dir):
     return physical(spark, sf_dir)[1]
 
 
-@query(_S.rstrip() + f""", {_SOURCES} SELECT DISTINCT r.script_id, r.stmt_idx, table_name AS source, CASE WHEN stmt_idx = 2 THEN 'tmp.x' ELSE {_TARGETS} END AS target
-FROM r JOIN o ON o.script_id = r.script_id WHERE table_name <> 'c' AND v <> 5""")
+@query(_S.rstrip() + f""", {_SOURCES} SELECT DISTINCT r.script_id, r.stmt_idx, table_name AS source, CASE WHEN stmt_idx = 2 THEN 'web.seen' ELSE {_TARGETS} END AS target
+FROM r JOIN o ON o.script_id = r.script_id WHERE table_name <> 'hits' AND v <> 5""")
 def sql_table_edges(spark, sf_dir):
     s, sources = physical(spark, sf_dir)
     return sqltext.sql_table_edges(sources, sqltext.sql_targets(s))
 
 
-@query(_S + "SELECT script_id, 1 AS stmt_idx, 'q.r' || x AS id, 'source' AS role FROM o WHERE v = 5")
+@query(_S + "SELECT script_id, 1 AS stmt_idx, 'kv.store' || x AS id, 'source' AS role FROM o WHERE v = 5")
 def sql_read_only_tables(spark, sf_dir):
     return sqltext.sql_read_only_tables(*physical(spark, sf_dir))
 
 
-_PROJECTIONS = """pr AS (SELECT * FROM (VALUES (0, 1, 'm', 1, 'id', 'o.id'), (0, 1, 'm', 2, 'name', 'u.name'), (0, 1, 'm', 3, 'amt', 'o.amt * 1.1'), (1, 1, 'c0', 1, 'id', 'id'), (1, 1, 'c0', 2, 'name', 'name'),
-(1, 1, 'm', 1, 'id', 'c.id'), (1, 1, 'm', 2, 't', 'p.t'), (1, 2, 'm', 1, 'id', 'id'), (2, 1, 'm', 1, 'city', 's.city'), (2, 1, 'm', 2, 't', 'SUM(s.amt)'), (2, 1, 'm', 3, 'n', 'COUNT(*)'), (3, 1, 'm', 1, '*', '*'), (5, 1, 'm', 1, 'a', 'a'))
+_PROJECTIONS = """pr AS (SELECT * FROM (VALUES (0, 1, 'm', 1, 'nr', 'b.nr'), (0, 1, 'm', 2, 'col_2', 'coalesce(k.rate, 0) * b.vol'), (1, 1, 'c0', 1, 'page', 'page'), (1, 1, 'c0', 2, 'visitor', 'visitor'),
+(1, 1, 'm', 1, 'url', 'h.page'), (1, 1, 'm', 2, 'visitors', 'count(DISTINCT h.visitor)'), (1, 2, 'm', 1, 'visitor', 'visitor'), (2, 1, 'm', 1, 'land', 'z.land'), (2, 1, 'm', 2, 'peak', 'max(z.height)'),
+(2, 1, 'm.f0', 1, 'land', 'land'), (2, 1, 'm.f0', 2, 'height', 'height'), (3, 1, 'm', 1, '*', 'p.*'), (3, 1, 'm', 2, 'note', 'q.note'), (5, 1, 'm', 1, 'k', 't.k'), (5, 1, 'm', 2, 'v', 't.v'))
 AS t(v, stmt_idx, scope_id, pos, name, expr))"""
 
 
@@ -523,14 +524,15 @@ def sql_projections(spark, sf_dir):
     return sqltext.sql_projections(blocks(spark, sf_dir))
 
 
-@query(_S.rstrip() + """, pr AS (SELECT * FROM (VALUES (0, 1, 'm', 1, 'o', 'id'), (0, 1, 'm', 2, 'u', 'name'), (0, 1, 'm', 3, 'o', 'amt'), (1, 1, 'c0', 1, NULL, 'id'), (1, 1, 'c0', 2, NULL, 'name'),
-(1, 1, 'm', 1, 'c', 'id'), (1, 1, 'm', 2, 'p', 't'), (1, 2, 'm', 1, NULL, 'id'), (2, 1, 'm', 1, 's', 'city'), (2, 1, 'm', 2, 's', 'amt'), (3, 1, 'm', 1, NULL, '*'), (5, 1, 'm', 1, NULL, 'a'))
+@query(_S.rstrip() + """, pr AS (SELECT * FROM (VALUES (0, 1, 'm', 1, 'b', 'nr'), (0, 1, 'm', 2, 'k', 'rate'), (0, 1, 'm', 2, 'b', 'vol'), (1, 1, 'c0', 1, NULL, 'page'), (1, 1, 'c0', 2, NULL, 'visitor'),
+(1, 1, 'm', 1, 'h', 'page'), (1, 1, 'm', 2, 'h', 'visitor'), (1, 2, 'm', 1, NULL, 'visitor'), (2, 1, 'm', 1, 'z', 'land'), (2, 1, 'm', 2, 'z', 'height'), (2, 1, 'm.f0', 1, NULL, 'land'), (2, 1, 'm.f0', 2, NULL, 'height'),
+(3, 1, 'm', 1, 'p', '*'), (3, 1, 'm', 2, 'q', 'note'), (5, 1, 'm', 1, 't', 'k'), (5, 1, 'm', 2, 't', 'v'))
 AS t(v, stmt_idx, scope_id, pos, qualifier, col)) SELECT script_id, stmt_idx, scope_id, pos, qualifier, col FROM o JOIN pr ON pr.v = o.v""")
 def sql_column_refs(spark, sf_dir):
     return sqltext.sql_column_refs(sqltext.sql_projections(blocks(spark, sf_dir)))
 
 
-@query(_S + """SELECT script_id, 1 AS stmt_idx, 'update' AS arm, 1 AS pos, 'cn' AS "column", 'c.name' AS expr FROM o WHERE v = 4 UNION ALL SELECT script_id, 1, 'update', 2, 'lv', 'l.lv' FROM o WHERE v = 4""")
+@query(_S + """SELECT script_id, 1 AS stmt_idx, 'update' AS arm, 1 AS pos, 'desk' AS "column", 'd.room' AS expr FROM o WHERE v = 4 UNION ALL SELECT script_id, 1, 'update', 2, 'boss', 'coalesce(d.head, '''')' FROM o WHERE v = 4""")
 def sql_set_items(spark, sf_dir):
     return sqltext.sql_set_items(statements(spark, sf_dir))
 
@@ -630,7 +632,7 @@ def insert_column_rename(spark, sf_dir):
     return resolve.insert_column_rename(f["derived"], f["targets"]).drop("stmt_idx")
 
 
-@query(_S + """SELECT script_id, 'dim.c' || x AS source_table, 'name' AS source_column, 'dw.u' AS target_table, 'cn' AS target_column FROM o WHERE v = 4 UNION ALL SELECT script_id, 'dim.l', 'lv', 'dw.u', 'lv' FROM o WHERE v = 4""")
+@query(_S + """SELECT script_id, 'hr.desk' || x AS source_table, 'room' AS source_column, 'hr.staff' AS target_table, 'desk' AS target_column FROM o WHERE v = 4 UNION ALL SELECT script_id, 'hr.desk' || x, 'head', 'hr.staff', 'boss' FROM o WHERE v = 4""")
 def update_edges(spark, sf_dir):
     f = resolve.statement_facts(materialize(statements(spark, sf_dir)))
     return resolve.update_edges(f["set_items"], f["sources"], f["targets"]).select("script_id", *EDGE_PARTS)
@@ -656,19 +658,20 @@ def no_column_lineage_warning(spark, sf_dir):
     return resolve.no_column_lineage_warning(g["table_edges"], g["column_edges"].where("source_column <> '*'"))
 
 
-@query(_S.rstrip() + f""", {_SOURCES}, s AS (SELECT DISTINCT r.script_id, v, r.stmt_idx, table_name FROM r JOIN o ON o.script_id = r.script_id WHERE table_name <> 'c'
-UNION SELECT script_id, v, 1, 'dim.c' || x FROM o WHERE v = 4 UNION SELECT script_id, v, 1, 'dim.l' FROM o WHERE v = 4),
-w AS (SELECT script_id, v, 1 AS stmt_idx, {_TARGETS} AS target FROM o WHERE v < 5 UNION SELECT script_id, v, 2, 'tmp.x' FROM o WHERE v = 1)
-SELECT DISTINCT script_id, 'tables' AS part, table_name AS a, 'source' AS b, NULL AS c, NULL AS d FROM s
+_LINEAGE = f"""{_SOURCES}, s AS (SELECT DISTINCT r.script_id, v, r.stmt_idx, table_name FROM r JOIN o ON o.script_id = r.script_id WHERE table_name <> 'hits'
+UNION SELECT script_id, v, 1, 'hr.desk' || x FROM o WHERE v = 4),
+w AS (SELECT script_id, v, 1 AS stmt_idx, {_TARGETS} AS target FROM o WHERE v < 5 UNION SELECT script_id, v, 2, 'web.seen' FROM o WHERE v = 1),
+ce AS (SELECT script_id, CASE WHEN numbered THEN t || x ELSE t END AS a, c, t2, c2 FROM o JOIN (VALUES (0, 'core.trade', true, 'nr', 'fin.book', 'acct'), (0, 'core.cost', false, 'rate', 'fin.book', 'fee'), (0, 'core.trade', true, 'vol', 'fin.book', 'fee'),
+(1, 'log.raw', true, 'page', 'web.top', 'url'), (1, 'log.raw', true, 'visitor', 'web.top', 'visitors'), (1, 'log.raw', true, 'visitor', 'web.seen', 'who'), (2, 'geo.point', true, 'land', 'geo.area', 'land'),
+(2, 'geo.point', true, 'height', 'geo.area', 'peak'), (3, 'arc.live', true, '*', 'arc.copy', '*'), (3, 'arc.memo', false, 'note', 'arc.copy', 'note'), (4, 'hr.desk', true, 'room', 'hr.staff', 'desk'), (4, 'hr.desk', true, 'head', 'hr.staff', 'boss'))
+AS f(w, t, numbered, c, t2, c2) ON f.w = o.v),
+rows_ AS (SELECT DISTINCT script_id, 'tables' AS part, table_name AS a, 'source' AS b, CAST(NULL AS VARCHAR) AS c, CAST(NULL AS VARCHAR) AS d FROM s
 UNION ALL SELECT script_id, 'tables', target, 'target', NULL, NULL FROM w
 UNION ALL SELECT w.script_id, 'table_edges', table_name, target, NULL, NULL FROM s JOIN w ON w.script_id = s.script_id AND w.stmt_idx = s.stmt_idx
-UNION ALL SELECT script_id, 'column_edges', 'ods.o' || x, 'id', 'dw.a', 'id' FROM o WHERE v = 0 UNION ALL SELECT script_id, 'column_edges', 'dim.u', 'name', 'dw.a', 'name' FROM o WHERE v = 0
-UNION ALL SELECT script_id, 'column_edges', 'ods.o' || x, 'amt', 'dw.a', 'amt' FROM o WHERE v = 0 UNION ALL SELECT script_id, 'column_edges', 'dim.u' || x, 'id', 'dw.v', 'id' FROM o WHERE v = 1
-UNION ALL SELECT script_id, 'column_edges', 'agg.p', 't', 'dw.v', 't' FROM o WHERE v = 1 UNION ALL SELECT script_id, 'column_edges', 'dim.u', 'id', 'tmp.x', 'id' FROM o WHERE v = 1
-UNION ALL SELECT script_id, 'column_edges', 'ods.s' || x, 'city', 'dws.s', 'city' FROM o WHERE v = 2 UNION ALL SELECT script_id, 'column_edges', 'ods.s' || x, 'amt', 'dws.s', 't' FROM o WHERE v = 2
-UNION ALL SELECT script_id, 'column_edges', 'db.s' || x, '*', 'db.t', '*' FROM o WHERE v = 3
-UNION ALL SELECT script_id, 'column_edges', 'dim.c' || x, 'name', 'dw.u', 'cn' FROM o WHERE v = 4 UNION ALL SELECT script_id, 'column_edges', 'dim.l', 'lv', 'dw.u', 'lv' FROM o WHERE v = 4
-UNION ALL SELECT script_id, 'attempts', 'true', '', NULL, NULL FROM o""")
+UNION ALL SELECT script_id, 'column_edges', a, c, t2, c2 FROM ce)"""
+
+
+@query(_S.rstrip() + f""", {_LINEAGE} SELECT * FROM rows_ UNION ALL SELECT script_id, 'attempts', 'true', '', NULL, NULL FROM o""")
 def sql_lineage(spark, sf_dir):
     g = resolve.sql_lineage(derived(spark, sf_dir, fixtures.SQL_SCRIPTS))
     return flat_rows({k: v for k, v in g.items() if k != "warnings"})

@@ -37,7 +37,7 @@ OUT = [*REF, "src_table", "src_scope", "src_column"]
 MOST_LEVELS = 200
 
 
-def scope_visible_aliases(scopes: DataFrame, relations: DataFrame, ctes: DataFrame | None = None, max_depth: int = 8) -> DataFrame:
+def scope_visible_aliases(scopes: DataFrame, relations: DataFrame, ctes: DataFrame | None = None) -> DataFrame:
     """``(script_id, stmt_idx, scope_id, alias, kind, table_name, derived_scope_id, distance)``.
 
     A scope sees its own aliases and its ancestors'; the nearest wins, of equal ones in a scope the last by ``pos``.
@@ -47,11 +47,15 @@ def scope_visible_aliases(scopes: DataFrame, relations: DataFrame, ctes: DataFra
     chain = scopes.select(*SCOPE, F.col("scope_id").alias("at"), F.lit(0).alias("distance"), "parent_scope_id")
     up = scopes.select(*KEY, F.col("scope_id").alias("parent_scope_id"), F.col("parent_scope_id").alias("next"))
     every = chain
-    for _ in range(max_depth):
-        chain = chain.where("parent_scope_id is not null").join(up, [*KEY, "parent_scope_id"]).select(
+    for _ in range(MOST_LEVELS):
+        chain = materialize(chain.where("parent_scope_id is not null").join(up, [*KEY, "parent_scope_id"]).select(
             *SCOPE, F.col("parent_scope_id").alias("at"), (F.col("distance") + 1).alias("distance"), F.col("next").alias("parent_scope_id")
-        )
+        ))
+        if chain.isEmpty():
+            break
         every = every.unionByName(chain)
+    else:
+        raise RuntimeError(f"scopes are nested deeper than {MOST_LEVELS}")
     there = relations.select(*KEY, F.col("scope_id").alias("at"), F.lower("alias").alias("alias"), "kind", "table_name", "derived_scope_id", F.col("pos").cast("long").alias("pos"))
     seen = every.join(there, [*KEY, "at"]).select(*SCOPE, "alias", "kind", "table_name", "derived_scope_id", "distance", "pos", F.lit(0).alias("second"))
     if ctes is not None:
@@ -329,7 +333,7 @@ def query_outputs(queries: DataFrame) -> DataFrame:
     ``queries(script_id, content_idx, query_pos, sql)``; ``pos`` counts from 0; ``sources`` are structs of table and column; ``tables``
     the query's physical tables. A query that isn't a SELECT with output columns gives no row.
     """
-    keyed = queries.withColumn("stmt_idx", (F.col("content_idx") * 1000 + F.col("query_pos")).cast("int"))
+    keyed = queries.withColumn("stmt_idx", F.col("content_idx").cast("long") * (1 << 32) + F.col("query_pos"))
     statements = materialize(sql_statement_kind(keyed.select(*KEY, "sql")).where("kind = 'select'"))
     facts = statement_facts(statements)
     sources = facts["derived"].where("scope_id = 'm'").groupBy(*KEY, "pos").agg(F.sort_array(F.collect_set(F.struct("src_table", "src_column"))).alias("sources"))
@@ -358,21 +362,25 @@ def sql_edges(statements: DataFrame) -> dict[str, DataFrame]:
         .unionByName(update_edges(facts["set_items"], facts["sources"], targets))
         .unionByName(merged)
     )
+    edges, columns = materialize(sql_table_edges(sources, targets)), materialize(columns)
     written = targets.select(*KEY, F.col("table_name").alias("id"), F.lit("target").alias("role"))
     read = sources.join(targets.select(*KEY, F.col("table_name").alias("own"), "kind"), KEY).where("kind <> 'delete' and table_name <> own").select(*KEY, F.col("table_name").alias("id"), F.lit("source").alias("role"))
     return {
         "tables": sql_read_only_tables(statements, sources).unionByName(written).unionByName(read),
-        "table_edges": sql_table_edges(sources, targets),
+        "table_edges": edges,
         "column_edges": columns,
-        "warnings": approximate.unionByName(statements.where("needs_parser").select(*KEY, F.lit("needs_parser").alias("code"))),
+        "warnings": approximate.unionByName(statements.where("needs_parser").select(*KEY, F.lit("needs_parser").alias("code"))).unionByName(
+            edges.select(*KEY).distinct().join(columns.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, F.lit("no_column_lineage").alias("code"))
+        ),
     }
 
 
 def sql_lineage(scripts: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
     """The normalised graph tables of a corpus of SQL scripts, with ``warnings`` and ``attempts``.
 
-    Statements whose parentheses are too deep or don't balance are left out and named in the warnings. A script from
-    which no table comes is a failed attempt.
+    Statements whose parentheses are too deep or don't balance, that start with FROM or whose written table isn't found
+    are left out and named ``needs_parser`` in the warnings; those with table edges but no column edge are named
+    ``no_column_lineage``. A script from which no table comes is a failed attempt.
     """
     statements = materialize(sql_statement_kind(sql_statements(scripts)))
     raw = sql_edges(statements)

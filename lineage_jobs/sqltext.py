@@ -31,8 +31,8 @@ KEYWORDS = (
     "returning escape nulls first last filter within"
 ).split()
 NOT_KEYWORD = rf"(?!(?:{'|'.join(KEYWORDS)})\b)"
-#: Nested blocks are followed so far below a statement or CTE.
-MOST_LEVELS = 4
+#: Query blocks may be nested so deep before the loop gives up with an error.
+MOST_LEVELS = 200
 KEY = ["script_id", "stmt_idx"]
 
 
@@ -42,9 +42,10 @@ def tempered(stops: str) -> str:
 
 
 def sql_code(sql):
-    """A statement for mining: no comments, literals emptied, no identifier quotes, single spaces."""
+    """A statement for mining: no comments, literals emptied, no identifier quotes or brackets, single spaces."""
     code = F.regexp_replace(sql, rf"(?s)({LITERAL})|{COMMENT}", "$1")
-    return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(code, rf"(?s){LITERAL}", "''"), '[`"]', ""), r"\s++", " "))
+    code = F.regexp_replace(F.regexp_replace(code, rf"(?s){LITERAL}", "''"), '[`"]', "")
+    return strip(F.regexp_replace(F.regexp_replace(code, r"(?<![\w\])])\[([\w$]++)\]", "$1"), r"\s++", " "))
 
 
 def sql_statements(scripts: DataFrame) -> DataFrame:
@@ -86,8 +87,13 @@ def statement_kind(main):
 
 
 def sql_statement_kind(statements: DataFrame) -> DataFrame:
-    """:func:`mined` statements with ``kind``."""
-    return mined(statements).withColumn("kind", statement_kind(F.col("main")))
+    """:func:`mined` statements with ``kind``.
+
+    Statements that start with FROM (several inserts from one source), and writing ones whose table isn't found, need a parser.
+    """
+    rows = mined(statements).withColumn("kind", statement_kind(F.col("main")))
+    lost = F.col("kind").isin("insert", "create", "update", "merge", "delete") & (F.regexp_extract("main", WRITTEN, 1) == "")
+    return rows.withColumn("needs_parser", F.col("needs_parser") | lost | F.col("main").rlike(r"(?i)^FROM\b"))
 
 
 def _squeeze(name):
@@ -186,9 +192,9 @@ def sql_blocks(statements: DataFrame, ctes: DataFrame) -> DataFrame:
         )
         level = materialize(below)
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+    raise RuntimeError(f"query blocks are nested deeper than {MOST_LEVELS}")
 
 
 def is_union(body):
@@ -239,7 +245,7 @@ def sql_written_relations(statements: DataFrame) -> DataFrame:
 
     An UPDATE's own table isn't among them, so references to its alias resolve to nothing.
     """
-    joined = F.slice(F.regexp_extract_all(F.regexp_extract("main", UPDATE_JOIN, 1), F.lit(FROM_ITEM), F.lit(1)), 2, 1000)
+    joined = F.slice(F.regexp_extract_all(F.regexp_extract("main", UPDATE_JOIN, 1), F.lit(FROM_ITEM), F.lit(1)), 2, (1 << 31) - 1)
     items = F.when(F.col("kind") == "update", F.concat(from_items(F.col("main"), UPDATE_FROM), joined)).when(F.col("kind") == "merge", from_items(F.col("main"), MERGE_USING))
     rows = statements.where(F.col("kind").isin("update", "merge")).select(*KEY, F.lit("w").alias("scope_id"), F.posexplode(items).alias("pos", "item"))
     return _relations(rows).select(*KEY, "scope_id", "pos", "alias", "kind", "table_name", F.when(F.col("kind") == "derived", F.concat(F.lit("w.f"), F.col("pos").cast("string"))).alias("derived_scope_id"), "sub_body")
