@@ -193,6 +193,25 @@ FROM orders
 """
 
 
+#: A mixed corpus by `o_orderkey % 4`: a job, SQL, text that only another engine has a graph for, a blank script.
+MIXED_CORPUS = """
+SELECT o_orderkey AS script_id, 'hive' AS dialect, 'auto' AS preference, CASE o_orderkey % 4
+  WHEN 0 THEN concat('{"job":{"content":[{"reader":{"parameter":{"column":["p"],"connection":[{"table":["in.t', CAST(o_custkey % 50 AS VARCHAR(9)), '"]}]}},"writer":{"parameter":{"column":["q"],"connection":[{"table":["out.w"]}]}}}]}}')
+  WHEN 1 THEN concat('INSERT INTO out.r SELECT b.k, b.j AS l FROM in.s', CAST(o_custkey % 50 AS VARCHAR(9)), ' b')
+  WHEN 2 THEN concat('beyond any grammar ', CAST(o_custkey % 50 AS VARCHAR(9)))
+  ELSE '  ' END AS text
+FROM orders
+"""
+
+#: The other engine's replies to it.
+MIXED_REPLIES = """
+SELECT o_orderkey AS script_id, CASE o_orderkey % 4
+  WHEN 2 THEN concat('{"tables":[{"id":"ext.s', CAST(o_custkey % 50 AS VARCHAR(9)), '","role":"source"}],"table_edges":[{"source":"ext.s', CAST(o_custkey % 50 AS VARCHAR(9)), '","target":"ext.t"}],"column_edges":[],"warnings":["w"]}')
+  ELSE '{"error":"busy"}' END AS json
+FROM orders
+"""
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of the statements above over the tables in ``sf_dir``."""
     for name in TABLES:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineage_jobs import closure, corpus, datax, fixtures, graph, layers, resolve, sqltext, stats
+from lineage_jobs import closure, corpus, datax, fixtures, graph, layers, resolve, service, sqltext, stats
 from lineage_jobs.fixtures import derived
 from lineage_jobs.runtime import materialize, shared_dir
 from lineage_jobs.schemas import DIALECTS, EDGE_PARTS
@@ -677,6 +677,23 @@ def sql_lineage(spark, sf_dir):
     return flat_rows({k: v for k, v in g.items() if k != "warnings"})
 
 
+@query("""WITH o AS (SELECT o_orderkey AS script_id, o_orderkey % 4 AS v, CAST(o_custkey % 50 AS VARCHAR) AS x FROM orders)
+SELECT script_id, v < 3 AS ok, CASE v WHEN 0 THEN 'datax' WHEN 1 THEN 'sqlglot' WHEN 2 THEN 'druid' END AS parser, CAST(CASE WHEN v < 3 THEN v + 1 ELSE 0 END AS BIGINT) AS n_attempts, CASE WHEN v = 3 THEN 'empty' END AS error,
+CASE v WHEN 0 THEN 'in.t' || x WHEN 1 THEN 'in.s' || x WHEN 2 THEN 'ext.s' || x END AS source, CASE v WHEN 0 THEN 'out.w' WHEN 1 THEN 'out.r' WHEN 2 THEN 'ext.t' END AS target,
+CAST(CASE v WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 END AS BIGINT) AS n_column_edges, CASE v WHEN 2 THEN 'w' END AS warning FROM o""")
+def analyse_corpus(spark, sf_dir):
+    """Answers for a mixed corpus of jobs, SQL and another engine's replies, read back from their JSON."""
+    others = {"druid": corpus.engine_graph_json(derived(spark, sf_dir, fixtures.MIXED_REPLIES))}
+    out = service.analyse_corpus(derived(spark, sf_dir, fixtures.MIXED_CORPUS), others)["responses"]
+    shape = "parser string, error string, attempts array<string>, graph struct<table_edges:array<struct<source:string,target:string>>,column_edges:array<string>,warnings:array<string>>"
+    r = out.select("script_id", "ok", F.from_json("response", shape).alias("r"))
+    return r.select(
+        "script_id", "ok", "r.parser", F.coalesce(F.greatest(F.size("r.attempts"), F.lit(0)), F.lit(0)).cast("long").alias("n_attempts"), "r.error",
+        F.get("r.graph.table_edges", F.lit(0))["source"].alias("source"), F.get("r.graph.table_edges", F.lit(0))["target"].alias("target"),
+        F.when(F.col("r.graph").isNotNull(), F.size("r.graph.column_edges")).cast("long").alias("n_column_edges"), F.get("r.graph.warnings", F.lit(0)).alias("warning"),
+    )
+
+
 # -- graph analytics -------------------------------------------------------------------------------------------
 
 _CYCLIC = f"ed AS ({fixtures.CYCLIC_EDGES})"
