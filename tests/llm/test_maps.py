@@ -175,6 +175,40 @@ def test_licences(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mark, width", [("# ", 72), ("// ", 60), (" * ", 79), ("", 4000)])
+def test_wrapped_headers_above_code(mark, width):
+    import textwrap
+
+    scan = licenses.Scanner(licenses.TEMPLATES, {}, 1)
+    code = "\n".join(f"value_{k} = compute(value_{k - 1}, {k})" for k in range(1, 200))
+    for name, template in licenses.TEMPLATES:
+        if len(template) > 150:
+            wrapped = "\n".join(mark + x for x in textwrap.wrap("Copyright 2020 Some One. " + template, width))
+            cosine, found = scan.header(f"{wrapped}\n\n{code}")
+            assert cosine >= licenses.HEADER_COSINE and (found == name or {found, name} == {"BSD-2-Clause", "BSD-3-Clause"} or {found, name} <= {"GPL-3.0", "AGPL-3.0", "LGPL-3.0", "GPL-2.0"} and cosine < 0.9), (name, found, cosine)
+    assert scan.header(code)[0] < 0.3
+
+
+def test_cosine_against_brute_force():
+    texts = [t for _, t in licenses.TEMPLATES] + ["you may use this software under the MIT license", "no such words"]
+    lines = [x for t in texts for x in t.split(". ")]
+    counts = {w: sum(w in licenses.terms_of(x) for x in lines) for t in texts for w in licenses.terms_of(t)}
+    scan = licenses.Scanner(licenses.TEMPLATES, counts, len(lines))
+    idf = lambda w: math.log((len(lines) + 1) / (counts.get(w, 0) + 1)) + 1
+
+    def vector(text):
+        terms = licenses.terms_of(text)
+        return {w: (1 + math.log(terms.count(w))) * (idf(w) if w in scan.idf else scan.most) for w in set(terms)}
+
+    def cosine(a, b):
+        norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+        return sum(x * b.get(w, 0) for w, x in a.items()) / (norm(a) * norm(b)) if a and b else 0.0
+
+    for text in texts:
+        want = max(cosine(vector(text), vector(t)) for _, t in licenses.TEMPLATES)
+        assert math.isclose(scan.cosine(licenses.terms_of(text))[0], min(1.0, want), abs_tol=1e-9)
+
+
 def test_edit_likeness_against_brute_force(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text").where("doc_id is null or doc_id > 3").withColumn("doc_id", F.col("doc_id") + 100_000))
     have = [(r["doc_id"], r["text"] or "") for r in docs.distinct().collect()]
