@@ -46,6 +46,8 @@ TEMPLATES = [
 HEADER_COSINE, FILE_COSINE = 0.7, 0.5
 #: Words of a piece: lines are pieces, longer ones are cut.
 PIECE = 25
+#: Share of a piece's pairs of words that must occur in templates.
+SHARED = 0.4
 #: Licensed directories up to which their table is broadcast, at some 100 bytes each.
 MAX_FOLDERS = 100_000
 
@@ -99,7 +101,7 @@ class Scanner:
     def header(self, text: str) -> tuple[float, str | None]:
         """The highest cosine of a header in a text, and its licence.
 
-        Pieces that share two words in a row with a template are put together with their neighbours that do so too
+        Pieces of whose pairs of words a share of :data:`SHARED` occurs in templates are put together with such neighbours
         (one piece or blank line between them may not). Each piece, each such block, and in longer blocks each window of a
         template's length, moved by a quarter of it, is a header.
         """
@@ -109,7 +111,7 @@ class Scanner:
             words = WORD.findall(line.lower())
             for k in range(0, max(1, len(words)), PIECE):
                 piece = words[k : k + PIECE + 1] if len(words) > PIECE else words  # a pair across the cut counts for the first
-                if self.pairs.isdisjoint(zip(piece, piece[1:], strict=False)):
+                if len(piece) < 2 or sum(map(self.pairs.__contains__, zip(piece, piece[1:], strict=False))) < SHARED * (len(piece) - 1):
                     gap += 1
                     between = piece
                     continue
