@@ -243,7 +243,7 @@ def test_recall_of_line_bands(spark):
     """Pairs of likeness 0.8 to 0.85 on full sets, with and without spaces, long and short: how many share a band."""
     rng = random.Random(4)
     rows = []
-    for k in range(1500):
+    for k in range(6000):
         letters = rng.choice(["abcdefghijklmnopqrstuvwxyz    ", "".join(map(chr, range(0x4E00, 0x4F00))), "ab", "0123456789abcdef"])
         one = "x" + "".join(rng.choice(letters) for _ in range(rng.choice([60, 80, 105, 210, 520]))) + "x"
         n = max(1, len(one) // 100)
