@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineage_jobs.components import connected_components
-from lineage_jobs.llm.lanes import distance
 from lineage_jobs.runtime import broadcast_if_small, materialize, release, spread_join
 
 #: Characters of a shingle; shorter lines are one shingle.
@@ -18,19 +19,19 @@ PERCENT = 80
 #: 0.9902 at a similarity of 0.8, 0.9973 at 0.85, 0.9996 at 0.9.
 LANES = 9
 BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
-#: Further lanes of the lines that share a band with another, and how many of them may differ in a pair that is compared
-#: in full: at a similarity of 0.8 they number 4.8 +- 2, and more than the bound with a chance of 4e-5.
-SECOND_LANES, MAX_APART = 24, 13
+#: Longs of the bitmap of a shingle set, in which every shingle of the set turns one bit over. Two bitmaps differ in no more
+#: bits than the sets do in shingles, so pairs that differ in too many can't be linked: the test loses no link.
+WORDS = 16
 #: Rows of a bucket's smaller side that one task compares with its larger side.
 BLOCK = 500
-#: Lines outside the hub's component from which on a bucket is compared as a whole.
-CROWD = 20
 #: Further hubs that are drawn from either side of a bucket before all pairs that are still open are compared.
 HUBS = 3
+#: Rows of bitmaps up to which they are broadcast, at some 160 bytes each.
+MAX_BITMAPS = 100_000
 #: Rows of linked or repeated lines up to which they are broadcast, at some 40 bytes each.
 MAX_LINKED = 500_000
 KEYS = [f"k{b}" for b in range(len(BANDS))]
-PACKED = [f"p{k}" for k in range(SECOND_LANES // 8)]
+BITMAP = [f"m{k}" for k in range(WORDS)]
 
 
 def bare_line(lower):
@@ -77,15 +78,15 @@ def lane(k: int):
     return F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn)) if turn else h
 
 
-def lane_minima(bare: DataFrame, first: int, count: int) -> DataFrame:
-    """``(line_id, l0..)`` of ``bare(line_id, bare)``: the lanes from ``first`` (a multiple of four) on.
+def lane_minima(bare: DataFrame, count: int) -> DataFrame:
+    """``(line_id, l0..)`` of ``bare(line_id, bare)``: the first ``count`` lanes.
 
     Every shingle is a row of a generated loop and lanes are combined minima, so that no array of hashes is held.
     """
     code = bare.select("line_id", computed(F.encode("bare", "UTF-32")).alias("code"))
     at = code.select("line_id", "code", F.explode(starts(F.col("code"))).alias("start"))
     hashed = at.select("line_id", shingle(F.col("code"), F.col("start")).alias("h"))
-    mixed = hashed.select("line_id", *[F.xxhash64("h", F.lit(first // 4 + j)).alias(f"h{j}") for j in range(-(-count // 4))])
+    mixed = hashed.select("line_id", *[F.xxhash64("h", F.lit(j)).alias(f"h{j}") for j in range(-(-count // 4))])
     return mixed.groupBy("line_id").agg(*[F.min(lane(k)).alias(f"l{k}") for k in range(count)])
 
 
@@ -93,7 +94,7 @@ def line_signatures(lines: DataFrame) -> DataFrame:
     """``(line_id, k0..)``: a row for each distinct bare line, named by its 64-bit hash, with the keys of its bands."""
     bare = bare_lines(lines.select("line")).where("bare <> ''").select(F.xxhash64("bare").alias("line_id"), "bare")
     bands = [F.xxhash64(F.lit(b), *[f"l{k}" for k in band]).alias(f"k{b}") for b, band in enumerate(BANDS)]
-    return lane_minima(bare, 0, LANES).select("line_id", *bands)
+    return lane_minima(bare, LANES).select("line_id", *bands)
 
 
 def shingles_of(rows: DataFrame, bare: str, out: str) -> DataFrame:
@@ -105,40 +106,47 @@ def shingles_of(rows: DataFrame, bare: str, out: str) -> DataFrame:
 
 
 def lines_named(ids: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(line_id, bare)`` and ``(line_id, p0..)``: the lines that ``ids(line_id)`` names, and their second lanes, packed."""
+    """Of the lines that ``ids(line_id)`` names: ``(line_id, n, hashes)``, their shingle sets, and ``(line_id, n, m0..)``,
+    the sets' sizes and bitmaps."""
     few = broadcast_if_small(ids, ids.count())
-    texts = materialize(
+    texts = (
         bare_lines(lines.select("line"))
         .where("bare <> ''")
         .select(F.xxhash64("bare").alias("line_id"), "bare")
         .join(few, "line_id", "left_semi")
         .distinct()
     )
-    packed = []
-    for p, name in enumerate(PACKED):
-        whole = F.col(f"l{8 * p}").bitwiseAND(F.lit(0xFF))
-        for k in range(1, 8):
-            whole = whole.bitwiseOR(F.shiftleft(F.col(f"l{8 * p + k}").bitwiseAND(F.lit(0xFF)), 8 * k))
-        packed.append(whole.alias(name))
-    return texts, materialize(lane_minima(texts, 4 * -(-LANES // 4), SECOND_LANES).select("line_id", *packed))
-
-
-def alike(left: str, right: str):
-    """Whether the second lanes of two lines, under two prefixes, stand close enough."""
-    return distance([(F.col(f"{left}{c}"), F.col(f"{right}{c}")) for c in PACKED], 8) <= MAX_APART
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of line ids whose full shingle sets have ``percent`` % of their union in common."""
-    side = lambda k: texts.select(F.col("line_id").alias(k), F.col("bare").alias(f"bare_{k}"))
-    both = spread_join(materialize(spread_join(pairs, side("b"), "b", by=["a", "b"])), side("a"), "a", by=["a", "b"])
-    sets = shingles_of(shingles_of(both.select("a", "b", "bare_a", "bare_b"), "bare_a", "all_a"), "bare_b", "all_b")
-    return materialize(sets.where(linked("all_a", "all_b", percent)).select("a", "b"))
+    distinct = shingles_of(texts, "bare", "hashes").select("line_id", computed(F.array_distinct("hashes")).alias("hashes"))
+    sets = materialize(distinct.select("line_id", F.size("hashes").cast("long").alias("n"), "hashes"))
+    bits = sets.select("line_id", "n", F.explode("hashes").alias("h"))
+    bits = bits.select("line_id", "n", F.pmod("h", F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, cast(shiftright(h, 32) & 63 AS int))").alias("bit"))
+    turned = [F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(m) for k, m in enumerate(BITMAP)]
+    return sets, materialize(bits.groupBy("line_id", "n").agg(*turned))
+
+
+def alike(left: str, right: str, percent: int):
+    """Whether sizes and bitmaps of two lines, under two prefixes, allow a link: of sets with ``percent`` % of their union in
+    common at most ``(100 - percent) / (100 + percent)`` of both sizes together stand in one set only."""
+    a, b = F.col(f"{left}n"), F.col(f"{right}n")
+    turned = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{left}{m}").bitwiseXOR(F.col(f"{right}{m}"))) for m in BITMAP])
+    most = (100 - percent) * (a + b)
+    return ((100 + percent) * F.abs(a - b) <= most) & ((100 + percent) * turned <= most)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of line ids whose shingle sets have ``percent`` % of their union in common."""
+    side = lambda k: sets.select(F.col("line_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("hashes").alias(f"all_{k}"))
+    half = materialize(spread_join(pairs, side("b"), "b", by=["a", "b"]))
+    both = spread_join(half, side("a"), "a", by=["a", "b"])
+    shared = F.size(F.array_intersect("all_a", "all_b"))
+    out = materialize(both.where((100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    release(half)
+    return out
 
 
-def open_rows(members: DataFrame, labels: DataFrame, signed: DataFrame, lanes: DataFrame) -> DataFrame:
-    """``(key, id, own, outside, n, blocks, p0.., k0..)``: the lines of the buckets that hold several components; ``outside``
-    says whether a line isn't in the component of its bucket's hub."""
+def open_rows(members: DataFrame, labels: DataFrame, signed: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``(key, id, own, outside, blocks, n, m0.., k0..)``: the lines of the buckets that hold several components; ``outside`` says
+    whether a line isn't in the component of its bucket's hub."""
     few = broadcast_if_small(labels, labels.count())
     mine = few.select(F.col("node").alias("id"), F.col("component").alias("own"))
     its = few.select(F.col("node").alias("hub"), F.col("component").alias("hubs"))
@@ -146,35 +154,34 @@ def open_rows(members: DataFrame, labels: DataFrame, signed: DataFrame, lanes: D
         "key", "id", F.coalesce("own", "id").alias("own"), (F.coalesce("own", "id") != F.coalesce("hubs", "hub")).alias("outside")
     )
     buckets = materialize(
-        told.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("n"), F.count(F.lit(1)).alias("size")).where("n > 0 and size > 2")
-        .select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        told.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("open"), F.count(F.lit(1)).alias("size")).where("open > 0 and size > 2")
+        .select("key", F.ceil(F.col("open") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = told.join(broadcast_if_small(buckets, buckets.count()), "key").join(lanes.select(F.col("line_id").alias("id"), *PACKED), "id")
-    rows = rows.join(signed.select(F.col("line_id").alias("id"), *KEYS), "id")
-    out = materialize(rows)
+    rows = told.join(broadcast_if_small(buckets, buckets.count()), "key").join(bitmaps.withColumnRenamed("line_id", "id"), "id")
+    out = materialize(rows.join(signed.select(F.col("line_id").alias("id"), *KEYS), "id"))
     release(buckets)
     return out
 
 
-def star_pairs(rows: DataFrame, seed: int) -> DataFrame:
+def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of further hubs with the lines of other components of their buckets.
 
     Of each bucket :data:`HUBS` lines of the first hub's component and as many outside are drawn by hash; those inside
     meet the lines outside, those outside meet all. So a bucket gives rows in proportion to its size.
     """
-    ranks = [F.struct(F.xxhash64("id", F.lit(seed + k)).alias("rank"), "id", "own", "outside", *PACKED) for k in range(HUBS)]
+    ranks = [F.struct(F.xxhash64("id", F.lit(1 + k)).alias("rank"), "id", "own", "outside", "n", *BITMAP) for k in range(HUBS)]
     drawn = rows.groupBy("key").agg(*[F.min(F.when(F.col("outside") == out, r)).alias(f"h{k}_{out}") for k, r in enumerate(ranks) for out in (True, False)])
     hubs = drawn.select("key", F.explode(F.array(*[c for c in drawn.columns if c != "key"])).alias("hub")).where("hub is not null").distinct()
-    met = rows.join(hubs.select("key", "hub.*").select("key", *[F.col(c).alias(f"h_{c}") for c in ["id", "own", "outside", *PACKED]]), "key")
-    near = met.where("own <> h_own and (outside or h_outside)").where(alike("", "h_"))
+    met = rows.join(hubs.select("key", "hub.*").select("key", *[F.col(c).alias(f"h_{c}") for c in ["id", "own", "outside", "n", *BITMAP]]), "key")
+    near = met.where("own <> h_own and (outside or h_outside)").where(alike("", "h_", percent))
     return materialize(near.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
 
 
-def _met(rows: DataFrame, percent: int | None = None) -> DataFrame:
-    """The pairs ``l_..``, ``r_..`` of a bucket's lines that lie in different components and whose second lanes allow a link.
+def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of a bucket's lines that lie in different components and may be linked.
 
     The lines outside the hub's component are dealt into blocks, each of which meets all lines of the bucket in a
-    task of its own. A pair comes up in the first bucket that it shares only. With ``percent`` the sets in ``hashes`` decide too.
+    task of its own, by their bitmaps. A pair comes up in the first bucket that it shares only.
     """
     left = rows.where("outside").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.select("block", *[F.col(c).alias(f"l_{c}") for c in rows.columns])
@@ -185,30 +192,10 @@ def _met(rows: DataFrame, percent: int | None = None) -> DataFrame:
         & (F.col("block") == F.col("r_block"))
         & (F.col("l_own") != F.col("r_own"))
         & (~F.col("r_outside") | (F.col("l_id") < F.col("r_id")))
+        & alike("l_", "r_", percent)
         & (F.coalesce(*[F.when(F.col(f"l_{k}") == F.col(f"r_{k}"), F.col(f"l_{k}")) for k in KEYS]) == F.col("l_key"))
-        & alike("l_", "r_")
     )
-    if percent is not None:
-        cond = cond & linked("l_hashes", "r_hashes", percent)
-    return left.join(right, cond).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
-
-
-def linked(a: str, b: str, percent: int):
-    """Whether ``percent`` % of the union of two arrays of shingle hashes are in common."""
-    return 100 * F.size(F.array_intersect(a, b)) >= percent * F.size(F.array_union(a, b))
-
-
-def open_links(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: the links between the components of a bucket that no hub has found.
-
-    Buckets with few lines outside the hub's component give pairs, which are confirmed as others are. In crowded ones
-    the shingle sets themselves meet, block by block, and only links come out. Both ways compare every pair.
-    """
-    few = confirm(materialize(_met(rows.where(F.col("n") <= CROWD))), texts, percent)
-    crowds = rows.where(F.col("n") > CROWD)
-    sets = texts.withColumnRenamed("line_id", "id").join(crowds.select("id").distinct(), "id", "left_semi")
-    sets = materialize(shingles_of(sets, "bare", "hashes").select("id", F.array_distinct("hashes").alias("hashes")))
-    return materialize(few.unionByName(_met(crowds.join(sets, "id"), percent)))
+    return materialize(left.join(right, cond).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct())
 
 
 def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -220,22 +207,25 @@ def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     members = materialize(keys.join(broadcast_if_small(hubs, hubs.count()), "key"))
     ids = materialize(members.select(F.col("id").alias("line_id")).distinct())
-    texts, lanes = lines_named(ids, lines)
-    few = broadcast_if_small(lanes, lanes.count(), MAX_LINKED)
-    side = lambda k: few.select(F.col("line_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in PACKED])
+    sets, bitmaps = lines_named(ids, lines)
+    few = broadcast_if_small(bitmaps, bitmaps.count(), MAX_BITMAPS)
+    side = lambda k: few.select(F.col("line_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ["n", *BITMAP]])
     tried = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = materialize(tried.join(side("b"), "b").join(side("a"), "a").where(alike("a_", "b_")).select("a", "b"))
-    labels = materialize(connected_components(confirm(pairs, texts, percent), "a", "b"))
-    for last, seed in ((False, 1), (True, 0)):
-        rows = open_rows(members, labels, signed, lanes)
-        links = open_links(rows, texts, percent) if last else confirm(star_pairs(rows, seed), texts, percent)
+    pairs = materialize(tried.join(side("b"), "b").join(side("a"), "a").where(alike("a_", "b_", percent)).select("a", "b"))
+    links = confirm(pairs, sets, percent)
+    labels = materialize(connected_components(links, "a", "b"))
+    release(pairs, links)
+    for last in (False, True):
+        rows = open_rows(members, labels, signed, bitmaps)
+        pairs = open_pairs(rows, percent) if last else star_pairs(rows, percent)
+        links = confirm(pairs, sets, percent)
         if not links.isEmpty():
             edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
             merged = materialize(connected_components(edges, "a", "b"))
             release(labels)
             labels = merged
-        release(rows, links)
-    release(signed, hubs, members, ids, texts, lanes, pairs)
+        release(rows, pairs, links)
+    release(signed, hubs, members, ids, sets, bitmaps)
     return labels.select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
 
 
