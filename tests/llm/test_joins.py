@@ -307,3 +307,25 @@ def test_mixing_with_very_large_rates(spark):
             total += math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
         assert seen[k]["n"] == seen[k]["d"] == seen[k]["last"] and abs(seen[k]["n"] - n) <= 1
     assert None not in seen
+
+
+def test_bitmaps_lose_no_link(spark):
+    rng = random.Random(33)
+    rows = ["ab" * 50, "z" * 400, "short", "漢字" * 40]
+    for _ in range(25):  # a line and one with as many changed places as keep it near the threshold, of 40 to 3,000 characters
+        line = [rng.choice("abcdefghij ") for _ in range(rng.choice([40, 90, 200, 700, 3000]))]
+        near = list(line)
+        for _ in range(max(1, len(line) // rng.choice([90, 120, 150, 200]))):
+            near[rng.randrange(len(near))] = "#"
+        rows += ["".join(line), "".join(near)]
+    bare = sorted({" ".join(r.split()) for r in rows})
+    grams = {b: ({b[i : i + 10] for i in range(len(b) - 9)} or {b}) for b in bare}
+    df = spark.createDataFrame([(b,) for b in bare], "line string")
+    ids = df.select(F.xxhash64("line").alias("line_id"), "line")
+    sets, bitmaps = lines.lines_named(ids.select("line_id"), df)
+    assert {r["line"]: r["n"] for r in ids.join(sets, "line_id").collect()} == {b: len(g) for b, g in grams.items()}
+    named = ids.join(bitmaps, "line_id")
+    sides = [named.select(*[F.col(c).alias(f"{side}{c}") for c in named.columns]) for side in ("a_", "b_")]
+    passed = {(r["a_line"], r["b_line"]) for r in sides[0].join(sides[1], F.col("a_line") < F.col("b_line")).where(lines.alike("a_", "b_", 80)).select("a_line", "b_line").collect()}
+    want = {(a, b) for a in bare for b in bare if a < b and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])}
+    assert len(want) > 5 and want <= passed and len(passed) < 3 * len(want)
