@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineage_jobs.runtime import materialize, release, spread_join
+
 #: Words of a seed, and of the shortest tile.
 LEAST = 5
 #: Share of an item's words that tiles must cover.
 COVERAGE = 0.5
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in blocks of about this size.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text up to which it is broadcast with an index; the seeds of a larger one are joined in a shuffle.
+MOST_BYTES = 32 << 20
+#: Bits, as a power of two, of the bitmap of a large benchmark's seeds that all tasks get: 16 MB, whatever the benchmark.
+FILTER_BITS = 27
 CACHED = 100_000
 
 WORD = re.compile(r"\w+")
@@ -191,14 +196,129 @@ class Items:
         return out
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
-    """The benchmark in lists of rows of about ``block_bytes``: its size is measured first."""
-    rows = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where("text is not null")
-    whole = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    count = max(1, -(-whole // block_bytes))
-    for k in range(count):
-        part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
-        yield [(r["item"], r["text"]) for r in part.distinct().orderBy("item", "text").collect()]
+FOUND = "doc_id long, item_id long, item_words long, tiled_words long, tiles long, coverage double"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+NAMES = ["doc_id", "item_id", "item_words", "tiled_words", "tiles", "coverage"]
+
+
+def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _items_of(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, int]:
+    """``(item, item_text)``, the distinct items with a text, and the bytes of all their texts."""
+    rows = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("item_text")).where("item_text is not null")
+    return rows.distinct(), rows.agg(F.sum(F.octet_length("item_text"))).head()[0] or 0
+
+
+def _broadcast_items(items: DataFrame, coverage: float):
+    """The index of a benchmark whose size was measured, sent to all tasks."""
+    rows = [(r["item"], r["item_text"]) for r in items.orderBy("item", "item_text").collect()]
+    return items.sparkSession.sparkContext.broadcast(Items(rows, coverage))
+
+
+def seed_keys(words: np.ndarray, width: int) -> np.ndarray:
+    """The seeds of ``width`` words as signed numbers; those of different widths are different."""
+    return (rolling(words, width) ^ (np.uint64(width) * BASE)).view(np.int64)
+
+
+def item_seeds(items: DataFrame, coverage: float) -> DataFrame:
+    """``(item_mark, seed, width)``: of each item the seeds of which a text that covers it must have one.
+
+    Tiles that cover ``coverage`` of n words contain at least ``coverage * n / 5`` of its n - 4 seeds, so all but one
+    fewer than that are enough to meet each such text; those that most items have are left out. Items of fewer than five words
+    have a single seed of their own width.
+    """
+
+    def seeds(batches):
+        for batch in batches:
+            parts = []
+            for mark, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = text_tokens(text.as_py())
+                if len(words):
+                    width = min(LEAST, len(words))
+                    keys = seed_keys(words, width)
+                    need = max(1, int(np.ceil(coverage * len(words) / LEAST - 1e-9)))
+                    same = np.array([mark, width, max(1, len(keys) - need + 1)], np.int64)
+                    parts.append(np.vstack([keys, np.arange(len(keys)), np.repeat(same[:, None], len(keys), 1)]))
+            flat = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in flat], names=["seed", "place", "item_mark", "width", "enough"])
+
+    rows = materialize(items.select("item_mark", "item_text").mapInArrow(seeds, "seed long, place long, item_mark long, width long, enough long"))
+    spread = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("known"))
+    ranked = spread_join(rows, spread, "seed", "inner", ["item_mark", "place"]).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("item_mark").orderBy("known", "seed", "place"))
+    )
+    out = materialize(ranked.where("rank <= enough").select("item_mark", "seed", "width").distinct())
+    release(rows)
+    return out
+
+
+def seed_filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of ``2 ** bits`` bits in which the leading bits of each seed are set; made in tasks, of a fixed size."""
+    word = F.shiftrightunsigned("seed", 64 - bits + 6).alias("word")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 AS int))")
+    got = seeds.groupBy(word).agg(F.bit_or(bit).alias("mask")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[got["word"].to_numpy()] = got["mask"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _passing(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """The distinct keys whose bit is set in the bitmap."""
+    at = np.unique(keys).view(np.uint64) >> np.uint64(64 - (len(bitmap).bit_length() - 1 + 6))
+    return np.unique(keys)[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+
+
+def candidates(docs: DataFrame, items: DataFrame, coverage: float, bits: int = FILTER_BITS) -> DataFrame:
+    """``(mark, item_mark)``: the pairs of a document of ``docs(mark, text)`` and an item that share one of the item's seeds.
+
+    Seeds of documents that no item can have are dropped in the task by a bitmap; the others are joined in a shuffle,
+    in which seeds of very many documents are dealt to several tasks.
+    """
+    seeds = item_seeds(items, coverage)
+    widths = [r["width"] for r in seeds.select("width").distinct().collect()]  # at most five numbers
+    shared = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds, bits))
+
+    def run(batches):
+        for batch in batches:
+            marks, keys = [], []
+            for mark, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = text_tokens(text.as_py())
+                for width in widths:
+                    got = _passing(seed_keys(words, width), shared.value)
+                    keys.append(got)
+                    marks.append(np.full(len(got), mark, np.int64))
+            flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (marks, keys)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in flat], names=["mark", "seed"])
+
+    met = materialize(docs.select("mark", "text").mapInArrow(run, "mark long, seed long"))
+    out = materialize(spread_join(met, seeds.select("seed", "item_mark"), "seed", "inner", ["mark"]).select("mark", "item_mark").distinct())
+    release(seeds, met)
+    return out
+
+
+def joined_contamination(docs: DataFrame, items: DataFrame, coverage: float, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of :func:`contamination` and their ``mark``, for ``docs(doc_id, text)`` and a benchmark of any size: candidates
+    from a join of seeds, each of which is then tiled in the tasks that have both texts."""
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), "text").where("text is not null")
+    items = items.select("item", F.xxhash64("item", "item_text").alias("item_mark"), "item_text")
+    pairs = candidates(docs, items, coverage, bits)
+    half = materialize(spread_join(pairs, items, "item_mark", "inner", ["mark"]))
+    release(pairs)
+    both = spread_join(half, docs, "mark", "inner", ["item_mark"]).select("mark", "doc_id", "text", "item", "item_text")
+
+    def run(batches):
+        index = lru_cache(256)(lambda item, text: Items([(item, text)], coverage))
+        for batch in batches:
+            got = []
+            for mark, doc, text, item, item_text in zip(*[batch.column(k) for k in range(5)], strict=True):
+                found = index(item.as_py(), item_text.as_py()).matches(text.as_py())
+                got += [(mark.as_py(), doc.as_py(), *m) for m in found]
+            yield _batch(got, [pa.int64(), *KINDS], ["mark", *NAMES])
+
+    return both.mapInArrow(run, f"mark long, {FOUND}")
 
 
 def contamination(
@@ -209,50 +329,50 @@ def contamination(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """``(doc_id, item_id, item_words, tiled_words, tiles, coverage)``: a row for each document and benchmark item
     of which the document's tiles cover at least ``coverage``.
 
-    Map only: each block of the benchmark goes to all tasks with an index of its seeds; a document is tiled against the items
-    with which it shares enough seeds of five words. Whole texts are taken. Null and empty texts match nothing; items of fewer than
+    A document is tiled against the items with which it shares enough seeds of five words. A benchmark of up to ``most_bytes``
+    goes to all tasks with an index of its seeds, and the join is map only; the seeds of a larger one are joined in a
+    shuffle. Both ways give the same rows. Whole texts are taken. Null and empty texts match nothing; items of fewer than
     five words match where they stand whole; repeated rows of documents give repeated rows, repeated items count once.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = None
-    for rows in _blocks(benchmark, item_id, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast(Items(rows, coverage))
-
-        def run(batches, shared=shared):
-            items = shared.value
-            for batch in batches:
-                got = [(d.as_py(), *m) for d, t in zip(batch.column(0), batch.column(1), strict=True) for m in items.matches(t.as_py())]
-                columns = list(zip(*got, strict=True)) if got else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
-                    names=["doc_id", "item_id", "item_words", "tiled_words", "tiles", "coverage"],
-                )
-
-        part = docs.mapInArrow(run, "doc_id long, item_id long, item_words long, tiled_words long, tiles long, coverage double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    items, size = _items_of(benchmark, item_id, item_text)
+    if size > most_bytes:
+        return joined_contamination(docs, items, coverage).drop("mark")
+    shared = _broadcast_items(items, coverage)
+
+    def run(batches):
+        for batch in batches:
+            yield _batch([(d.as_py(), *m) for d, t in zip(batch.column(0), batch.column(1), strict=True) for m in shared.value.matches(t.as_py())], KINDS, NAMES)
+
+    return docs.mapInArrow(run, FOUND)
 
 
 def drop_contaminated(
-    documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES
+    documents: DataFrame,
+    benchmark: DataFrame,
+    coverage: float = COVERAGE,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """The rows of ``documents`` that cover no benchmark item (see :func:`contamination`), with all their columns."""
-    spark = documents.sparkSession
-    for rows in _blocks(benchmark, item_id, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast(Items(rows, coverage))
-
-        def run(batches, shared=shared):
-            items = shared.value
-            for batch in batches:
-                at = batch.schema.get_field_index(text)
-                yield batch.filter(pa.array([not items.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
-
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+    items, size = _items_of(benchmark, item_id, item_text)
+    if size > most_bytes:
+        # a text is named by its hash here, which stands in for the id too
+        named = documents.select(F.xxhash64(text).alias("doc_id"), F.col(text).alias("text")).where("text is not null").distinct()
+        gone = materialize(joined_contamination(named, items, coverage).select(F.col("doc_id").alias("gone_id")).distinct())
+        return documents.join(gone, F.xxhash64(documents[text]) == gone["gone_id"], "left_anti")
+    shared = _broadcast_items(items, coverage)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            yield batch.filter(pa.array([not shared.value.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 import public_tokenizers
 from hypothesis import given, settings
@@ -87,8 +88,6 @@ def test_tiles_find_reordered_passages():
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=60), st.integers(1, 60))
 def test_running_hashes_equal_those_of_each_window(a, width):
-    import numpy as np
-
     tokens, base = np.array(a, np.uint64), int(decontamination.BASE)
     plain = [sum(x * pow(base, k, 1 << 64) for k, x in enumerate(a[p : p + width])) % (1 << 64) for p in range(len(a) - width + 1)]
     want = [(h ^ (h >> 31)) * int(decontamination.MIX) % (1 << 64) for h in plain]
@@ -116,8 +115,6 @@ def plain_tiling(a, b, least):
 @settings(max_examples=100, deadline=None)
 @given(st.permutations(range(5)), st.integers(0, 3))
 def test_coverage_equals_plain_greedy_tiling(order, lost):
-    import numpy as np
-
     item = list(range(50))  # without repeats the longest match is the only one
     text = [x for k in order for x in [*item[k * 10 + lost : k * 10 + 10], 99]]
     found = decontamination.tiles(np.array(item, np.uint64), np.array(text, np.uint64), 5)
@@ -127,8 +124,6 @@ def test_coverage_equals_plain_greedy_tiling(order, lost):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=60))
 def test_tiles_are_valid_and_leave_nothing(a, b):
-    import numpy as np
-
     item, text = np.array(a, np.uint64), np.array(b, np.uint64)
     found = decontamination.tiles(item, text, 3)
     free_a, free_b = [True] * len(a), [True] * len(b)
@@ -147,17 +142,51 @@ def test_contamination(spark, odd):
     bench = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "too short"), (1, " ".join(words)), (4, "")], "item_id long, text string")
     half, less = " ".join(words[:20]), " ".join(words[:19])
     docs = spark.createDataFrame([(10, f"Pre. {half.upper()}! post"), (11, less), (12, " ".join(words[20:] + ["q"] * 3000 + words[:20])), (13, None)], "doc_id long, text string")
-    for block in (1 << 20, 10):
-        got = decontamination.contamination(docs, bench, block_bytes=block)
+    for most in (1 << 20, 10):
+        got = decontamination.contamination(docs, bench, most_bytes=most)
         assert sorted((r["doc_id"], r["item_id"], r["tiled_words"]) for r in got.collect()) == [(10, 1, 20), (12, 1, 40)]
-    assert sorted(r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).collect()) == [11, 13]
+        assert sorted(r["doc_id"] for r in decontamination.drop_contaminated(docs, bench, most_bytes=most).collect()) == [11, 13]
     words = spark.createDataFrame([(7, "Too SHORT!")], "item_id long, text string")
     said = spark.createDataFrame([(1, "it is too short."), (2, "short too"), (3, "too short too short")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["item_words"]) for r in decontamination.contamination(said, words).collect()) == [(1, 2), (3, 2)]
-    assert decontamination.contamination(odd, bench).count() == 0 and decontamination.drop_contaminated(odd, bench).count() == len(ODD)
+    for most in (1 << 20, 10):
+        assert decontamination.contamination(odd, bench, most_bytes=most).count() == 0
+        assert decontamination.drop_contaminated(odd, bench, most_bytes=most).count() == len(ODD)
     assert decontamination.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_joined_seeds_equal_broadcast_ones(spark):
+    """Few words, so that many items share seeds; items of all lengths, repeated and null rows; both ways give the same rows."""
+    rng = random.Random(5)
+    items = [(k, " ".join(rng.choice("abcd") for _ in range(rng.choice([1, 2, 4, 5, 6, 9, 20, 60])))) for k in range(60)]
+    items += [items[0], (1, items[2][1]), (None, items[7][1]), (99, None), (98, ". ,")]
+    texts = []
+    for k in range(80):
+        words = [rng.choice("abcdefgh") for _ in range(rng.choice([0, 3, 5, 40, 150]))]
+        for _ in range(rng.randrange(3)):
+            own = items[rng.randrange(60)][1].split()
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = own[rng.randrange(max(1, len(own) // 2)) :]
+        texts.append((k, " ".join(words)))
+    texts += [texts[3], (3, texts[4][1]), (None, items[6][1]), (None, None), (90, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for coverage in (0.5, 0.8):
+        rows = [sorted(map(str, decontamination.contamination(docs, bench, coverage, most_bytes=most).collect())) for most in (1 << 20, 10)]
+        assert rows[0] == rows[1] and len(rows[0]) > 50
+        kept = [sorted(map(str, decontamination.drop_contaminated(docs, bench, coverage, most_bytes=most).collect())) for most in (1 << 20, 10)]
+        assert kept[0] == kept[1]
+
+
+def test_seeds_of_a_bitmap_pass():
+    keys = np.arange(1, 50_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bitmap = np.zeros(1 << 8, np.uint64)
+    for k in keys[:300].tolist():
+        bitmap[k >> 56] |= np.uint64(1 << (k >> 50 & 63))
+    got = set(decontamination._passing(keys.view(np.int64), bitmap).tolist())
+    assert set(keys[:300].view(np.int64).tolist()) <= got and len(got) < 3000
+
+
 def test_licences(spark):
     files = [
         (1, "a/LICENSE", "The MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
