@@ -105,6 +105,27 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    from lineage_jobs.llm.quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every embedding and its error."""
+    from lineage_jobs.llm.codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every embedding."""
+    from lineage_jobs.llm.whitening import whitened_embeddings
+
+    return whitened_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the whole pipeline."""
     import corpus_pipeline
@@ -144,9 +165,33 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, CAST(NU
 """
 
 
+#: Each round's codebooks, then the codes; vectors of 64 components, as in the given tables.
+_ASSIGNED = """SELECT t.vec_id, t.p, t.v,
+  arg_min(b.e, (list_inner_product(t.v, t.v) - 2 * list_inner_product(t.v, b.v) + list_inner_product(b.v, b.v)) * 256 + b.e) AS e,
+  min(list_inner_product(t.v, t.v) - 2 * list_inner_product(t.v, b.v) + list_inner_product(b.v, b.v)) AS far
+  FROM parts t JOIN book{k} b ON b.p = t.p GROUP BY t.vec_id, t.p, t.v"""
+_MOVED = """book{n} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN (
+  SELECT p, e, list(f ORDER BY j) AS v FROM (SELECT p, e, j, floor(sum(v[j]) / count(*)) AS f FROM near{k}, range(1, 17) AS g(j) GROUP BY p, e, j) GROUP BY p, e
+  ) m ON m.p = b.p AND m.e = b.e)"""
+OP12_SQL = (
+    """WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, x[p * 16 + 1 : p * 16 + 16] AS v FROM kept, range(4) AS g(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)),
+book0 AS MATERIALIZED (SELECT p, e, v FROM parts JOIN first USING (vec_id)),
+"""
+    + "".join(f"near{k} AS MATERIALIZED ({_ASSIGNED.format(k=k)}),\n{_MOVED.format(k=k, n=k + 1)},\n" for k in range(4))
+    + f"""near4 AS MATERIALIZED ({_ASSIGNED.format(k=4)}),
+codes AS (SELECT vec_id, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM near4 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(CAST(v[j] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) FROM book4, range(1, 17) AS g(j)) AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id)"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """OP3_SQL holds for pages without canonical or redirect links, as in the given tables."""
     import corpus_pipeline
 
-    found = {"op3_url_filter": OP3_SQL, "op8_source_mix": OP8_SQL}
+    found = {"op3_url_filter": OP3_SQL, "op8_source_mix": OP8_SQL, "op12_vector_codes": OP12_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
