@@ -193,6 +193,22 @@ FROM orders
 """
 
 
+#: Statements whose edges are easily lost or invented, by `o_orderkey % 8`: joins in brackets, names in Chinese, quoted names with spaces and reserved
+#: words, a backslash before a quote in a dialect without escapes, brackets twenty deep, two targets of one FROM, INSERT ALL, an empty name part.
+HARD_SCRIPTS = """
+SELECT o_orderkey AS script_id, CASE o_orderkey % 8 WHEN 3 THEN 'db2' WHEN 6 THEN 'oracle' ELSE NULL END AS dialect, CASE o_orderkey % 8
+  WHEN 0 THEN concat('INSERT INTO mill.flour SELECT g.kg, d.day FROM ((mill.grain', CAST(o_custkey % 50 AS VARCHAR(9)), ' g JOIN mill.batch b ON b.g = g.g) JOIN mill.day d ON (d.b = b.b))')
+  WHEN 1 THEN concat('INSERT INTO 码头.货物 SELECT 重量, v.船 AS 船名 FROM 码头.到港', CAST(o_custkey % 50 AS VARCHAR(9)), ' v')
+  WHEN 2 THEN concat('INSERT INTO "Tea House"."Day Sum" ("order", kg) SELECT c."group", c.kg FROM tea.`cup', CAST(o_custkey % 50 AS VARCHAR(9)), ' new` c')
+  WHEN 3 THEN concat('INSERT INTO disk.used SELECT ''D:', chr(92), ''' AS root, f.size FROM disk.file', CAST(o_custkey % 50 AS VARCHAR(9)), ' f')
+  WHEN 4 THEN concat('INSERT INTO deep.sum SELECT ', repeat('abs(', 20), 'p.n', repeat(')', 20), ' AS n FROM ', repeat('(', 20), 'SELECT n FROM deep.part', CAST(o_custkey % 50 AS VARCHAR(9)), repeat(')', 20), ' p')
+  WHEN 5 THEN concat('FROM lake.fish', CAST(o_custkey % 50 AS VARCHAR(9)), ' f JOIN lake.net n ON n.id = f.net INSERT OVERWRITE TABLE lake.caught SELECT f.kind, n.mesh WHERE f.kg > 1 INSERT INTO TABLE lake.freed SELECT f.kind AS species')
+  WHEN 6 THEN concat('INSERT ALL INTO bank.debit (acct) VALUES (a) INTO bank.credit (acct, sum) VALUES (b, s) SELECT a, b, s FROM bank.move', CAST(o_custkey % 50 AS VARCHAR(9)))
+  ELSE concat('INSERT INTO zoo.cage SELECT x.beast FROM zoo..arrived', CAST(o_custkey % 50 AS VARCHAR(9)), ' x, TABLE(split(x.names)) y')
+END AS text
+FROM orders
+"""
+
 #: A mixed corpus by `o_orderkey % 4`: a job, SQL, text that only another engine has a graph for, a blank script.
 MIXED_CORPUS = """
 SELECT o_orderkey AS script_id, 'hive' AS dialect, 'auto' AS preference, CASE o_orderkey % 4

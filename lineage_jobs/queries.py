@@ -537,6 +537,38 @@ def sql_set_items(spark, sf_dir):
     return sqltext.sql_set_items(statements(spark, sf_dir))
 
 
+_HARD = f"WITH h AS (SELECT o_orderkey AS script_id, o_orderkey % 8 AS v, CAST(o_custkey % 50 AS VARCHAR) AS c FROM orders) "
+_HARD_TARGETS = "(VALUES (0, 'mill.flour'), (1, '码头.货物'), (2, 'tea house.day sum'), (3, 'disk.used'), (4, 'deep.sum'), (5, 'lake.caught'), (5, 'lake.freed'), (6, 'bank.debit'), (6, 'bank.credit'), (7, 'zoo.cage')) AS t(w, target)"
+_HARD_SOURCES = "(VALUES (0, 'mill.grain', 1), (0, 'mill.batch', 0), (0, 'mill.day', 0), (1, '码头.到港', 1), (2, 'tea.cup', 2), (3, 'disk.file', 1), (4, 'deep.part', 1), (5, 'lake.fish', 1), (5, 'lake.net', 0), (6, 'bank.move', 1), (7, 'zoo.arrived', 1)) AS s(u, base, more)"
+_HARD_SOURCE = "concat(base, CASE more WHEN 0 THEN '' WHEN 1 THEN c ELSE concat(c, ' new') END)"
+
+
+@query(_HARD + f"SELECT script_id, target AS table_name, CASE target WHEN 'tea house.day sum' THEN 'order,kg' WHEN 'bank.debit' THEN 'acct' WHEN 'bank.credit' THEN 'acct,sum' ELSE '' END AS cols FROM h JOIN {_HARD_TARGETS} ON v = w")
+def sql_targets_hard(spark, sf_dir):
+    """Several targets of a statement, and quoted and Chinese names."""
+    return sqltext.sql_targets(materialize(statements(spark, sf_dir, fixtures.HARD_SCRIPTS))).select("script_id", "table_name", joined("cols").alias("cols"))
+
+
+@query(_HARD + f"SELECT script_id, {_HARD_SOURCE} AS source, target FROM h JOIN {_HARD_SOURCES} ON v = u JOIN {_HARD_TARGETS} ON v = w")
+def sql_table_edges_hard(spark, sf_dir):
+    """Joins in brackets, brackets twenty deep, several targets, names in quotes and in Chinese."""
+    s = materialize(statements(spark, sf_dir, fixtures.HARD_SCRIPTS))
+    ctes = sqltext.sql_ctes(s)
+    sources = sqltext.sql_physical_sources(sqltext.sql_relations(sqltext.sql_blocks(s, ctes)), ctes, by_root=True)
+    return sqltext.sql_table_edges(sources, sqltext.sql_targets(s)).drop("stmt_idx")
+
+
+@query(_HARD + """SELECT script_id, concat(base, CASE more WHEN 0 THEN '' WHEN 1 THEN c ELSE concat(c, ' new') END) AS source_table, source_column, target_table, target_column FROM h JOIN (VALUES
+(0, 'mill.grain', 1, 'kg', 'mill.flour', 'kg'), (0, 'mill.day', 0, 'day', 'mill.flour', 'day'), (1, '码头.到港', 1, '重量', '码头.货物', '重量'), (1, '码头.到港', 1, '船', '码头.货物', '船名'),
+(2, 'tea.cup', 2, 'group', 'tea house.day sum', 'order'), (2, 'tea.cup', 2, 'kg', 'tea house.day sum', 'kg'), (3, 'disk.file', 1, 'size', 'disk.used', 'size'), (4, 'deep.part', 1, 'n', 'deep.sum', 'n'),
+(5, 'lake.fish', 1, 'kind', 'lake.caught', 'kind'), (5, 'lake.net', 0, 'mesh', 'lake.caught', 'mesh'), (5, 'lake.fish', 1, 'kind', 'lake.freed', 'species'),
+(6, 'bank.move', 1, 'a', 'bank.debit', 'acct'), (6, 'bank.move', 1, 'b', 'bank.credit', 'acct'), (6, 'bank.move', 1, 's', 'bank.credit', 'sum'), (7, 'zoo.arrived', 1, 'beast', 'zoo.cage', 'beast')
+) AS e(u, base, more, source_column, target_table, target_column) ON v = u""")
+def sql_lineage_hard(spark, sf_dir):
+    """Column edges of the same statements."""
+    return resolve.sql_lineage(derived(spark, sf_dir, fixtures.HARD_SCRIPTS))["column_edges"].select("script_id", *EDGE_PARTS)
+
+
 # -- resolution ------------------------------------------------------------------------------------------------
 
 _RF, _FF = f"rf AS ({fixtures.RELATIONS_FACTS})", f"ff AS ({fixtures.REFS_FACTS})"

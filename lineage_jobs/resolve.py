@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineage_jobs.graph import normalize_graph
-from lineage_jobs.runtime import materialize
+from lineage_jobs.runtime import dealt_out, materialize
 from lineage_jobs.sqltext import (
     KEY,
-    is_union,
-    mined,
+    blocks_without_relation,
     sql_blocks,
     sql_column_refs,
     sql_ctes,
@@ -22,12 +21,14 @@ from lineage_jobs.sqltext import (
     sql_projections,
     sql_read_only_tables,
     sql_relations,
-    sql_set_items,
+    set_items,
+    single_blocks,
     sql_statement_kind,
     sql_statements,
     sql_table_edges,
     sql_targets,
     sql_written_relations,
+    subqueries_in,
 )
 
 SCOPE = [*KEY, "scope_id"]
@@ -153,9 +154,7 @@ def scalar_subquery_sources(projections: DataFrame, blocks: DataFrame) -> DataFr
 
     The n-th subquery of a block's select list belongs to the expression in which the n-th one stands.
     """
-    from lineage_jobs.sqltext import SUBQUERY
-
-    count = F.size(F.regexp_extract_all("expr", F.lit(SUBQUERY), F.lit(0)))
+    count = subqueries_in("expr")
     before = Window.partitionBy(*SCOPE).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = projections.withColumn("n", count).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
     each = placed.select(*REF, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("k"))
@@ -220,12 +219,12 @@ def derived_passthrough(sources: DataFrame, outputs: DataFrame, bases: DataFrame
 
 
 def insert_column_rename(derived: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(script_id, stmt_idx, pos, source_table, source_column, target_table, target_column)`` of the main queries.
+    """``(script_id, stmt_idx, pos, source_table, source_column, target_table, target_column)`` of the main queries, those of each target.
 
     Output column i goes to the i-th listed target column, or to its own name where none is listed.
     """
-    written = targets.where("kind in ('insert', 'create')").select(*KEY, F.col("table_name").alias("target_table"), "cols")
-    return derived.where("scope_id = 'm'").join(written, KEY).select(
+    written = targets.where("kind in ('insert', 'create')").select(*SCOPE, F.col("table_name").alias("target_table"), "cols")
+    return derived.join(written, SCOPE).select(
         *KEY, "pos", F.col("src_table").alias("source_table"), F.col("src_column").alias("source_column"), "target_table",
         F.coalesce(F.get("cols", F.col("pos") - 1), F.col("name")).alias("target_column"),
     )
@@ -286,14 +285,20 @@ def statement_facts(statements: DataFrame) -> dict[str, DataFrame]:
     none = F.lit(None).cast("string")
     using = written_relations.where("kind = 'derived'").select(
         *KEY, F.col("derived_scope_id").alias("scope_id"), none.alias("parent_scope_id"), F.lit("derived").alias("kind"),
-        F.regexp_replace("sub_body", r"(?s)^\(\s*|\s*\)$", "").alias("body"),
+        F.col("sub_body").alias("body"),
+    )
+    items = materialize(set_items(usable))
+    nth = F.row_number().over(Window.partitionBy(*KEY, "arm").orderBy("pos", "k")) - 1
+    arm_scope = F.concat(F.lit("w."), "arm")
+    asked = items.select(*KEY, "arm", "pos", F.posexplode("asked").alias("k", "body")).select(
+        *KEY, F.concat(arm_scope, F.lit(".s"), nth.cast("string")).alias("scope_id"), arm_scope.alias("parent_scope_id"), F.lit("scalar").alias("kind"), "body"
     )
-    blocks = materialize(sql_blocks(usable, ctes).unionByName(using))
-    raw = sql_relations(blocks).unionByName(written_relations.drop("sub_body"))
+    blocks = materialize(sql_blocks(usable, ctes, using.unionByName(asked)))
+    single = materialize(single_blocks(blocks))
+    raw = sql_relations(single).unionByName(written_relations.drop("sub_body"))
     relations = materialize(with_ctes(raw, ctes))
     targets = sql_targets(usable)
-    items = materialize(sql_set_items(usable))
-    selected = sql_projections(blocks)
+    selected = sql_projections(single)
     assigned = items.select(*KEY, F.concat(F.lit("w."), "arm").alias("scope_id"), "pos", F.col("column").alias("name"), "expr")
     projections = materialize(selected.unionByName(assigned))
     arms = assigned.select(*KEY, "scope_id", F.lit("w").alias("parent_scope_id")).distinct()
@@ -309,7 +314,7 @@ def statement_facts(statements: DataFrame) -> dict[str, DataFrame]:
     unions = materialize(unions)
     outputs = own.unionByName(unions.select(*REF, "name").distinct())
     # an assignment sees the relations of its statement as its own
-    shown = visible.withColumn("distance", F.when(F.startswith("scope_id", F.lit("w.")), 0).otherwise(F.col("distance")))
+    shown = visible.withColumn("distance", F.when(F.col("scope_id").rlike(r"^w\.[a-z_]+$"), 0).otherwise(F.col("distance")))
     sources = materialize(
         resolve_qualified(refs, visible)
         .unionByName(resolve_unqualified(refs, shown, outputs))
@@ -322,7 +327,7 @@ def statement_facts(statements: DataFrame) -> dict[str, DataFrame]:
     derived = derived_passthrough(sources, outputs, bases)
     return {
         "ctes": ctes, "blocks": blocks, "relations": relations, "targets": targets, "set_items": items, "projections": projections,
-        "refs": refs, "visible": visible, "outputs": outputs, "sources": derived.where("src_table is not null"), "bases": bases,
+        "refs": refs, "visible": visible, "outputs": outputs, "unread": blocks_without_relation(single), "sources": derived.where("src_table is not null"), "bases": bases,
         "derived": outputs.join(derived.where("src_table is not null"), REF).select(*REF, "name", "src_table", "src_column").distinct(),
     }
 
@@ -333,7 +338,7 @@ def query_outputs(queries: DataFrame) -> DataFrame:
     ``queries(script_id, content_idx, query_pos, sql)``; ``pos`` counts from 0; ``sources`` are structs of table and column; ``tables``
     the query's physical tables. A query that isn't a SELECT with output columns gives no row.
     """
-    keyed = queries.withColumn("stmt_idx", F.col("content_idx").cast("long") * (1 << 32) + F.col("query_pos"))
+    keyed = dealt_out(queries).withColumn("stmt_idx", F.col("content_idx").cast("long") * (1 << 32) + F.col("query_pos"))
     statements = materialize(sql_statement_kind(keyed.select(*KEY, "sql")).where("kind = 'select'"))
     facts = statement_facts(statements)
     sources = facts["derived"].where("scope_id = 'm'").groupBy(*KEY, "pos").agg(F.sort_array(F.collect_set(F.struct("src_table", "src_column"))).alias("sources"))
@@ -355,7 +360,7 @@ def sql_edges(statements: DataFrame) -> dict[str, DataFrame]:
     """Raw tables with roles, table edges and column edges of mined statements, by statement, and warnings."""
     facts = statement_facts(statements)
     targets = materialize(facts["targets"])
-    sources = materialize(sql_physical_sources(facts["relations"].where("table_name is not null"), facts["ctes"]))
+    sources = materialize(sql_physical_sources(facts["relations"].where("table_name is not null"), facts["ctes"], by_root=True))
     merged, approximate = merge_edges(facts["set_items"], facts["sources"], targets)
     columns = (
         insert_column_rename(facts["derived"], targets)
@@ -364,12 +369,15 @@ def sql_edges(statements: DataFrame) -> dict[str, DataFrame]:
     )
     edges, columns = materialize(sql_table_edges(sources, targets)), materialize(columns)
     written = targets.select(*KEY, F.col("table_name").alias("id"), F.lit("target").alias("role"))
-    read = sources.join(targets.select(*KEY, F.col("table_name").alias("own"), "kind"), KEY).where("kind <> 'delete' and table_name <> own").select(*KEY, F.col("table_name").alias("id"), F.lit("source").alias("role"))
+    own = targets.select(*KEY, F.col("table_name").alias("own"), "kind", F.col("scope_id").alias("fed"))
+    met = sources.join(own, KEY).where("table_name <> own and (kind = 'delete' or root is null or root = fed)")
+    read = met.select(*KEY, F.col("table_name").alias("id"), F.lit("source").alias("role")).distinct()
+    unread = statements.where("needs_parser").select(*KEY).unionByName(facts["unread"]).distinct()
     return {
         "tables": sql_read_only_tables(statements, sources).unionByName(written).unionByName(read),
         "table_edges": edges,
         "column_edges": columns,
-        "warnings": approximate.unionByName(statements.where("needs_parser").select(*KEY, F.lit("needs_parser").alias("code"))).unionByName(
+        "warnings": approximate.unionByName(unread.select(*KEY, F.lit("needs_parser").alias("code"))).unionByName(
             edges.select(*KEY).distinct().join(columns.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, F.lit("no_column_lineage").alias("code"))
         ),
     }
@@ -378,11 +386,12 @@ def sql_edges(statements: DataFrame) -> dict[str, DataFrame]:
 def sql_lineage(scripts: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
     """The normalised graph tables of a corpus of SQL scripts, with ``warnings`` and ``attempts``.
 
-    Statements whose parentheses are too deep or don't balance, that start with FROM or whose written table isn't found
-    are left out and named ``needs_parser`` in the warnings; those with table edges but no column edge are named
-    ``no_column_lineage``. A script from which no table comes is a failed attempt.
+    Statements whose brackets don't balance, whose written table isn't found or that write in an unknown form are left out, and these and
+    blocks whose FROM clause can't be read are named ``needs_parser`` in the warnings; those with table edges but no column edge
+    are named ``no_column_lineage``. A script from which no table comes, or of which a statement needs a parser, is a failed
+    attempt, so that another engine is tried; what was found in it stays.
     """
-    statements = materialize(sql_statement_kind(sql_statements(scripts)))
+    statements = materialize(sql_statement_kind(sql_statements(dealt_out(scripts))))
     raw = sql_edges(statements)
     seq = F.col("stmt_idx").cast("long") * 1_000_000
     declared = raw["tables"].select("script_id", "id", "role", F.array().cast("array<string>").alias("columns"), seq.alias("seq"))
@@ -392,7 +401,9 @@ def sql_lineage(scripts: DataFrame, strict: bool = False) -> dict[str, DataFrame
         raw["column_edges"].select("script_id", "source_table", "source_column", "target_table", "target_column", (seq + F.col("pos")).alias("seq")),
         strict,
     )
+    warnings = materialize(raw["warnings"])
     some = raw["tables"].select("script_id").distinct().withColumn("some", F.lit(True))
-    ok = F.col("some").isNotNull()
-    attempts = scripts.select("script_id").join(some, "script_id", "left").select("script_id", ok.alias("ok"), F.when(ok, "").otherwise("no table found").alias("message"))
-    return graph | {"warnings": raw["warnings"], "attempts": attempts}
+    lost = warnings.where("code = 'needs_parser'").select("script_id").distinct().withColumn("lost", F.lit(True))
+    message = F.when(F.col("some").isNull(), "no table found").when(F.col("lost"), "a statement needs a parser").otherwise("")
+    attempts = scripts.select("script_id").join(some, "script_id", "left").join(lost, "script_id", "left").select("script_id", (message == "").alias("ok"), message.alias("message"))
+    return graph | {"warnings": warnings, "attempts": attempts}

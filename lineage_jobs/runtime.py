@@ -52,9 +52,20 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = MAX_BROADCAST_ROWS)
     return F.broadcast(df) if rows <= most else df
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it comes in fewer partitions than there are cores; for small tables with much work a row.
+
+    Large inputs come in many splits and are left alone, as are plans with a shuffle of their own.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def strip(column):
-    """All white space off both ends (``trim`` takes only spaces)."""
-    return F.regexp_replace(column, r"^\s++|(?<!\s)\s++$", "")
+    """All white space off both ends (by default ``trim`` takes only spaces)."""
+    return F.trim(column, F.lit(" \t\n\r\x0b\f"))
 
 
 def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", by: list[str] | None = None, least: int = 1000) -> DataFrame:

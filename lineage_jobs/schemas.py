@@ -33,6 +33,12 @@ DIALECTS = [
 ]
 DEFAULT_DIALECT = "mysql"
 
+#: How dialects quote. In the first a backslash escapes and double quotes hold text too; in the second a backslash escapes and double quotes hold
+#: names; in the third a backslash is a character like others and double quotes hold names.
+QUOTED_TEXT_DIALECTS = ["mysql", "mariadb", "hive", "spark", "bigquery"]
+BACKSLASH_DIALECTS = ["clickhouse"]
+STANDARD_DIALECTS = ["postgresql", "oracle", "sqlserver", "sqlite", "trino", "duckdb", "db2", "ansi"]
+
 #: A graph as one JSON document.
 GRAPH_SCHEMA = (
     "error string, tables array<struct<id:string,name:string,role:string,columns:array<string>>>, "
