@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "events"]
 
 #: Case variants, blanks, stars, self edges, tables that are both source and target.
 COLUMN_EDGES_RAW = """
@@ -228,6 +228,38 @@ FROM orders
 """
 
 
+#: When a script ran on a table; a third of all runs meet one table.
+RUNS = """
+SELECT o_orderkey AS run_id, CASE WHEN o_custkey % 3 = 0 THEN 't0' ELSE concat('t', CAST(o_custkey % 20 AS VARCHAR(9))) END AS tbl, o_orderdate AS run_at
+FROM orders
+"""
+
+#: Versions of the tables' catalogues; several may begin on one day.
+VERSIONS = """
+SELECT concat('t', CAST(l_suppkey % 25 AS VARCHAR(9))) AS tbl, l_shipdate AS since, l_orderkey * 10 + l_linenumber AS version, l_partkey % 40 AS n_columns
+FROM lineitem WHERE l_partkey % 7 = 0
+"""
+
+#: Runs with a duration in days, a few of them years long.
+SPANS = """
+SELECT l_orderkey * 10 + l_linenumber AS run_id, concat('t', CAST(l_partkey AS VARCHAR(9))) AS tbl, l_shipdate AS began,
+       CASE WHEN l_orderkey % 50 = 0 THEN 2000 ELSE CAST(l_quantity AS INT) END AS days
+FROM lineitem
+"""
+
+#: Two versions of a corpus' edges: some dropped, added, moved to another source, or counted twice.
+OLD_EDGES = """
+SELECT l_orderkey AS script_id, concat('s', CAST(l_partkey AS VARCHAR(9))) AS source, CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE concat('t', CAST(l_linenumber AS VARCHAR(9))) END AS target
+FROM lineitem WHERE l_suppkey % 5 > 0
+"""
+NEW_EDGES = """
+SELECT l_orderkey AS script_id, concat(CASE WHEN l_suppkey % 7 = 0 THEN 'v' ELSE 's' END, CAST(l_partkey AS VARCHAR(9))) AS source, CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE concat('t', CAST(l_linenumber AS VARCHAR(9))) END AS target
+FROM lineitem WHERE l_suppkey % 5 < 4
+UNION ALL
+SELECT l_orderkey, concat('s', CAST(l_partkey AS VARCHAR(9))), concat('t', CAST(l_linenumber AS VARCHAR(9))) FROM lineitem WHERE l_suppkey % 13 = 0 AND l_suppkey % 7 > 0
+"""
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of the statements above over the tables in ``sf_dir``."""
     for name in TABLES:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineage_jobs import closure, corpus, datax, fixtures, graph, layers, resolve, service, sqltext, stats
+from lineage_jobs import closure, corpus, datax, fixtures, graph, layers, resolve, runs, service, sqltext, stats, streaming
 from lineage_jobs.fixtures import derived
 from lineage_jobs.runtime import materialize, shared_dir
 from lineage_jobs.schemas import DIALECTS, EDGE_PARTS
@@ -875,3 +876,72 @@ def engine_stats(spark, sf_dir):
     g = normal(spark, sf_dir)
     picks = corpus.fallback_pick(derived(spark, sf_dir, fixtures.CANDIDATES))
     return stats.engine_stats(stats.graph_stats(g["tables"], g["table_edges"], g["column_edges"], picks))
+
+
+# -- runs and streams --------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH v AS (SELECT tbl, since, max(struct_pack(a := version, b := n_columns)) AS x FROM ({fixtures.VERSIONS}) AS q GROUP BY tbl, since)
+SELECT r.run_id, r.tbl, r.run_at, x.a AS version, x.b AS n_columns FROM ({fixtures.RUNS}) AS r ASOF LEFT JOIN v ON r.tbl = v.tbl AND r.run_at >= v.since""")
+def catalogue_as_of(spark, sf_dir):
+    """The catalogue's version that held when a script ran."""
+    return runs.as_of(derived(spark, sf_dir, fixtures.RUNS), derived(spark, sf_dir, fixtures.VERSIONS), "tbl", "run_at", "since", ["version", "n_columns"])
+
+
+@query(f"""WITH s AS (SELECT run_id, tbl, datediff('day', DATE '1970-01-01', CAST(began AS DATE)) AS a, datediff('day', DATE '1970-01-01', CAST(began AS DATE)) + days AS b FROM ({fixtures.SPANS}) AS q)
+SELECT x.tbl AS key, x.run_id AS earlier, y.run_id AS later FROM s x JOIN s y ON x.tbl = y.tbl AND (x.a < y.a OR (x.a = y.a AND x.run_id < y.run_id)) AND y.a <= x.b""")
+def overlapping_runs(spark, sf_dir):
+    """Pairs of runs that were at work on one table at once."""
+    spans = derived(spark, sf_dir, fixtures.SPANS).withColumn("a", F.datediff("began", F.lit("1970-01-01")))
+    return runs.overlapping_runs(spans.withColumn("b", F.col("a") + F.col("days")), "run_id", "tbl", "a", "b")
+
+
+@query("""WITH e AS (SELECT user_id AS key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+i AS (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts) AS island FROM e)
+SELECT key, min(ts) AS session_start, max(ts) AS last_at, count(*) AS n FROM i GROUP BY key, island""")
+def run_sessions(spark, sf_dir):
+    """Sessions of each user's events."""
+    return runs.run_sessions(_table(spark, sf_dir, "events"), "user_id", "ts", "3 hours")
+
+
+@query(f"""WITH c AS (SELECT script_id, source, target, sum(o) AS o, sum(n) AS n FROM (
+  SELECT script_id, source, target, 1 AS o, 0 AS n FROM ({fixtures.OLD_EDGES}) AS q UNION ALL SELECT script_id, source, target, 0, 1 FROM ({fixtures.NEW_EDGES}) AS r) GROUP BY script_id, source, target),
+k AS (SELECT *, row_number() OVER (PARTITION BY script_id, target, o = 0 ORDER BY source) AS k FROM c WHERE o = 0 OR n = 0)
+SELECT coalesce(d.script_id, a.script_id) AS script_id, coalesce(d.target, a.target) AS target,
+  CASE WHEN d.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'dropped' ELSE 'moved' END AS change, d.source AS old_source, a.source AS new_source,
+  CAST(coalesce(d.o, 0) AS BIGINT) AS old_copies, CAST(coalesce(a.n, 0) AS BIGINT) AS new_copies
+FROM (SELECT * FROM k WHERE n = 0) d FULL JOIN (SELECT * FROM k WHERE o = 0) a ON d.script_id = a.script_id AND d.target IS NOT DISTINCT FROM a.target AND d.k = a.k
+UNION ALL SELECT script_id, target, 'recounted', source, source, CAST(o AS BIGINT), CAST(n AS BIGINT) FROM c WHERE o > 0 AND n > 0 AND o <> n""")
+def graph_difference(spark, sf_dir):
+    """What changed between two versions of a corpus' edges."""
+    return runs.graph_difference(derived(spark, sf_dir, fixtures.OLD_EDGES), derived(spark, sf_dir, fixtures.NEW_EDGES))
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _stream(spark, sf_dir, name):
+    return spark.readStream.schema(_table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _new_folder(spark):
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+
+
+@query(ORACLES["sql_targets"])
+def stream_targets(spark, sf_dir):
+    """The written tables of scripts that arrive as a stream."""
+    folder = _new_folder(spark)
+    _stream(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    streaming.stream_targets(spark.sql(fixtures.SQL_SCRIPTS), f"{folder}/sink", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/sink").select("script_id", "stmt_idx", "table_name")
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type AS \"by\", count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def stream_windows(spark, sf_dir):
+    """Events of each type in windows of six hours, counted as a stream."""
+    folder = _new_folder(spark)
+    events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs a time with a zone
+    streaming.stream_windows(events, f"{folder}/sink", f"{folder}/state", "ts", "event_type", "6 hours", "1 day").awaitTermination()
+    return streaming.read_windows(spark, f"{folder}/sink").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
