@@ -327,13 +327,13 @@ def datax_contents(spark, sf_dir):
     return datax.datax_contents(datax.datax_parse(jobs(spark, sf_dir))).select("script_id", "content_idx", "bad")
 
 
-@query(_V + f"SELECT script_id, {_IDX}, CASE WHEN v IN (0, 1) THEN 'ods' ELSE '' END AS reader, CASE v WHEN 0 THEN 'dw' WHEN 3 THEN 'bak' ELSE '' END AS writer FROM o")
+@query(_V + f"SELECT script_id, {_IDX}, CASE WHEN v IN (0, 1) THEN 'dock' ELSE '' END AS reader, CASE v WHEN 0 THEN 'yard' WHEN 3 THEN 'hold' ELSE '' END AS writer FROM o")
 def datax_jdbc_db(spark, sf_dir):
     return both_sides(sides(spark, sf_dir), lambda s: s["db"])
 
 
-_SIDE_TABLES = """CASE v WHEN 0 THEN 'T' || x WHEN 1 THEN 'a' || x || ',b' WHEN 2 THEN 's.t' || x WHEN 3 THEN 'ods.o' || x WHEN 4 THEN 'm' || x ELSE 'only' || x END AS reader,
-CASE v WHEN 0 THEN 'f' || y WHEN 1 THEN 'dw.f' WHEN 2 THEN 'd.u' WHEN 3 THEN 'o' WHEN 4 THEN 'es' ELSE '' END AS writer"""
+_SIDE_TABLES = """CASE v WHEN 0 THEN 'T' || x WHEN 1 THEN 'a' || x || ',b' WHEN 2 THEN 's.t' || x WHEN 3 THEN 'quay.o' || x WHEN 4 THEN 'm' || x ELSE 'only' || x END AS reader,
+CASE v WHEN 0 THEN 'f' || y WHEN 1 THEN 'yard.f' WHEN 2 THEN 'd.u' WHEN 3 THEN 'o' WHEN 4 THEN 'es' ELSE '' END AS writer"""
 
 
 @query(_V + f"SELECT script_id, {_IDX}, {_SIDE_TABLES} FROM o")
@@ -341,7 +341,7 @@ def datax_side_tables(spark, sf_dir):
     return both_sides(sides(spark, sf_dir), lambda s: joined(s["tables"]))
 
 
-@query(_V + "SELECT script_id, 'ods.o' || x AS tbl, 'o' || x AS plain, 'part' AS cut FROM o WHERE v = 3")
+@query(_V + "SELECT script_id, 'quay.o' || x AS tbl, 'o' || x AS plain, 'part' AS cut FROM o WHERE v = 3")
 def datax_hdfs_table(spark, sf_dir):
     paths = jobs(spark, sf_dir).select("script_id", F.regexp_extract("text", r'"path":"([^"]*)"', 1).alias("path")).where("path <> ''")
     at = lambda c: datax.datax_hdfs_table(c)
@@ -350,14 +350,14 @@ def datax_hdfs_table(spark, sf_dir):
     ).select("script_id", "tbl", "plain", F.when(F.col("deep") == F.col("tbl"), "part").alias("cut"))
 
 
-@query(_V + f"""SELECT script_id, {_IDX}, CASE v WHEN 0 THEN 'id,amt' WHEN 1 THEN 'id,a//b' WHEN 2 THEN 'a,b,c' WHEN 3 THEN '*' WHEN 4 THEN 'p' ELSE 'a' END AS reader,
+@query(_V + f"""SELECT script_id, {_IDX}, CASE v WHEN 0 THEN 'crew,hours' WHEN 1 THEN 'id,a//b' WHEN 2 THEN 'a,b,c' WHEN 3 THEN '*' WHEN 4 THEN 'p' ELSE 'a' END AS reader,
 CASE v WHEN 0 THEN 'k,v' WHEN 1 THEN 'k,v' WHEN 2 THEN 'x' WHEN 3 THEN '*' WHEN 4 THEN 'q' ELSE '' END AS writer FROM o""")
 def datax_columns(spark, sf_dir):
     return both_sides(sides(spark, sf_dir), lambda s: joined(s["cols"]))
 
 
 _Q = f"WITH o AS (SELECT o_orderkey AS script_id, o_orderkey % 3 AS v, {_X} AS x FROM orders) "
-_QUERY_TEXT = "CASE v WHEN 0 THEN 'select o.id, u.name as un from ods.o' || x || ' o join dim.u u on o.uid = u.id' WHEN 1 THEN 'select a, 1 as one from q' || x || ' where dt = ''{}''' ELSE 'call p()' END"
+_QUERY_TEXT = "CASE v WHEN 0 THEN 'select b.berth, c.tons * 2 as load from port.berth' || x || ' b, port.cargo c where c.pier = b.pier' WHEN 1 THEN 'select a, 1 as one from q' || x || ' where dt = ''{}''' ELSE 'call p()' END"
 
 
 @query(_Q + f"SELECT script_id, 1 AS content_idx, {_QUERY_TEXT.format('${bizdate}')} AS sqls FROM o")
@@ -380,8 +380,8 @@ def datax_first_query(spark, sf_dir):
     return datax.datax_first_query(*query_facts(spark, sf_dir))
 
 
-_SRC = "CASE v WHEN 0 THEN 'ods.t' || x WHEN 1 THEN 'ods.a' || x || ',ods.b' WHEN 2 THEN 's.t' || x WHEN 3 THEN 'ods.o' || x WHEN 4 THEN 'm' || x ELSE 'only' || x END"
-_TGT = "CASE v WHEN 0 THEN 'dw.f' || y WHEN 1 THEN 'dw.f' WHEN 2 THEN 'd.u' WHEN 3 THEN 'bak.o' WHEN 4 THEN 'es' ELSE '' END"
+_SRC = "CASE v WHEN 0 THEN 'dock.t' || x WHEN 1 THEN 'dock.a' || x || ',dock.b' WHEN 2 THEN 's.t' || x WHEN 3 THEN 'quay.o' || x WHEN 4 THEN 'm' || x ELSE 'only' || x END"
+_TGT = "CASE v WHEN 0 THEN 'yard.f' || y WHEN 1 THEN 'yard.f' WHEN 2 THEN 'd.u' WHEN 3 THEN 'hold.o' WHEN 4 THEN 'es' ELSE '' END"
 
 
 @query(_V + f"SELECT script_id, {_IDX}, {_SRC} AS src, {_TGT} AS tgt FROM o")
@@ -395,7 +395,7 @@ def datax_table_edges(spark, sf_dir):
 
 
 _ALIGN = f"""a AS (SELECT script_id, v, unnest(string_split({_SRC}, ',')) AS source_table, {_TGT} AS target_table FROM o WHERE v < 5),
-p AS (SELECT * FROM (VALUES (0, 0, 'id', 'k'), (0, 1, 'amt', 'v'), (1, 0, 'id', 'k'), (1, 1, 'a//b', 'v'), (2, 0, 'a', 'x'), (3, 0, '*', '*'), (4, 0, 'p', 'q')) AS t(v, pos, source_column, target_column))"""
+p AS (SELECT * FROM (VALUES (0, 0, 'crew', 'k'), (0, 1, 'hours', 'v'), (1, 0, 'id', 'k'), (1, 1, 'a//b', 'v'), (2, 0, 'a', 'x'), (3, 0, '*', '*'), (4, 0, 'p', 'q')) AS t(v, pos, source_column, target_column))"""
 
 
 @query(_V.rstrip() + f", {_ALIGN} SELECT script_id, 1 AS content_idx, pos, source_table, source_column, target_table, target_column FROM a JOIN p ON p.v = a.v WHERE a.v <> 3")
@@ -408,10 +408,10 @@ def datax_star_edges(spark, sf_dir):
     return datax.datax_star_edges(datax.datax_resolved(sides(spark, sf_dir)))
 
 
-@query(_Q + """SELECT script_id, 1 AS content_idx, 0 AS pos, 'ods.o' || x AS source_table, 'id' AS source_column, 'dw.d' AS target_table, 'k' AS target_column FROM o WHERE v = 0
-UNION ALL SELECT script_id, 1, 1, 'dim.u', 'name', 'dw.d', 'v' FROM o WHERE v = 0
-UNION ALL SELECT script_id, 1, 0, 'q' || x, 'a', 'dw.t', 'x' FROM o WHERE v = 1
-UNION ALL SELECT script_id, 1, 1, 'q' || x, 'one', 'dw.t', 'y' FROM o WHERE v = 1""")
+@query(_Q + """SELECT script_id, 1 AS content_idx, 0 AS pos, 'port.berth' || x AS source_table, 'berth' AS source_column, 'quay.tally' AS target_table, 'k' AS target_column FROM o WHERE v = 0
+UNION ALL SELECT script_id, 1, 1, 'port.cargo', 'tons', 'quay.tally', 'v' FROM o WHERE v = 0
+UNION ALL SELECT script_id, 1, 0, 'q' || x, 'a', 'yard.t', 'x' FROM o WHERE v = 1
+UNION ALL SELECT script_id, 1, 1, 'q' || x, 'one', 'yard.t', 'y' FROM o WHERE v = 1""")
 def datax_query_columns(spark, sf_dir):
     s, facts = query_facts(spark, sf_dir)
     return datax.datax_query_columns(datax.datax_resolved(s, facts))
