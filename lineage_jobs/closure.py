@@ -14,10 +14,16 @@ def _component_of_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """The nodes that undirected paths join to a seed. ``edges(src, dst)``, ``seeds(node)``; nodes are structs."""
     scripts = materialize(seeds.select("node.script_id").distinct())  # scripts are graphs of their own
     few = broadcast_if_small(scripts, scripts.count())
-    near = edges.withColumn("script_id", F.col("src.script_id")).join(few, "script_id", "left_semi").drop("script_id")
-    parts = materialize(connected_components(near))
-    chosen = parts.join(seeds.distinct(), "node", "left_semi").select("component").distinct()
-    reached = parts.join(chosen, "component", "left_semi").select("node")
+    near = materialize(edges.withColumn("script_id", F.col("src.script_id")).join(few, "script_id", "left_semi").select("src", "dst").distinct())
+    # components are found over numbers, whose minima are hashed and not sorted; the written table keeps the numbers as they are
+    every = near.select(F.col("src").alias("node")).unionByName(near.select(F.col("dst").alias("node"))).distinct()
+    numbered = materialize(every.withColumn("number", F.monotonically_increasing_id()))
+    end = lambda c: numbered.select(F.col("node").alias(c), F.col("number").alias(f"{c}_number"))
+    links = near.join(end("src"), "src").join(end("dst"), "dst").select("src_number", "dst_number")
+    parts = materialize(connected_components(links, "src_number", "dst_number"))
+    met = seeds.distinct().join(numbered, "node").select(F.col("number").alias("node"))
+    chosen = parts.join(met, "node", "left_semi").select("component").distinct()
+    reached = parts.join(chosen, "component", "left_semi").select(F.col("node").alias("number")).join(numbered, "number").select("node")
     return reached.unionByName(seeds.select("node")).distinct()
 
 
