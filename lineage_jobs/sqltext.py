@@ -53,6 +53,8 @@ KEYWORDS = (
 FROM_KEYWORDS = "with table tablesample pivot unpivot for use force ignore final prewhere anti semi asof positional insert fetch connect start cluster distribute sort when".split()
 NOT_KEYWORD = rf"(?!(?:{'|'.join(KEYWORDS)})\b)"
 NOT_IN_FROM = rf"(?!(?:{'|'.join(KEYWORDS + FROM_KEYWORDS)})\b)"
+#: What can't be a table; words such as date or first can.
+NOT_TABLE = r"(?!(?:select|values|from|where|set|with|into|overwrite|using|on|lateral|join|left|right|full|inner|outer|cross|natural|group|order|limit|union)\b)"
 #: Query blocks may be nested so deep before the loop gives up with an error.
 MOST_LEVELS = 200
 KEY = ["script_id", "stmt_idx"]
@@ -210,7 +212,7 @@ def sql_statements(scripts: DataFrame) -> DataFrame:
 
 
 def mined(statements: DataFrame) -> DataFrame:
-    """``statements`` with ``code``, ``ctes``, ``main`` (the code without its CTEs) and ``needs_parser`` (brackets don't balance).
+    """``statements`` with ``fold`` (of what is left without CTEs), ``code``, ``ctes``, ``main`` (the code without its CTEs) and ``needs_parser`` (brackets don't balance).
 
     ``ctes`` are structs of name and body; those of nested queries come before those of the statement.
     """
@@ -220,7 +222,7 @@ def mined(statements: DataFrame) -> DataFrame:
     texts = F.concat(fold["groups"], F.array(fold["code"]))
     items = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(F.regexp_extract(t, WITH, 0), F.lit(f"(?iU){CTE}"), F.lit(0))))
     bare = F.struct(
-        F.regexp_replace(fold["code"], WITH, " ").alias("code"),
+        strip(F.regexp_replace(fold["code"], WITH, " ")).alias("code"),
         F.transform(fold["groups"], lambda g: F.regexp_replace(g, WITH, " ")).alias("groups"),
         fold["depth"].alias("depth"),
     )
@@ -237,7 +239,7 @@ def mined(statements: DataFrame) -> DataFrame:
         rows.withColumn("ctes", F.coalesce(found, none))
         .withColumn("main", F.coalesce(strip(F.regexp_replace(unfolded(F.col("fold")["code"], F.col("fold")), r"\s++", " ")), F.col("code")))
         .withColumn("needs_parser", fold.isNull())
-        .drop("items", "raw_fold", "fold")
+        .drop("items", "raw_fold")
     )
 
 
@@ -259,7 +261,7 @@ def statement_kind(main):
 FROM_FIRST = rf"(?isU)^FROM\b\s*+({until('INSERT|SELECT')})"
 FROM_ARM = rf"(?isU)\b(INSERT\b{until('INSERT|SELECT')})(SELECT\b{until('INSERT|WHERE|GROUP|HAVING|ORDER|LIMIT|CLUSTER|DISTRIBUTE|SORT|WINDOW|QUALIFY|LATERAL')})({until('INSERT')})"
 FROM_QUERY = rf"(?isU)(SELECT\b{until('WHERE|GROUP|HAVING|ORDER|LIMIT|CLUSTER|DISTRIBUTE|SORT|WINDOW|QUALIFY|LATERAL')})(.*+)$"
-ALL_ARM = rf"(?isU)\bINTO\s++({NAME})\s*+({GROUP}\d++{MARK_END})?+\s*+(?:VALUES\s*+({ANY_GROUP}))?+"
+ALL_ARM = rf"(?isU)\bINTO\s++{NOT_TABLE}({NAME})\s*+({GROUP}\d++{MARK_END})?+\s*+(?:VALUES\s*+({ANY_GROUP}))?+"
 SELECT_INTO = rf"(?isU)^(SELECT\b{until('INTO|FROM')})\bINTO\s++(?:(?:TEMPORARY|TEMP|UNLOGGED)\s++)?+(?:TABLE\s++)?+({NAME})\s++(FROM\b.*+)$"
 VALUES_ROWS = rf"(?isU)\bVALUES\s*+({ANY_GROUP}(?:\s*+,\s*+{ANY_GROUP})*+)"
 BODY = rf"(?isU)(?:\bSELECT\b|{QUERY}).*+$"
@@ -316,10 +318,10 @@ def sql_statement_kind(statements: DataFrame) -> DataFrame:
     Several arms come from ``FROM s INSERT ... INSERT ...`` and ``INSERT ALL``; they share what they read. Writing statements whose
     table isn't found, and others that write in a form that isn't known, need a parser.
     """
-    rows = with_fold(mined(statements), "main").withColumn("first", statement_kind(F.col("main")))
+    rows = mined(statements).withColumn("first", statement_kind(F.col("main")))
     code, first = F.col("fold")["code"], F.col("first")
     kind = (
-        F.when(code.rlike(rf"(?isU)^FROM\b.*\bINSERT\b"), "insert").when(code.rlike(r"(?iU)^FROM\b"), "select")
+        F.when(code.rlike(r"(?isU)^FROM\b.*\bINSERT\b"), "insert").when(code.rlike(r"(?iU)^FROM\b"), "select")
         .when(code.rlike(SELECT_INTO), "create").otherwise(first)
     )
     rows = rows.withColumn("kind", kind)
@@ -336,7 +338,7 @@ IF_NOT = r"(?:IF\s++NOT\s++EXISTS\s++)?+"
 INSERT_HEAD = rf"(?:INSERT|REPLACE|COPY)\s++(?:OVERWRITE\s++|INTO\s++|IGNORE\s++)*+(?:LOCAL\s++)?+(?:TABLE\s++)?+{IF_NOT}"
 CREATE_HEAD = rf"CREATE\b(?:(?!\b(?:TABLE|VIEW)\b)[^(])*+\b(?:TABLE|VIEW)\s++{IF_NOT}"
 DELETE_HEAD = rf"DELETE\s++(?:FROM\s++|(?:{NAME}(?:\s*+,\s*+{NAME})*+)\s++FROM\s++)?+"
-WRITTEN = rf"(?iU)^(?:{INSERT_HEAD}|{CREATE_HEAD}|UPDATE\s++(?:ONLY\s++)?+|MERGE\s++(?:INTO\s++)?+|{DELETE_HEAD})({NAME})"
+WRITTEN = rf"(?iU)^(?:{INSERT_HEAD}|{CREATE_HEAD}|UPDATE\s++(?:ONLY\s++)?+|MERGE\s++(?:INTO\s++)?+|{DELETE_HEAD}){NOT_TABLE}({NAME})"
 LISTED = rf"(?iU)^(?:{INSERT_HEAD}{NAME}(?:\s*+PARTITION\s*+\([^()]*+\))?+\s*+\((?!\s*+(?:SELECT|WITH)\b)([^()]*+)\)|{CREATE_HEAD}{NAME}\s*+\(([^()]*+)\)(?=\s*+AS\b))"
 WRITING = ["insert", "create", "update", "merge", "delete"]
 
@@ -464,7 +466,7 @@ def _relations(rows: DataFrame, items) -> DataFrame:
     table = (F.col("called") == "") | content(F.col("called"), F.col("fold")).rlike(HINT)
     # the place of a subquery among those of its block is part of its scope's id
     before = F.size(F.filter(F.slice("items", 1, F.col("pos")), lambda i: F.startswith(F.regexp_extract(i, ITEM, 1), F.lit(QUERY))))
-    return taken.where((F.col("ref") != "") & (sub | (table & F.col("ref").rlike(rf"(?iU)^{NOT_IN_FROM}")))).select(
+    return taken.where((F.col("ref") != "") & (sub | (table & F.col("ref").rlike(rf"(?iU)^{NOT_TABLE}")))).select(
         *KEY,
         "scope_id",
         "pos",
