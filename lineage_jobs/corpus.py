@@ -169,11 +169,12 @@ def _tried(candidates: DataFrame) -> DataFrame:
     return candidates.where(auto | (F.col("preference") == F.col("engine")))
 
 
-def fallback_pick(candidates: DataFrame) -> DataFrame:
+def fallback_pick(candidates: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
     """``(script_id, ok, engine, detail)``: the engine whose graph a script gets.
 
     With the preference ``auto`` it is the successful one of the least rank; otherwise only the named engine
-    counts, and one that doesn't exist fails. ``detail`` tells a failure's reasons.
+    counts, and one that doesn't exist fails. ``detail`` tells a failure's reasons. ``ranks`` names the engines where
+    there are further ones (see :func:`schemas.engine_ranks`).
     """
     tried = _tried(candidates)
     best = tried.groupBy("script_id").agg(
@@ -181,7 +182,7 @@ def fallback_pick(candidates: DataFrame) -> DataFrame:
     )
     scripts = candidates.groupBy("script_id").agg(F.first("preference").alias("preference"))
     why = failure_summary(attempt_log(candidates))
-    unknown = ~F.coalesce("preference", F.lit("auto")).isin("auto", "", *ENGINE_RANK)
+    unknown = ~F.coalesce("preference", F.lit("auto")).isin("auto", "", *(ranks or ENGINE_RANK))
     return (
         scripts.join(best, "script_id", "left")
         .join(why, "script_id", "left")

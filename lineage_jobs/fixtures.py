@@ -259,6 +259,28 @@ UNION ALL
 SELECT l_orderkey, concat('s', CAST(l_partkey AS VARCHAR(9))), concat('t', CAST(l_linenumber AS VARCHAR(9))) FROM lineitem WHERE l_suppkey % 13 = 0 AND l_suppkey % 7 > 0
 """
 
+#: Scripts for an engine that reads comments: readable, unreadable, without a comment, without text, two comments.
+DECLARED = """
+SELECT o_orderkey AS script_id, 'hive' AS dialect, CASE o_orderkey % 5
+  WHEN 0 THEN concat('-- lineage: in.s', CAST(o_custkey % 50 AS VARCHAR(9)), ', in.k -> out.t', chr(10), 'select 1')
+  WHEN 1 THEN concat('-- lineage: in.s', CAST(o_custkey % 50 AS VARCHAR(9)))
+  WHEN 2 THEN 'select 1'
+  WHEN 3 THEN NULL
+  ELSE concat('--LINEAGE: a -> b', chr(10), '-- lineage: b -> c', CAST(o_custkey % 50 AS VARCHAR(9))) END AS text
+FROM orders
+"""
+
+#: What scripts read and write, by engine, dialect and role, with the length of the text; some of each are null.
+FACTS = """
+SELECT l_orderkey AS script_id,
+       CASE l_orderkey % 3 WHEN 0 THEN 'datax' WHEN 1 THEN 'sqlglot' ELSE 'druid' END AS engine,
+       CASE l_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'hive' WHEN 2 THEN 'mysql' ELSE 'spark' END AS dialect,
+       CASE l_linenumber % 3 WHEN 0 THEN 'source' WHEN 1 THEN 'target' ELSE 'intermediate' END AS role,
+       CASE WHEN l_partkey % 17 > 0 THEN concat('t', CAST(l_partkey AS VARCHAR(9)), '.', CAST(l_suppkey AS VARCHAR(9))) END AS tbl,
+       CASE WHEN l_suppkey % 19 > 0 THEN (l_partkey * l_suppkey - 20000) * l_linenumber END AS n_chars
+FROM lineitem
+"""
+
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of the statements above over the tables in ``sf_dir``."""

@@ -9,10 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineage_jobs import closure, corpus, datax, fixtures, graph, layers, resolve, runs, service, sqltext, stats, streaming
+from lineage_jobs import closure, corpus, datax, extension, fixtures, graph, layers, resolve, runs, service, sketches, sqltext, stats, streaming
 from lineage_jobs.fixtures import derived
 from lineage_jobs.runtime import materialize, shared_dir
-from lineage_jobs.schemas import DIALECTS, EDGE_PARTS
+from lineage_jobs.schemas import DIALECTS, EDGE_PARTS, engine_ranks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -945,3 +945,68 @@ def stream_windows(spark, sf_dir):
     events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs a time with a zone
     streaming.stream_windows(events, f"{folder}/sink", f"{folder}/state", "ts", "event_type", "6 hours", "1 day").awaitTermination()
     return streaming.read_windows(spark, f"{folder}/sink").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# -- further engines and sketches --------------------------------------------------------------------------------
+
+_DECLARED = f"WITH o AS (SELECT o_orderkey AS script_id, o_orderkey % 5 AS v, {_X} AS x FROM orders) "
+
+
+@query(_DECLARED + """SELECT script_id, 'tables' AS part, 'in.s' || x AS a, 'source' AS b, NULL AS c, NULL AS d FROM o WHERE v = 0
+UNION ALL SELECT script_id, 'tables', 'in.k', 'source', NULL, NULL FROM o WHERE v = 0 UNION ALL SELECT script_id, 'tables', 'out.t', 'target', NULL, NULL FROM o WHERE v = 0
+UNION ALL SELECT script_id, 'tables', 'a', 'source', NULL, NULL FROM o WHERE v = 4 UNION ALL SELECT script_id, 'tables', 'b', 'target', NULL, NULL FROM o WHERE v = 4
+UNION ALL SELECT script_id, 'tables', 'c' || x, 'target', NULL, NULL FROM o WHERE v = 4
+UNION ALL SELECT script_id, 'table_edges', 'in.s' || x, 'out.t', NULL, NULL FROM o WHERE v = 0 UNION ALL SELECT script_id, 'table_edges', 'in.k', 'out.t', NULL, NULL FROM o WHERE v = 0
+UNION ALL SELECT script_id, 'table_edges', 'a', 'b', NULL, NULL FROM o WHERE v = 4 UNION ALL SELECT script_id, 'table_edges', 'b', 'c' || x, NULL, NULL FROM o WHERE v = 4
+UNION ALL SELECT script_id, 'attempts', CASE WHEN v IN (0, 4) THEN 'true' ELSE 'false' END, CASE v WHEN 1 THEN 'unreadable: in.s' || x WHEN 2 THEN 'no lineage comment' WHEN 3 THEN 'empty' ELSE '' END, NULL, NULL FROM o""")
+def table_function_engine(spark, sf_dir):
+    """The graphs of an engine that was added as a table function."""
+    return flat_rows(corpus.engine_graph_json(extension.engine_replies(derived(spark, sf_dir, fixtures.DECLARED), extension.declared_lineage)))
+
+
+_WITH_DECLARED = f"""WITH c0 AS ({fixtures.CANDIDATES}), c AS (
+SELECT script_id, CASE WHEN preference = 'nosuch' THEN 'declared' ELSE preference END AS preference, engine, CASE WHEN engine = 'ai' THEN 6 ELSE engine_rank END AS engine_rank, ok, message FROM c0
+UNION ALL SELECT o_orderkey, CASE o_custkey % 7 WHEN 0 THEN 'druid' WHEN 1 THEN 'declared' ELSE 'auto' END, 'declared', 5, o_orderkey % 5 IN (0, 4),
+  CASE o_orderkey % 5 WHEN 1 THEN 'unreadable: in.s' || {_X} WHEN 2 THEN 'no lineage comment' WHEN 3 THEN 'empty' ELSE '' END FROM orders), """
+
+
+@query(_WITH_DECLARED + _TRIED[len(_CANDIDATES):] + "SELECT * FROM p")
+def table_function_fallback(spark, sf_dir):
+    """The choice among engines of which one was added as a table function, before the last."""
+    ranks = engine_ranks({"declared": "ai"})
+    given = derived(spark, sf_dir, fixtures.CANDIDATES).withColumn("preference", F.when(F.col("preference") == "nosuch", "declared").otherwise(F.col("preference")))
+    rank = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
+    given = given.withColumn("engine_rank", rank[F.col("engine")])
+    replies = extension.engine_replies(derived(spark, sf_dir, fixtures.DECLARED), extension.declared_lineage)
+    own = corpus.engine_graph_json(replies)["attempts"].select("script_id", F.lit("declared").alias("engine"), F.lit(ranks["declared"]).alias("engine_rank"), "ok", "message")
+    asked = given.groupBy("script_id").agg(F.first("preference").alias("preference"))
+    return corpus.fallback_pick(given.unionByName(asked.join(own, "script_id")), ranks)
+
+
+_SKETCH_DIMS = ["engine", "dialect", "role"]
+_LEVELS = "CAST(grouping(engine) + grouping(dialect) + grouping(role) AS INTEGER) AS level"
+
+
+def _sketches(spark, sf_dir):
+    return materialize(sketches.script_sketches(derived(spark, sf_dir, fixtures.FACTS), "script_id", _SKETCH_DIMS, "tbl", "n_chars"))
+
+
+@query(f"""SELECT engine, dialect, role, {_LEVELS}, count(*) AS n, true AS near FROM ({fixtures.FACTS}) AS q GROUP BY ROLLUP (engine, dialect, role)""")
+def sketch_distinct(spark, sf_dir):
+    """Distinct tables under rollup from merged sketches, held against exact counts: within five standard errors or not."""
+    facts = derived(spark, sf_dir, fixtures.FACTS)
+    out = sketches.rollup_distinct(_sketches(spark, sf_dir), _SKETCH_DIMS)
+    exact = facts.rollup(*_SKETCH_DIMS).agg(sketches._level(_SKETCH_DIMS), F.count_distinct("tbl").alias("exact"))
+    same = [out[c].eqNullSafe(exact[c]) for c in [*_SKETCH_DIMS, "level"]]
+    near = F.abs(F.col("items") - F.col("exact")) <= F.col("exact") * 5 * 1.04 / 2 ** (sketches.LOG_REGISTERS / 2)
+    return out.join(exact, same).select(*[out[c] for c in [*_SKETCH_DIMS, "level", "n"]], near.alias("near"))
+
+
+@query(f"""WITH g AS (SELECT engine, dialect, role, {_LEVELS}, list(n_chars ORDER BY n_chars) FILTER (n_chars IS NOT NULL) AS v FROM ({fixtures.FACTS}) AS q GROUP BY ROLLUP (engine, dialect, role)),
+r AS (SELECT *, len(v) AS n, v[CAST(greatest(1, (len(v) * permille + 999) // 1000) AS BIGINT)] AS x FROM g CROSS JOIN (VALUES (0), (500), (900), (990), (1000)) AS p(permille) WHERE len(v) > 0),
+s AS (SELECT *, CASE WHEN x < 0 THEN -1 - x ELSE x END AS u FROM r), t AS (SELECT *, CAST(greatest(length(bin(u)) - 7, 0) AS BIGINT) AS z FROM s),
+m AS (SELECT *, (u >> z) * (1::BIGINT << z) + (1::BIGINT << z) // 2 AS mid FROM t)
+SELECT engine, dialect, role, level, permille, n, CASE WHEN x < 0 THEN -1 - mid ELSE mid END AS value FROM m""")
+def sketch_quantiles(spark, sf_dir):
+    """Quantiles of text lengths under rollup from merged histograms; the SQL takes the exact ones and rounds them."""
+    return sketches.rollup_quantiles(_sketches(spark, sf_dir), _SKETCH_DIMS, [0, 500, 900, 990, 1000])

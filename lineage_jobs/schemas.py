@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 ENGINE_ORDER = ["datax", "sqllineage", "sqlglot", "druid", "ai"]
 ENGINE_RANK = {name: k for k, name in enumerate(ENGINE_ORDER, 1)}
 
+
+
+def engine_ranks(further: dict[str, str]) -> dict[str, int]:
+    """The ranks of all engines where each of ``further`` is tried right before the engine that it names."""
+    order = list(ENGINE_ORDER)
+    for name, before in further.items():
+        if name in order:
+            raise ValueError(f"there is an engine {name} already")
+        order.insert(order.index(before), name)
+    return {name: k for k, name in enumerate(order, 1)}
+
+
 ROLES = ["source", "target", "intermediate"]
 
 #: Columns listed for a table, and characters of a script in a prompt.

@@ -30,13 +30,14 @@ def foreign_graph(found: dict[str, DataFrame], strict: bool = False) -> dict[str
     return graph.normalize_graph(declared, found["table_edges"], found["column_edges"], strict) | {"warnings": found["warnings"], "attempts": attempts}
 
 
-def analyse_corpus(scripts: DataFrame, others: dict[str, dict[str, DataFrame]] | None = None, own: str = "sqlglot", strict: bool = False) -> dict[str, DataFrame]:
+def analyse_corpus(scripts: DataFrame, others: dict[str, dict[str, DataFrame]] | None = None, own: str = "sqlglot", strict: bool = False, ranks: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """``responses(script_id, ok, response)``, ``picks``, ``attempts`` and ``documents(script_id, graph)`` of a corpus.
 
     ``scripts(script_id, text, dialect, preference)``. Texts are cleaned; jobs and SQL are mined; ``others`` holds the flat
     graph tables of further engines by name. Of the engines that a script's preference admits the first in rank with a
     table gives the graph. The SQL mining of this library stands under the name ``own``. Scripts without text are
-    rejected before any engine; null preferences count as ``auto``.
+    rejected before any engine; null preferences count as ``auto``. ``ranks`` gives the order of the engines where ``others`` has
+    ones of its own (see :mod:`lineage_jobs.extension`).
     """
     cleaned = materialize(corpus.input_classify(corpus.input_clean(scripts)))
     usable = cleaned.where("reject_reason is null")
@@ -47,9 +48,9 @@ def analyse_corpus(scripts: DataFrame, others: dict[str, dict[str, DataFrame]] |
     found |= {name: (foreign_graph(tables, strict), None) for name, tables in (others or {}).items()}
     tried = []
     for name, (tables, _) in found.items():
-        tried.append(tables["attempts"].select("script_id", F.lit(name).alias("engine"), F.lit(ENGINE_RANK[name]).alias("engine_rank"), "ok", "message"))
+        tried.append(tables["attempts"].select("script_id", F.lit(name).alias("engine"), F.lit((ranks or ENGINE_RANK)[name]).alias("engine_rank"), "ok", "message"))
     candidates = materialize(usable.select("script_id", "preference").join(reduce(DataFrame.unionByName, tried), "script_id"))
-    picks = materialize(corpus.fallback_pick(candidates))
+    picks = materialize(corpus.fallback_pick(candidates, ranks))
     attempts = corpus.attempt_log(candidates)
     chosen = picks.where("ok").select("script_id", "engine")
 
