@@ -987,15 +987,11 @@ _SKETCH_DIMS = ["engine", "dialect", "role"]
 _LEVELS = "CAST(grouping(engine) + grouping(dialect) + grouping(role) AS INTEGER) AS level"
 
 
-def _sketches(spark, sf_dir):
-    return materialize(sketches.script_sketches(derived(spark, sf_dir, fixtures.FACTS), "script_id", _SKETCH_DIMS, "tbl", "n_chars"))
-
-
 @query(f"""SELECT engine, dialect, role, {_LEVELS}, count(*) AS n, true AS near FROM ({fixtures.FACTS}) AS q GROUP BY ROLLUP (engine, dialect, role)""")
 def sketch_distinct(spark, sf_dir):
     """Distinct tables under rollup from merged sketches, held against exact counts: within five standard errors or not."""
     facts = derived(spark, sf_dir, fixtures.FACTS)
-    out = sketches.rollup_distinct(_sketches(spark, sf_dir), _SKETCH_DIMS)
+    out = sketches.rollup_distinct(materialize(sketches.distinct_sketches(facts, "script_id", _SKETCH_DIMS, "tbl")), _SKETCH_DIMS)
     exact = facts.rollup(*_SKETCH_DIMS).agg(sketches._level(_SKETCH_DIMS), F.count_distinct("tbl").alias("exact"))
     same = [out[c].eqNullSafe(exact[c]) for c in [*_SKETCH_DIMS, "level"]]
     near = F.abs(F.col("items") - F.col("exact")) <= F.col("exact") * 5 * 1.04 / 2 ** (sketches.LOG_REGISTERS / 2)
@@ -1009,4 +1005,5 @@ m AS (SELECT *, (u >> z) * (1::BIGINT << z) + (1::BIGINT << z) // 2 AS mid FROM
 SELECT engine, dialect, role, level, permille, n, CASE WHEN x < 0 THEN -1 - mid ELSE mid END AS value FROM m""")
 def sketch_quantiles(spark, sf_dir):
     """Quantiles of text lengths under rollup from merged histograms; the SQL takes the exact ones and rounds them."""
-    return sketches.rollup_quantiles(_sketches(spark, sf_dir), _SKETCH_DIMS, [0, 500, 900, 990, 1000])
+    stored = materialize(sketches.quantile_sketches(derived(spark, sf_dir, fixtures.FACTS), "script_id", _SKETCH_DIMS, "n_chars"))
+    return sketches.rollup_quantiles(stored, _SKETCH_DIMS, [0, 500, 900, 990, 1000])

@@ -1,7 +1,7 @@
 """Mergeable sketches by script, merged under rollup: distinct items by HyperLogLog, quantiles by a log-linear histogram.
 
-A script's sketches are stored once and merged at any grouping of the dimensions, so that no fact is read again. Every stored
-row and every merged one has a bound of its own: 4 KB for distinct items, some 8,000 buckets for the quantiles of any longs.
+A script's sketches are stored once and merged at any grouping of the dimensions, so that no fact is read again. Stored and
+merged rows are bounded: some 4 KB for distinct items, some 7,500 buckets for the quantiles of any longs.
 """
 
 from __future__ import annotations
@@ -34,16 +34,32 @@ def bucket_value(number):
     return F.when(number < 0, F.bitwise_not(middle)).otherwise(middle)
 
 
-def script_sketches(facts: DataFrame, script: str, dims: list[str], item: str, measure: str) -> DataFrame:
-    """``(script, dims..., n, items, buckets)``: the sketches of each script's facts by their dimensions.
+def _free(dims: list[str], *taken: str) -> None:
+    """Raise where a dimension has the name of a column of the result."""
+    if clash := sorted({d.lower() for d in dims} & {"level", "n", *taken}):
+        raise ValueError(f"rename the dimensions {clash}")
 
-    ``n`` counts all facts; null items and null measures count for neither sketch; null scripts and dimensions are values of
-    their own; repeated facts count again in ``n`` and ``buckets``. An empty table gives an empty one.
+
+def distinct_sketches(facts: DataFrame, script: str, dims: list[str], item: str) -> DataFrame:
+    """``(script, dims..., n, items)``: each script's facts by their dimensions, counted, and the sketch of their distinct items.
+
+    Null items count in ``n`` only; null scripts and dimensions are values of their own; repeated facts count again in ``n``.
+    An empty table gives an empty one. Scripts and dimensions must not be named like the other columns.
+    """
+    _free([script, *dims], "items")
+    return facts.groupBy(script, *dims).agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(F.col(item).cast("string"), F.lit(LOG_REGISTERS)).alias("items"))
+
+
+def quantile_sketches(facts: DataFrame, script: str, dims: list[str], measure: str) -> DataFrame:
+    """``(script, dims..., n, buckets)``: how many measures each script has by its dimensions, and their buckets ``(bucket, n)``.
+
+    Null measures don't count, and groups without any give no row; otherwise as :func:`distinct_sketches`. Counts are added up
+    by bucket before lists are made, so that no list grows with the facts.
     """
-    keyed = facts.select(script, *dims, F.col(item).cast("string").alias("item"), bucket(F.col(measure).cast("long")).alias("bucket"))
-    fine = keyed.groupBy(script, *dims, "bucket").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("item", F.lit(LOG_REGISTERS)).alias("items"))
-    counted = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n"))
-    return fine.groupBy(script, *dims).agg(F.sum("n").alias("n"), F.hll_union_agg("items").alias("items"), F.collect_list(counted).alias("buckets"))
+    _free([script, *dims], "bucket", "buckets", "permille", "value", "upto")
+    number = bucket(F.col(measure).cast("long"))
+    fine = facts.where(F.col(measure).isNotNull()).groupBy(script, *dims, number.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return fine.groupBy(script, *dims).agg(F.collect_list(F.struct("bucket", "n")).alias("buckets"), F.sum("n").alias("n"))
 
 
 def _rolled(rows: DataFrame, dims: list[str], kept: list[str]):
@@ -58,7 +74,7 @@ def _level(dims: list[str]):
 
 
 def rollup_distinct(sketches: DataFrame, dims: list[str]) -> DataFrame:
-    """``(dims..., level, n, items)``: facts and estimated distinct items for every prefix of the dimensions.
+    """``(dims..., level, n, items)`` of :func:`distinct_sketches`: facts and estimated distinct items for every prefix of the dimensions.
 
     Sketches are merged at the finest grouping first, with partial merges before the shuffle; only its rows are rolled up.
     """
@@ -68,12 +84,11 @@ def rollup_distinct(sketches: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def rollup_quantiles(sketches: DataFrame, dims: list[str], permilles: list[int]) -> DataFrame:
-    """``(dims..., level, permille, n, value)``: quantiles of the measure for every prefix of the dimensions.
+    """``(dims..., level, permille, n, value)`` of :func:`quantile_sketches`: quantiles for every prefix of the dimensions.
 
-    The value of rank ``ceil(n * permille / 1000)``, at least 1, told by its bucket: within 1/128 of it. ``n`` counts the
-    measures that aren't null; groups without any give no row.
+    The value of rank ``ceil(n * permille / 1000)``, at least 1, told by its bucket: within 1/128 of it. ``n`` counts the measures.
     """
-    cells = sketches.select(*dims, F.explode("buckets").alias("b")).groupBy(*dims, "b.bucket").agg(F.sum("b.n").alias("n"))
+    cells = sketches.select(*dims, F.inline("buckets")).groupBy(*dims, "bucket").agg(F.sum("n").alias("n"))
     rolled = _rolled(cells, dims, ["bucket"]).agg(_level(dims), F.sum("n").alias("n"))
     group = Window.partitionBy(*dims, "level")
     counted = rolled.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
