@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from lineage_jobs.runtime import dealt_out, materialize
+
 #: By part of a graph: the keys of its items that must be text, and those that may be missing or null.
 CONTRACT = {
     "tables": (["id"], ["role"]),
@@ -89,10 +91,11 @@ def engine_replies(scripts: DataFrame, parse: Callable[[str, str | None], dict],
 
     Rows stay in their partitions; only the three columns go to Python. Null and blank texts give the error ``empty`` without
     a call, repeated rows a reply each, null ids are kept, long texts go whole, an empty table gives an empty one. What
-    ``parse`` raises and graphs that break the contract are errors of that script alone.
+    ``parse`` raises and graphs that break the contract are errors of that script alone. The replies are written once, as every
+    part of a graph is read from them and engines may be dear or answer differently when asked again.
     """
-    few = scripts.select(script, text, dialect)
-    return engine_function(parse)(few.asTable(), F.lit(script), F.lit(text), F.lit(dialect))
+    few = dealt_out(scripts.select(script, text, dialect))
+    return materialize(engine_function(parse)(few.asTable(), F.lit(script), F.lit(text), F.lit(dialect)))
 
 
 def declared_lineage(text: str, dialect: str | None) -> dict:
