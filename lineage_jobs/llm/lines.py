@@ -22,13 +22,15 @@ BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4
 #: Longs of the bitmap of a shingle set, in which every shingle of the set turns one bit over. Two bitmaps differ in no more
 #: bits than the sets do in shingles, so pairs that differ in too many can't be linked: the test loses no link.
 WORDS = 16
+#: Lines outside the hub's component from which a bucket is a crowd, whose lines are compared by their rarest shingles.
+CROWD = 100
 #: Rows of a bucket's smaller side that one task compares with its larger side.
 BLOCK = 500
 #: Further hubs that are drawn from either side of a bucket before all pairs that are still open are compared.
 HUBS = 3
 #: Rows of bitmaps up to which they are broadcast, at some 160 bytes each.
 MAX_BITMAPS = 100_000
-#: Rows of linked or repeated lines up to which they are broadcast, at some 40 bytes each.
+#: Rows of linked or repeated lines up to which they are broadcast, at some 80 bytes each.
 MAX_LINKED = 500_000
 KEYS = [f"k{b}" for b in range(len(BANDS))]
 BITMAP = [f"m{k}" for k in range(WORDS)]
@@ -90,9 +92,17 @@ def lane_minima(bare: DataFrame, count: int) -> DataFrame:
     return mixed.groupBy("line_id").agg(*[F.min(lane(k)).alias(f"l{k}") for k in range(count)])
 
 
-def line_signatures(lines: DataFrame) -> DataFrame:
-    """``(line_id, k0..)``: a row for each distinct bare line, named by its 64-bit hash, with the keys of its bands."""
-    bare = bare_lines(lines.select("line")).where("bare <> ''").select(F.xxhash64("bare").alias("line_id"), "bare")
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """``(line_id, bare)``, stored: each distinct bare line once, blank ones left out, under a number of its own.
+
+    The lines themselves are compared, so that unlike lines never share a number, however many there are.
+    """
+    bare = bare_lines(lines.select("line")).where("bare <> ''").distinct()
+    return materialize(bare.select(F.monotonically_increasing_id().alias("line_id"), "bare"))
+
+
+def line_signatures(bare: DataFrame) -> DataFrame:
+    """``(line_id, k0..)``: the keys of the bands of each line of ``bare(line_id, bare)``."""
     bands = [F.xxhash64(F.lit(b), *[f"l{k}" for k in band]).alias(f"k{b}") for b, band in enumerate(BANDS)]
     return lane_minima(bare, LANES).select("line_id", *bands)
 
@@ -105,17 +115,10 @@ def shingles_of(rows: DataFrame, bare: str, out: str) -> DataFrame:
     return rows.select(*rest, F.explode(hashes).alias(out))
 
 
-def lines_named(ids: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the lines that ``ids(line_id)`` names: ``(line_id, n, hashes)``, their shingle sets, and ``(line_id, n, m0..)``,
-    the sets' sizes and bitmaps."""
-    few = broadcast_if_small(ids, ids.count())
-    texts = (
-        bare_lines(lines.select("line"))
-        .where("bare <> ''")
-        .select(F.xxhash64("bare").alias("line_id"), "bare")
-        .join(few, "line_id", "left_semi")
-        .distinct()
-    )
+def lines_named(ids: DataFrame, bare: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the lines of ``bare(line_id, bare)`` that ``ids(line_id)`` names: ``(line_id, n, hashes)``, their shingle sets, and
+    ``(line_id, n, m0..)``, the sets' sizes and bitmaps."""
+    texts = bare.join(broadcast_if_small(ids, ids.count()), "line_id", "left_semi")
     distinct = shingles_of(texts, "bare", "hashes").select("line_id", computed(F.array_distinct("hashes")).alias("hashes"))
     sets = materialize(distinct.select("line_id", F.size("hashes").cast("long").alias("n"), "hashes"))
     bits = sets.select("line_id", "n", F.explode("hashes").alias("h"))
@@ -144,9 +147,15 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def open_rows(members: DataFrame, labels: DataFrame, signed: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``(key, id, own, outside, blocks, n, m0.., k0..)``: the lines of the buckets that hold several components; ``outside`` says
-    whether a line isn't in the component of its bucket's hub."""
+def hubs_of(keys: DataFrame) -> DataFrame:
+    """``(key, hub)``, stored: the least line of each bucket of ``keys(key, id)`` that has several lines."""
+    ends = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
+    return materialize(ends.where("hub < last").select("key", "hub"))
+
+
+def open_rows(members: DataFrame, labels: DataFrame, signed: DataFrame, bitmaps: DataFrame, least: int = 3) -> DataFrame:
+    """``(key, id, own, outside, open, blocks, n, m0.., k0..)``: the lines of the buckets of at least ``least`` lines that hold
+    several components; ``outside`` says whether a line isn't in the component of its bucket's hub, ``open`` how many aren't."""
     few = broadcast_if_small(labels, labels.count())
     mine = few.select(F.col("node").alias("id"), F.col("component").alias("own"))
     its = few.select(F.col("node").alias("hub"), F.col("component").alias("hubs"))
@@ -154,8 +163,8 @@ def open_rows(members: DataFrame, labels: DataFrame, signed: DataFrame, bitmaps:
         "key", "id", F.coalesce("own", "id").alias("own"), (F.coalesce("own", "id") != F.coalesce("hubs", "hub")).alias("outside")
     )
     buckets = materialize(
-        told.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("open"), F.count(F.lit(1)).alias("size")).where("open > 0 and size > 2")
-        .select("key", F.ceil(F.col("open") / BLOCK).cast("int").alias("blocks"))
+        told.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("open"), F.count(F.lit(1)).alias("size")).where(f"open > 0 and size >= {least}")
+        .select("key", "open", F.ceil(F.col("open") / BLOCK).cast("int").alias("blocks"))
     )
     rows = told.join(broadcast_if_small(buckets, buckets.count()), "key").join(bitmaps.withColumnRenamed("line_id", "id"), "id")
     out = materialize(rows.join(signed.select(F.col("line_id").alias("id"), *KEYS), "id"))
@@ -181,7 +190,7 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of a bucket's lines that lie in different components and may be linked.
 
     The lines outside the hub's component are dealt into blocks, each of which meets all lines of the bucket in a
-    task of its own, by their bitmaps. A pair comes up in the first bucket that it shares only.
+    task of its own, by their bitmaps. Only pairs that share a band come up.
     """
     left = rows.where("outside").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.select("block", *[F.col(c).alias(f"l_{c}") for c in rows.columns])
@@ -193,21 +202,55 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
         & (F.col("l_own") != F.col("r_own"))
         & (~F.col("r_outside") | (F.col("l_id") < F.col("r_id")))
         & alike("l_", "r_", percent)
-        & (F.coalesce(*[F.when(F.col(f"l_{k}") == F.col(f"r_{k}"), F.col(f"l_{k}")) for k in KEYS]) == F.col("l_key"))
+        & reduce(lambda x, y: x | y, [F.col(f"l_{k}") == F.col(f"r_{k}") for k in KEYS])
     )
     return materialize(left.join(right, cond).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct())
 
 
-def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``(line_id, class_id)`` of the distinct bare lines that are linked with another one."""
-    signed = materialize(line_signatures(lines))
+def joined(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``labels`` after the links among ``pairs``; what it replaces is released, as are the pairs."""
+    links = confirm(pairs, sets, percent)
+    if links.isEmpty():
+        merged = labels
+    else:
+        edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+        merged = materialize(connected_components(edges, "a", "b"))
+        release(labels)
+    release(pairs, links)
+    return merged
+
+
+def crowd_members(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(key, id, hub)``, stored: the lines ``ids(id)`` of crowds under those of their rarest shingles that a linked line must
+    share with them.
+
+    Of two sets with ``percent`` % of their union in common each has at least that share of its own shingles in common. So if
+    all lines order their shingles alike, the first that are too many to be left out contain a shared one; no link is lost.
+    The order is by the number of the crowds' lines that have a shingle, so lines of one pattern that differ in their own parts meet
+    only where these parts are the same.
+    """
+    named = sets.join(broadcast_if_small(ids, ids.count()).withColumnRenamed("id", "line_id"), "line_id", "left_semi")
+    mine = materialize(named.select(F.col("line_id").alias("id"), F.explode("hashes").alias("h")))
+    often = materialize(mine.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
+    placed = spread_join(mine, often, "h", "left", ["id"]).select("id", F.struct(F.coalesce("often", F.lit(1)).alias("often"), "h").alias("place"))
+    ranked = placed.groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    n = F.size("places").cast("long")
+    first = F.slice("places", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    keys = materialize(ranked.select("id", F.explode(first).alias("place")).where("place.often > 1").select(F.col("place.h").alias("key"), "id"))
+    hubs = hubs_of(keys)
+    members = materialize(keys.join(broadcast_if_small(hubs, hubs.count()), "key"))
+    release(mine, often, keys, hubs)
+    return members
+
+
+def line_classes(bare: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(line_id, class_id)`` of the lines of a stored ``bare(line_id, bare)`` that are linked with another one."""
+    signed = materialize(line_signatures(bare))
     keys = signed.select(F.explode(F.array(*KEYS)).alias("key"), F.col("line_id").alias("id"))
-    hubs = materialize(
-        keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    )
+    hubs = hubs_of(keys)
     members = materialize(keys.join(broadcast_if_small(hubs, hubs.count()), "key"))
     ids = materialize(members.select(F.col("id").alias("line_id")).distinct())
-    sets, bitmaps = lines_named(ids, lines)
+    sets, bitmaps = lines_named(ids, bare)
     few = broadcast_if_small(bitmaps, bitmaps.count(), MAX_BITMAPS)
     side = lambda k: few.select(F.col("line_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ["n", *BITMAP]])
     tried = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -215,16 +258,20 @@ def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = confirm(pairs, sets, percent)
     labels = materialize(connected_components(links, "a", "b"))
     release(pairs, links)
-    for last in (False, True):
-        rows = open_rows(members, labels, signed, bitmaps)
-        pairs = open_pairs(rows, percent) if last else star_pairs(rows, percent)
-        links = confirm(pairs, sets, percent)
-        if not links.isEmpty():
-            edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
-            merged = materialize(connected_components(edges, "a", "b"))
-            release(labels)
-            labels = merged
-        release(rows, pairs, links)
+    rows = open_rows(members, labels, signed, bitmaps)
+    labels = joined(labels, star_pairs(rows, percent), sets, percent)
+    release(rows)
+    rows = open_rows(members, labels, signed, bitmaps)
+    pairs = open_pairs(rows.where(f"open <= {CROWD}"), percent)
+    crowd = materialize(rows.where(f"open > {CROWD}").select("id").distinct())
+    if not crowd.isEmpty():
+        few, rarest = pairs, crowd_members(crowd, sets, percent)
+        close = open_rows(rarest, labels, signed, bitmaps, 2)
+        more = open_pairs(close, percent)
+        pairs = materialize(few.unionByName(more).distinct())
+        release(few, rarest, close, more)
+    labels = joined(labels, pairs, sets, percent)
+    release(rows, crowd)
     release(signed, hubs, members, ids, sets, bitmaps)
     return labels.select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
 
@@ -232,15 +279,21 @@ def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
 def line_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, line_no, line_id, class_id, kept)``, one row for each line of each document.
 
-    ``line_id`` is the hash of the bare line (see :func:`bare_line`); ``class_id`` names the component of lines
+    ``line_id`` is the MD5 of the bare line (see :func:`bare_line`); ``class_id``, the least of them, names the component of lines
     that similarities of ``percent`` % or more of their character shingles connect; of each class the first line by
     document and number is kept. Blank lines have neither id nor class and are kept. Null texts give no row; in rows with a
     null id the lines come last. Rows that repeat a document repeat its lines, and the first of equal rows stays for all.
     """
     lines = lines_of(documents, doc_id, text)
-    classes = line_classes(lines, percent)
-    named = bare_lines(lines).select("doc_id", "line_no", F.when(F.col("bare") != "", F.xxhash64("bare")).alias("line_id"))
-    linked = classes.count()
+    bare = distinct_lines(lines)
+    labels = line_classes(bare, percent)
+    linked = labels.count()
+    known = materialize(broadcast_if_small(labels, linked).join(bare, "line_id").select("class_id", F.md5("bare").alias("line_id")))
+    least = known.groupBy("class_id").agg(F.min("line_id").alias("least"))
+    of_class = known.join(F.broadcast(least), "class_id") if linked <= MAX_LINKED else spread_join(known, least, "class_id", by=["line_id"])
+    classes = materialize(of_class.select("line_id", F.col("least").alias("class_id")))
+    release(bare, known)
+    named = bare_lines(lines).select("doc_id", "line_no", F.when(F.col("bare") != "", F.md5("bare")).alias("line_id"))
     if linked <= MAX_LINKED:
         classed = named.join(F.broadcast(classes), "line_id", "left")
     else:

@@ -255,12 +255,37 @@ def test_recall_of_line_bands(spark):
         if 0.8 <= len(a & b) / len(a | b) < 0.85:
             rows += [(k, t) for t in pair]
     df = spark.createDataFrame(rows, "k long, line string").withColumn("line_id", F.xxhash64("line"))
-    signed = lines.line_signatures(df.select("line"))
+    signed = lines.line_signatures(df.select("line_id", F.col("line").alias("bare")).distinct())
     keys = df.join(signed, "line_id").select("k", "line_id", F.explode(F.array(*[f"k{b}" for b in range(len(lines.BANDS))])).alias("key"))
     met = keys.groupBy("k", "key").agg(F.countDistinct("line_id").alias("n")).groupBy("k").agg(F.max("n").alias("n")).collect()
     assert len(met) > 300 and sum(r["n"] == 2 for r in met) > 0.98 * len(met)
 
 
+def test_crowds_of_lines_lose_no_link(spark, monkeypatch):
+    """Lines of one pattern, most just too unlike, some linked: by rarest shingles the same classes as by all pairs of a bucket."""
+    rng = random.Random(12)
+    base = [rng.choice("abcdefghij") for _ in range(300)]
+    rows = []
+    for k in range(160):
+        line = list(base)
+        for place in rng.sample(range(5, 290), 5):
+            line[place] = chr(0x4E00 + rng.randrange(5000))
+        rows.append("".join(line))
+        if k % 8 == 0:  # a line of its own that is linked to it alone
+            line[rng.randrange(5, 290)] = "#"
+            rows.append("".join(line))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    found = {}
+    for crowd in (3, 10**9):
+        monkeypatch.setattr(lines, "CROWD", crowd)
+        found[crowd] = {r["doc_id"]: r["class_id"] for r in lines.line_duplicates(df).collect()}
+    assert found[3] == found[10**9] and 20 < len(set(found[3].values())) < len(rows)
+    grams = [{t[i : i + 10] for i in range(len(t) - 9)} for t in rows]
+    want = components(list(range(len(rows))), lambda a, b: 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]))
+    firsts = {}
+    assert all(firsts.setdefault(found[3][k], want[k]) == want[k] for k in want)
+
+
 def test_short_documents_of_just_the_threshold(spark):
     rng = random.Random(31)
     docs, word = [], iter(range(10**9))
@@ -322,7 +347,7 @@ def test_bitmaps_lose_no_link(spark):
     grams = {b: ({b[i : i + 10] for i in range(len(b) - 9)} or {b}) for b in bare}
     df = spark.createDataFrame([(b,) for b in bare], "line string")
     ids = df.select(F.xxhash64("line").alias("line_id"), "line")
-    sets, bitmaps = lines.lines_named(ids.select("line_id"), df)
+    sets, bitmaps = lines.lines_named(ids.select("line_id"), ids.select("line_id", F.col("line").alias("bare")))
     assert {r["line"]: r["n"] for r in ids.join(sets, "line_id").collect()} == {b: len(g) for b, g in grams.items()}
     named = ids.join(bitmaps, "line_id")
     sides = [named.select(*[F.col(c).alias(f"{side}{c}") for c in named.columns]) for side in ("a_", "b_")]
