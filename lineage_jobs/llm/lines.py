@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineage_jobs.components import connected_components
-from lineage_jobs.runtime import broadcast_if_small, materialize, release, spread_join
+from lineage_jobs.runtime import MAX_BROADCAST_ROWS, broadcast_if_small, materialize, release, spread_join
 
 #: Characters of a shingle; shorter lines are one shingle.
 CHARS = 10
@@ -33,6 +33,7 @@ MAX_BITMAPS = 100_000
 #: Rows of linked or repeated lines up to which they are broadcast, at some 80 bytes each.
 MAX_LINKED = 500_000
 KEYS = [f"k{b}" for b in range(len(BANDS))]
+NAME = ["name_a", "name_b"]
 BITMAP = [f"m{k}" for k in range(WORDS)]
 
 
@@ -80,31 +81,37 @@ def lane(k: int):
     return F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn)) if turn else h
 
 
-def lane_minima(bare: DataFrame, count: int) -> DataFrame:
-    """``(line_id, l0..)`` of ``bare(line_id, bare)``: the first ``count`` lanes.
+def lane_minima(bare: DataFrame, count: int, by: list[str]) -> DataFrame:
+    """The columns ``by`` and ``l0..``, of ``bare`` with ``by`` and ``bare``: the first ``count`` lanes.
 
     Every shingle is a row of a generated loop and lanes are combined minima, so that no array of hashes is held.
     """
-    code = bare.select("line_id", computed(F.encode("bare", "UTF-32")).alias("code"))
-    at = code.select("line_id", "code", F.explode(starts(F.col("code"))).alias("start"))
-    hashed = at.select("line_id", shingle(F.col("code"), F.col("start")).alias("h"))
-    mixed = hashed.select("line_id", *[F.xxhash64("h", F.lit(j)).alias(f"h{j}") for j in range(-(-count // 4))])
-    return mixed.groupBy("line_id").agg(*[F.min(lane(k)).alias(f"l{k}") for k in range(count)])
+    code = bare.select(*by, computed(F.encode("bare", "UTF-32")).alias("code"))
+    at = code.select(*by, "code", F.explode(starts(F.col("code"))).alias("start"))
+    hashed = at.select(*by, shingle(F.col("code"), F.col("start")).alias("h"))
+    mixed = hashed.select(*by, *[F.xxhash64("h", F.lit(j)).alias(f"h{j}") for j in range(-(-count // 4))])
+    return mixed.groupBy(*by).agg(*[F.min(lane(k)).alias(f"l{k}") for k in range(count)])
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """``(line_id, bare)``, stored: each distinct bare line once, blank ones left out, under a number of its own.
+def names() -> list:
+    """The two halves of a bare line's name of 128 bits."""
+    return [F.xxhash64("bare"), F.xxhash64(F.lit(1), "bare")]
+
+
+def hex_name():
+    """The name of a line in 32 hex digits; null without one."""
+    return F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in NAME]))
 
-    The lines themselves are compared, so that unlike lines never share a number, however many there are.
-    """
-    bare = bare_lines(lines.select("line")).where("bare <> ''").distinct()
-    return materialize(bare.select(F.monotonically_increasing_id().alias("line_id"), "bare"))
 
+def named_lines(lines: DataFrame) -> DataFrame:
+    """The lines that aren't blank, with ``bare`` and its name, ``name_a`` and ``name_b``, in place of ``line``."""
+    return bare_lines(lines).where("bare <> ''").select("*", *[name.alias(c) for c, name in zip(NAME, names(), strict=True)])
 
-def line_signatures(bare: DataFrame) -> DataFrame:
-    """``(line_id, k0..)``: the keys of the bands of each line of ``bare(line_id, bare)``."""
+
+def line_signatures(bare: DataFrame, by: list[str] = NAME) -> DataFrame:
+    """The columns ``by`` and ``k0..``: the keys of the bands of each line of ``bare``, which has ``by`` and ``bare``; copies count once."""
     bands = [F.xxhash64(F.lit(b), *[f"l{k}" for k in band]).alias(f"k{b}") for b, band in enumerate(BANDS)]
-    return lane_minima(bare, LANES).select("line_id", *bands)
+    return lane_minima(bare, LANES, by).select(*by, *bands)
 
 
 def shingles_of(rows: DataFrame, bare: str, out: str) -> DataFrame:
@@ -115,16 +122,16 @@ def shingles_of(rows: DataFrame, bare: str, out: str) -> DataFrame:
     return rows.select(*rest, F.explode(hashes).alias(out))
 
 
-def lines_named(ids: DataFrame, bare: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the lines of ``bare(line_id, bare)`` that ``ids(line_id)`` names: ``(line_id, n, hashes)``, their shingle sets, and
-    ``(line_id, n, m0..)``, the sets' sizes and bitmaps."""
-    texts = bare.join(broadcast_if_small(ids, ids.count()), "line_id", "left_semi")
+def lines_named(bare: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``bare(line_id, bare)``, in which lines may repeat: ``(line_id, bare)``, each once, and ``(line_id, n, m0..)``,
+    the sizes and bitmaps of their shingle sets."""
+    texts = materialize(bare.distinct())
     distinct = shingles_of(texts, "bare", "hashes").select("line_id", computed(F.array_distinct("hashes")).alias("hashes"))
-    sets = materialize(distinct.select("line_id", F.size("hashes").cast("long").alias("n"), "hashes"))
+    sets = distinct.select("line_id", F.size("hashes").cast("long").alias("n"), "hashes")
     bits = sets.select("line_id", "n", F.explode("hashes").alias("h"))
     bits = bits.select("line_id", "n", F.pmod("h", F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, cast(shiftright(h, 32) & 63 AS int))").alias("bit"))
     turned = [F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(m) for k, m in enumerate(BITMAP)]
-    return sets, materialize(bits.groupBy("line_id", "n").agg(*turned))
+    return texts, materialize(bits.groupBy("line_id", "n").agg(*turned))
 
 
 def alike(left: str, right: str, percent: int):
@@ -136,13 +143,15 @@ def alike(left: str, right: str, percent: int):
     return ((100 + percent) * F.abs(a - b) <= most) & ((100 + percent) * turned <= most)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of line ids whose shingle sets have ``percent`` % of their union in common."""
-    side = lambda k: sets.select(F.col("line_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("hashes").alias(f"all_{k}"))
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)``, stored, of ``pairs(a, b, both)`` whose shingle sets, of ``both`` shingles together, have ``percent`` %
+    of their union in common. The lines are shipped, an eighth of their sets, and cut again."""
+    side = lambda k: texts.select(F.col("line_id").alias(k), F.col("bare").alias(f"bare_{k}"))
     half = materialize(spread_join(pairs, side("b"), "b", by=["a", "b"]))
-    both = spread_join(half, side("a"), "a", by=["a", "b"])
+    met = spread_join(half, side("a"), "a", by=["a", "b"])
+    cut = shingles_of(shingles_of(met, "bare_a", "all_a"), "bare_b", "all_b")
     shared = F.size(F.array_intersect("all_a", "all_b"))
-    out = materialize(both.where((100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    out = materialize(cut.where((100 + percent) * shared >= percent * F.col("both")).select("a", "b"))
     release(half)
     return out
 
@@ -173,7 +182,7 @@ def open_rows(members: DataFrame, labels: DataFrame, signed: DataFrame, bitmaps:
 
 
 def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of further hubs with the lines of other components of their buckets.
+    """The pairs ``(a, b, both)`` of further hubs with the lines of other components of their buckets.
 
     Of each bucket :data:`HUBS` lines of the first hub's component and as many outside are drawn by hash; those inside
     meet the lines outside, those outside meet all. So a bucket gives rows in proportion to its size.
@@ -183,11 +192,11 @@ def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     hubs = drawn.select("key", F.explode(F.array(*[c for c in drawn.columns if c != "key"])).alias("hub")).where("hub is not null").distinct()
     met = rows.join(hubs.select("key", "hub.*").select("key", *[F.col(c).alias(f"h_{c}") for c in ["id", "own", "outside", "n", *BITMAP]]), "key")
     near = met.where("own <> h_own and (outside or h_outside)").where(alike("", "h_", percent))
-    return materialize(near.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
+    return materialize(near.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b"), (F.col("n") + F.col("h_n")).alias("both")).distinct())
 
 
 def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of a bucket's lines that lie in different components and may be linked.
+    """The pairs ``(a, b, both)`` of a bucket's lines that lie in different components and may be linked.
 
     The lines outside the hub's component are dealt into blocks, each of which meets all lines of the bucket in a
     task of its own, by their bitmaps. Only pairs that share a band come up.
@@ -204,12 +213,12 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
         & alike("l_", "r_", percent)
         & reduce(lambda x, y: x | y, [F.col(f"l_{k}") == F.col(f"r_{k}") for k in KEYS])
     )
-    return materialize(left.join(right, cond).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct())
+    return materialize(left.join(right, cond).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"), (F.col("l_n") + F.col("r_n")).alias("both")).distinct())
 
 
-def joined(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def joined(labels: DataFrame, pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """``labels`` after the links among ``pairs``; what it replaces is released, as are the pairs."""
-    links = confirm(pairs, sets, percent)
+    links = confirm(pairs, texts, percent)
     if links.isEmpty():
         merged = labels
     else:
@@ -220,7 +229,7 @@ def joined(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -
     return merged
 
 
-def crowd_members(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def crowd_members(ids: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """``(key, id, hub)``, stored: the lines ``ids(id)`` of crowds under those of their rarest shingles that a linked line must
     share with them.
 
@@ -229,8 +238,9 @@ def crowd_members(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     The order is by the number of the crowds' lines that have a shingle, so lines of one pattern that differ in their own parts meet
     only where these parts are the same.
     """
-    named = sets.join(broadcast_if_small(ids, ids.count()).withColumnRenamed("id", "line_id"), "line_id", "left_semi")
-    mine = materialize(named.select(F.col("line_id").alias("id"), F.explode("hashes").alias("h")))
+    named = texts.join(broadcast_if_small(ids, ids.count()).withColumnRenamed("id", "line_id"), "line_id", "left_semi")
+    cut = shingles_of(named, "bare", "hashes")
+    mine = materialize(cut.select(F.col("line_id").alias("id"), F.explode(F.array_distinct("hashes")).alias("h")))
     often = materialize(mine.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
     placed = spread_join(mine, often, "h", "left", ["id"]).select("id", F.struct(F.coalesce("often", F.lit(1)).alias("often"), "h").alias("place"))
     ranked = placed.groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("places"))
@@ -244,56 +254,66 @@ def crowd_members(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def line_classes(bare: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``(line_id, class_id)`` of the lines of a stored ``bare(line_id, bare)`` that are linked with another one."""
-    signed = materialize(line_signatures(bare))
+    """``(name_a, name_b, class_id)`` of the lines of ``bare(name_a, name_b, bare)`` that are linked with another one."""
+    signed = materialize(line_signatures(bare).withColumn("line_id", F.monotonically_increasing_id()))
     keys = signed.select(F.explode(F.array(*KEYS)).alias("key"), F.col("line_id").alias("id"))
     hubs = hubs_of(keys)
     members = materialize(keys.join(broadcast_if_small(hubs, hubs.count()), "key"))
     ids = materialize(members.select(F.col("id").alias("line_id")).distinct())
-    sets, bitmaps = lines_named(ids, bare)
+    named = signed.select("line_id", *NAME).join(broadcast_if_small(ids, ids.count()), "line_id", "left_semi")
+    n = ids.count()
+    once = bare if n <= MAX_BROADCAST_ROWS else bare.distinct()  # so that the copies of a hot line aren't shuffled
+    texts, bitmaps = lines_named(once.join(broadcast_if_small(named, n), NAME).select("line_id", "bare"))
     few = broadcast_if_small(bitmaps, bitmaps.count(), MAX_BITMAPS)
     side = lambda k: few.select(F.col("line_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ["n", *BITMAP]])
     tried = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = materialize(tried.join(side("b"), "b").join(side("a"), "a").where(alike("a_", "b_", percent)).select("a", "b"))
-    links = confirm(pairs, sets, percent)
+    met = tried.join(side("b"), "b").join(side("a"), "a").where(alike("a_", "b_", percent))
+    pairs = materialize(met.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("both")))
+    # first each line with one hub; its other hubs only where that has not joined them
+    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a"), F.min_by("both", "a").alias("both")).select("a", "b", "both"))
+    links = confirm(first, texts, percent)
     labels = materialize(connected_components(links, "a", "b"))
-    release(pairs, links)
+    release(first, links)
+    small = broadcast_if_small(labels, labels.count())
+    of = lambda k: small.select(F.col("node").alias(k), F.col("component").alias(f"own_{k}"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("own_a", "a") != F.coalesce("own_b", "b"))
+    labels = joined(labels, materialize(apart.select("a", "b", "both")), texts, percent)
+    release(pairs)
     rows = open_rows(members, labels, signed, bitmaps)
-    labels = joined(labels, star_pairs(rows, percent), sets, percent)
+    labels = joined(labels, star_pairs(rows, percent), texts, percent)
     release(rows)
     rows = open_rows(members, labels, signed, bitmaps)
     pairs = open_pairs(rows.where(f"open <= {CROWD}"), percent)
     crowd = materialize(rows.where(f"open > {CROWD}").select("id").distinct())
     if not crowd.isEmpty():
-        few, rarest = pairs, crowd_members(crowd, sets, percent)
+        few, rarest = pairs, crowd_members(crowd, texts, percent)
         close = open_rows(rarest, labels, signed, bitmaps, 2)
         more = open_pairs(close, percent)
         pairs = materialize(few.unionByName(more).distinct())
         release(few, rarest, close, more)
-    labels = joined(labels, pairs, sets, percent)
+    labels = joined(labels, pairs, texts, percent)
     release(rows, crowd)
-    release(signed, hubs, members, ids, sets, bitmaps)
-    return labels.select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
+    release(hubs, members, ids, texts, bitmaps)
+    return labels.withColumnRenamed("node", "line_id").join(signed, "line_id").select(*NAME, F.col("component").alias("class_id"))
 
 
 def line_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, line_no, line_id, class_id, kept)``, one row for each line of each document.
 
-    ``line_id`` is the MD5 of the bare line (see :func:`bare_line`); ``class_id``, the least of them, names the component of lines
+    ``line_id`` is the name of 128 bits of the bare line (see :func:`bare_line`); ``class_id``, the least of them, names the component of lines
     that similarities of ``percent`` % or more of their character shingles connect; of each class the first line by
     document and number is kept. Blank lines have neither id nor class and are kept. Null texts give no row; in rows with a
     null id the lines come last. Rows that repeat a document repeat its lines, and the first of equal rows stays for all.
     """
     lines = lines_of(documents, doc_id, text)
-    bare = distinct_lines(lines)
-    labels = line_classes(bare, percent)
-    linked = labels.count()
-    known = materialize(broadcast_if_small(labels, linked).join(bare, "line_id").select("class_id", F.md5("bare").alias("line_id")))
-    least = known.groupBy("class_id").agg(F.min("line_id").alias("least"))
-    of_class = known.join(F.broadcast(least), "class_id") if linked <= MAX_LINKED else spread_join(known, least, "class_id", by=["line_id"])
-    classes = materialize(of_class.select("line_id", F.col("least").alias("class_id")))
-    release(bare, known)
-    named = bare_lines(lines).select("doc_id", "line_no", F.when(F.col("bare") != "", F.md5("bare")).alias("line_id"))
+    known = materialize(line_classes(named_lines(lines.select("line")), percent))
+    linked = known.count()
+    least = known.groupBy("class_id").agg(F.min(hex_name()).alias("least"))
+    of_class = known.join(F.broadcast(least), "class_id") if linked <= MAX_LINKED else spread_join(known, least, "class_id", by=NAME)
+    classes = materialize(of_class.select(hex_name().alias("line_id"), F.col("least").alias("class_id")))
+    release(known)
+    named = bare_lines(lines).select("doc_id", "line_no", *[F.when(F.col("bare") != "", name).alias(c) for c, name in zip(NAME, names(), strict=True)])
+    named = named.select("doc_id", "line_no", hex_name().alias("line_id"))
     if linked <= MAX_LINKED:
         classed = named.join(F.broadcast(classes), "line_id", "left")
     else:

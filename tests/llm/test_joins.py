@@ -255,7 +255,7 @@ def test_recall_of_line_bands(spark):
         if 0.8 <= len(a & b) / len(a | b) < 0.85:
             rows += [(k, t) for t in pair]
     df = spark.createDataFrame(rows, "k long, line string").withColumn("line_id", F.xxhash64("line"))
-    signed = lines.line_signatures(df.select("line_id", F.col("line").alias("bare")).distinct())
+    signed = lines.line_signatures(df.select("line_id", F.col("line").alias("bare")), ["line_id"])
     keys = df.join(signed, "line_id").select("k", "line_id", F.explode(F.array(*[f"k{b}" for b in range(len(lines.BANDS))])).alias("key"))
     met = keys.groupBy("k", "key").agg(F.countDistinct("line_id").alias("n")).groupBy("k").agg(F.max("n").alias("n")).collect()
     assert len(met) > 300 and sum(r["n"] == 2 for r in met) > 0.98 * len(met)
@@ -347,8 +347,8 @@ def test_bitmaps_lose_no_link(spark):
     grams = {b: ({b[i : i + 10] for i in range(len(b) - 9)} or {b}) for b in bare}
     df = spark.createDataFrame([(b,) for b in bare], "line string")
     ids = df.select(F.xxhash64("line").alias("line_id"), "line")
-    sets, bitmaps = lines.lines_named(ids.select("line_id"), ids.select("line_id", F.col("line").alias("bare")))
-    assert {r["line"]: r["n"] for r in ids.join(sets, "line_id").collect()} == {b: len(g) for b, g in grams.items()}
+    _, bitmaps = lines.lines_named(ids.select("line_id", F.col("line").alias("bare")))
+    assert {r["line"]: r["n"] for r in ids.join(bitmaps, "line_id").collect()} == {b: len(g) for b, g in grams.items()}
     named = ids.join(bitmaps, "line_id")
     sides = [named.select(*[F.col(c).alias(f"{side}{c}") for c in named.columns]) for side in ("a_", "b_")]
     passed = {(r["a_line"], r["b_line"]) for r in sides[0].join(sides[1], F.col("a_line") < F.col("b_line")).where(lines.alike("a_", "b_", 80)).select("a_line", "b_line").collect()}
