@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineage_jobs.components import connected_components
@@ -19,6 +19,8 @@ PERCENT = 80
 #: 0.9902 at a similarity of 0.8, 0.9973 at 0.85, 0.9996 at 0.9.
 LANES = 9
 BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
+#: Shingles whose lanes are combined in one row before the aggregate.
+STEP = 8
 #: Longs of the bitmap of a shingle set, in which every shingle of the set turns one bit over. Two bitmaps differ in no more
 #: bits than the sets do in shingles, so pairs that differ in too many can't be linked: the test loses no link.
 WORDS = 16
@@ -34,6 +36,7 @@ MAX_BITMAPS = 100_000
 MAX_LINKED = 500_000
 KEYS = [f"k{b}" for b in range(len(BANDS))]
 NAME = ["name_a", "name_b"]
+CLASS = ["class_a", "class_b"]
 BITMAP = [f"m{k}" for k in range(WORDS)]
 
 
@@ -74,23 +77,27 @@ def shingle(code, start):
     return F.xxhash64(F.substring(code, start, F.lit(4 * CHARS)))
 
 
-def lane(k: int):
-    """The number whose minimum over all shingles is lane ``k``: the shingle's hash, mixed anew for each four lanes and
-    turned by 16 bits for each lane, so that every lane is decided by bits of its own."""
-    h, turn = F.col(f"h{k // 4}"), 16 * (k % 4)
+def lane(k: int, at: int):
+    """The number whose minimum over all shingles is lane ``k``, of the shingle ``at`` of a row: the shingle's hash, mixed anew
+    for each four lanes and turned by 16 bits for each lane, so that every lane is decided by bits of its own."""
+    h, turn = F.col(f"h{k // 4}_{at}"), 16 * (k % 4)
     return F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn)) if turn else h
 
 
 def lane_minima(bare: DataFrame, count: int, by: list[str]) -> DataFrame:
-    """The columns ``by`` and ``l0..``, of ``bare`` with ``by`` and ``bare``: the first ``count`` lanes.
+    """The columns ``by``, ``copies`` and ``l0..``, of ``bare`` with ``by`` and ``bare``: its rows and the first ``count`` lanes.
 
-    Every shingle is a row of a generated loop and lanes are combined minima, so that no array of hashes is held.
+    Every :data:`STEP` shingles are a row of a generated loop, which repeats the last one where a line has no more, and lanes are
+    combined minima, so that no array of hashes is held.
     """
     code = bare.select(*by, computed(F.encode("bare", "UTF-32")).alias("code"))
-    at = code.select(*by, "code", F.explode(starts(F.col("code"))).alias("start"))
-    hashed = at.select(*by, shingle(F.col("code"), F.col("start")).alias("h"))
-    mixed = hashed.select(*by, *[F.xxhash64("h", F.lit(j)).alias(f"h{j}") for j in range(-(-count // 4))])
-    return mixed.groupBy(*by).agg(*[F.min(lane(k)).alias(f"l{k}") for k in range(count)])
+    last = F.greatest(F.lit(1), F.octet_length("code") - (4 * CHARS - 1))
+    at = code.select(*by, "code", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(4 * STEP))).alias("start"))
+    place = lambda k: F.least(F.col("start") + 4 * k, F.col("last")) if k else F.col("start")
+    hashed = at.select(*by, "start", *[shingle(F.col("code"), place(k)).alias(f"h_{k}") for k in range(STEP)])
+    mixed = hashed.select(*by, "start", *[F.xxhash64(f"h_{k}", F.lit(j)).alias(f"h{j}_{k}") for j in range(-(-count // 4)) for k in range(STEP)])
+    lanes = [F.min(F.least(*[lane(k, at) for at in range(STEP)])).alias(f"l{k}") for k in range(count)]
+    return mixed.groupBy(*by).agg(F.count_if(F.col("start") == 1).alias("copies"), *lanes)
 
 
 def names() -> list:
@@ -98,20 +105,21 @@ def names() -> list:
     return [F.xxhash64("bare"), F.xxhash64(F.lit(1), "bare")]
 
 
-def hex_name():
-    """The name of a line in 32 hex digits; null without one."""
-    return F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in NAME]))
+def hex_name(halves: list):
+    """The two halves of a name in 32 hex digits."""
+    return F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in halves]))
 
 
 def named_lines(lines: DataFrame) -> DataFrame:
-    """The lines that aren't blank, with ``bare`` and its name, ``name_a`` and ``name_b``, in place of ``line``."""
-    return bare_lines(lines).where("bare <> ''").select("*", *[name.alias(c) for c, name in zip(NAME, names(), strict=True)])
+    """``lines`` with ``bare`` and its name, ``name_a`` and ``name_b``, in place of ``line``; blank lines have no name."""
+    given = [F.when(F.col("bare") != "", name).alias(c) for c, name in zip(NAME, names(), strict=True)]
+    return bare_lines(lines).select("*", *given)
 
 
 def line_signatures(bare: DataFrame, by: list[str] = NAME) -> DataFrame:
-    """The columns ``by`` and ``k0..``: the keys of the bands of each line of ``bare``, which has ``by`` and ``bare``; copies count once."""
+    """The columns ``by``, ``copies`` and ``k0..``: of each line of ``bare``, which has ``by`` and ``bare``, the rows and the keys of the bands."""
     bands = [F.xxhash64(F.lit(b), *[f"l{k}" for k in band]).alias(f"k{b}") for b, band in enumerate(BANDS)]
-    return lane_minima(bare, LANES, by).select(*by, *bands)
+    return lane_minima(bare, LANES, by).select(*by, "copies", *bands)
 
 
 def shingles_of(rows: DataFrame, bare: str, out: str) -> DataFrame:
@@ -156,29 +164,31 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def hubs_of(keys: DataFrame) -> DataFrame:
-    """``(key, hub)``, stored: the least line of each bucket of ``keys(key, id)`` that has several lines."""
-    ends = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
-    return materialize(ends.where("hub < last").select("key", "hub"))
+def members_of(keys: DataFrame) -> DataFrame:
+    """``(key, id, hub)``, stored: the rows of ``keys(key, id)`` whose bucket has several lines, with the least of these.
 
+    Nearly all keys are of one line, so the rows are sorted by key once and not aggregated before the shuffle.
+    """
+    bucket = Window.partitionBy("key")
+    ends = keys.select("key", "id", F.min("id").over(bucket).alias("hub"), F.max("id").over(bucket).alias("last"))
+    return materialize(ends.where("hub < last").select("key", "id", "hub"))
+
+
+def opened(told: DataFrame, least: int) -> DataFrame:
+    """The rows of ``told(key, id, own, ..)`` in buckets of at least ``least`` lines that hold several components, with ``outside``,
+    whether a line isn't in the component of its bucket's least line, ``open``, how many aren't, and ``blocks``."""
+    bucket = Window.partitionBy("key")
+    marked = told.withColumn("outside", F.col("own") != F.min_by("own", "id").over(bucket))
+    counted = marked.withColumn("open", F.count_if("outside").over(bucket)).withColumn("size", F.count(F.lit(1)).over(bucket))
+    return counted.where(f"open > 0 and size >= {least}").drop("size").withColumn("blocks", F.ceil(F.col("open") / BLOCK).cast("int"))
 
-def open_rows(members: DataFrame, labels: DataFrame, signed: DataFrame, bitmaps: DataFrame, least: int = 3) -> DataFrame:
-    """``(key, id, own, outside, open, blocks, n, m0.., k0..)``: the lines of the buckets of at least ``least`` lines that hold
-    several components; ``outside`` says whether a line isn't in the component of its bucket's hub, ``open`` how many aren't."""
-    few = broadcast_if_small(labels, labels.count())
-    mine = few.select(F.col("node").alias("id"), F.col("component").alias("own"))
-    its = few.select(F.col("node").alias("hub"), F.col("component").alias("hubs"))
-    told = spread_join(members, its, "hub", "left", ["key", "id"]).join(mine, "id", "left").select(
-        "key", "id", F.coalesce("own", "id").alias("own"), (F.coalesce("own", "id") != F.coalesce("hubs", "hub")).alias("outside")
-    )
-    buckets = materialize(
-        told.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("open"), F.count(F.lit(1)).alias("size")).where(f"open > 0 and size >= {least}")
-        .select("key", "open", F.ceil(F.col("open") / BLOCK).cast("int").alias("blocks"))
-    )
-    rows = told.join(broadcast_if_small(buckets, buckets.count()), "key").join(bitmaps.withColumnRenamed("line_id", "id"), "id")
-    out = materialize(rows.join(signed.select(F.col("line_id").alias("id"), *KEYS), "id"))
-    release(buckets)
-    return out
+
+def open_rows(members: DataFrame, labels: DataFrame, bitmaps: DataFrame, few: bool) -> DataFrame:
+    """``(id, key, own, outside, open, blocks, n, m0..)``, stored: the :func:`opened` lines of the buckets of at least three lines."""
+    mine = broadcast_if_small(labels, labels.count()).select(F.col("node").alias("id"), F.col("component").alias("own"))
+    told = members.select("key", "id").join(mine, "id", "left").select("key", "id", F.coalesce("own", "id").alias("own"))
+    its = bitmaps.withColumnRenamed("line_id", "id")
+    return materialize(opened(told, 3).join(F.broadcast(its) if few else its, "id"))
 
 
 def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -195,11 +205,11 @@ def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return materialize(near.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b"), (F.col("n") + F.col("h_n")).alias("both")).distinct())
 
 
-def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def open_pairs(rows: DataFrame, percent: int, bands: bool = False) -> DataFrame:
     """The pairs ``(a, b, both)`` of a bucket's lines that lie in different components and may be linked.
 
     The lines outside the hub's component are dealt into blocks, each of which meets all lines of the bucket in a
-    task of its own, by their bitmaps. Only pairs that share a band come up.
+    task of its own, by their bitmaps; with ``bands`` only pairs that share a band come up, where a bucket is of another key.
     """
     left = rows.where("outside").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.select("block", *[F.col(c).alias(f"l_{c}") for c in rows.columns])
@@ -211,8 +221,9 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
         & (F.col("l_own") != F.col("r_own"))
         & (~F.col("r_outside") | (F.col("l_id") < F.col("r_id")))
         & alike("l_", "r_", percent)
-        & reduce(lambda x, y: x | y, [F.col(f"l_{k}") == F.col(f"r_{k}") for k in KEYS])
     )
+    if bands:
+        cond = cond & reduce(lambda x, y: x | y, [F.col(f"l_{k}") == F.col(f"r_{k}") for k in KEYS])
     return materialize(left.join(right, cond).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"), (F.col("l_n") + F.col("r_n")).alias("both")).distinct())
 
 
@@ -229,72 +240,72 @@ def joined(labels: DataFrame, pairs: DataFrame, texts: DataFrame, percent: int)
     return merged
 
 
-def crowd_members(ids: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """``(key, id, hub)``, stored: the lines ``ids(id)`` of crowds under those of their rarest shingles that a linked line must
-    share with them.
+def crowd_rows(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The :func:`opened` lines of ``crowd(id, own, ..)``, stored, each with all its columns under those of its rarest shingles that a
+    linked line must share with it as ``key``.
 
     Of two sets with ``percent`` % of their union in common each has at least that share of its own shingles in common. So if
     all lines order their shingles alike, the first that are too many to be left out contain a shared one; no link is lost.
     The order is by the number of the crowds' lines that have a shingle, so lines of one pattern that differ in their own parts meet
-    only where these parts are the same.
+    only where these parts are the same. Each step gives at most a row for each shingle of a line.
     """
-    named = texts.join(broadcast_if_small(ids, ids.count()).withColumnRenamed("id", "line_id"), "line_id", "left_semi")
-    cut = shingles_of(named, "bare", "hashes")
-    mine = materialize(cut.select(F.col("line_id").alias("id"), F.explode(F.array_distinct("hashes")).alias("h")))
-    often = materialize(mine.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
-    placed = spread_join(mine, often, "h", "left", ["id"]).select("id", F.struct(F.coalesce("often", F.lit(1)).alias("often"), "h").alias("place"))
+    ids = broadcast_if_small(crowd, crowd.count()).select(F.col("id").alias("line_id"))
+    cut = shingles_of(texts.join(ids, "line_id", "left_semi"), "bare", "hashes")
+    mine = cut.select(F.col("line_id").alias("id"), F.explode(F.array_distinct("hashes")).alias("h"))
+    often = F.count(F.lit(1)).over(Window.partitionBy("h"))
+    placed = mine.select("id", F.struct(often.alias("often"), "h").alias("place"))
     ranked = placed.groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("places"))
     n = F.size("places").cast("long")
     first = F.slice("places", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
-    keys = materialize(ranked.select("id", F.explode(first).alias("place")).where("place.often > 1").select(F.col("place.h").alias("key"), "id"))
-    hubs = hubs_of(keys)
-    members = materialize(keys.join(broadcast_if_small(hubs, hubs.count()), "key"))
-    release(mine, often, keys, hubs)
-    return members
+    keys = ranked.select("id", F.filter(first, lambda p: p["often"] > 1).alias("places")).join(crowd, "id")
+    return materialize(opened(keys.select(F.explode("places.h").alias("key"), *crowd.columns), 2))
 
 
 def line_classes(bare: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``(name_a, name_b, class_id)`` of the lines of ``bare(name_a, name_b, bare)`` that are linked with another one."""
+    """``(name_a, name_b, class_a, class_b)``, stored, of the lines of ``bare(name_a, name_b, bare)`` that are linked with another one or
+    stand several times: the least name, as hex digits, of the lines that links connect."""
     signed = materialize(line_signatures(bare).withColumn("line_id", F.monotonically_increasing_id()))
     keys = signed.select(F.explode(F.array(*KEYS)).alias("key"), F.col("line_id").alias("id"))
-    hubs = hubs_of(keys)
-    members = materialize(keys.join(broadcast_if_small(hubs, hubs.count()), "key"))
-    ids = materialize(members.select(F.col("id").alias("line_id")).distinct())
-    named = signed.select("line_id", *NAME).join(broadcast_if_small(ids, ids.count()), "line_id", "left_semi")
-    n = ids.count()
+    members = members_of(keys)
+    named_ids = materialize(members.select(F.col("id").alias("line_id")).distinct())
+    n = named_ids.count()
+    named = signed.select("line_id", *NAME).join(broadcast_if_small(named_ids, n), "line_id", "left_semi")
     once = bare if n <= MAX_BROADCAST_ROWS else bare.distinct()  # so that the copies of a hot line aren't shuffled
     texts, bitmaps = lines_named(once.join(broadcast_if_small(named, n), NAME).select("line_id", "bare"))
-    few = broadcast_if_small(bitmaps, bitmaps.count(), MAX_BITMAPS)
-    side = lambda k: few.select(F.col("line_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ["n", *BITMAP]])
+    few = bitmaps.count() <= MAX_BITMAPS
+    small = F.broadcast(bitmaps) if few else bitmaps
+    side = lambda k: small.select(F.col("line_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ["n", *BITMAP]])
     tried = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     met = tried.join(side("b"), "b").join(side("a"), "a").where(alike("a_", "b_", percent))
     pairs = materialize(met.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("both")))
-    # first each line with one hub; its other hubs only where that has not joined them
-    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a"), F.min_by("both", "a").alias("both")).select("a", "b", "both"))
-    links = confirm(first, texts, percent)
+    links = confirm(pairs, texts, percent)
     labels = materialize(connected_components(links, "a", "b"))
-    release(first, links)
-    small = broadcast_if_small(labels, labels.count())
-    of = lambda k: small.select(F.col("node").alias(k), F.col("component").alias(f"own_{k}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("own_a", "a") != F.coalesce("own_b", "b"))
-    labels = joined(labels, materialize(apart.select("a", "b", "both")), texts, percent)
-    release(pairs)
-    rows = open_rows(members, labels, signed, bitmaps)
+    release(pairs, links)
+    rows = open_rows(members, labels, bitmaps, few)
     labels = joined(labels, star_pairs(rows, percent), texts, percent)
     release(rows)
-    rows = open_rows(members, labels, signed, bitmaps)
+    rows = open_rows(members, labels, bitmaps, few)
     pairs = open_pairs(rows.where(f"open <= {CROWD}"), percent)
-    crowd = materialize(rows.where(f"open > {CROWD}").select("id").distinct())
+    ids = rows.where(f"open > {CROWD}").select("id", "own", "n", *BITMAP).distinct()
+    crowd = materialize(signed.select(F.col("line_id").alias("id"), *KEYS).join(ids, "id"))
     if not crowd.isEmpty():
-        few, rarest = pairs, crowd_members(crowd, texts, percent)
-        close = open_rows(rarest, labels, signed, bitmaps, 2)
-        more = open_pairs(close, percent)
-        pairs = materialize(few.unionByName(more).distinct())
-        release(few, rarest, close, more)
+        mild, close = pairs, crowd_rows(crowd, texts, percent)
+        more = open_pairs(close, percent, bands=True)
+        pairs = materialize(mild.unionByName(more).distinct())
+        release(mild, close, more)
     labels = joined(labels, pairs, texts, percent)
     release(rows, crowd)
-    release(hubs, members, ids, texts, bitmaps)
-    return labels.withColumnRenamed("node", "line_id").join(signed, "line_id").select(*NAME, F.col("component").alias("class_id"))
+    release(members, named_ids, texts, bitmaps)
+    few = broadcast_if_small(labels, labels.count(), MAX_LINKED).withColumnRenamed("node", "line_id")
+    # as hex digits names are in the order of their longs without sign
+    digits = F.struct(*[F.col(c).bitwiseXOR(F.lit(-1 << 63)).alias(c) for c in NAME])
+    known = signed.select("line_id", "copies", *NAME).join(few, "line_id", "left").where("component is not null or copies > 1")
+    known = materialize(known.select(*NAME, F.coalesce("component", "line_id").alias("component"), F.col("component").isNotNull().alias("linked")))
+    least = known.where("linked").groupBy("component").agg(F.min(digits).alias("least")).select("component", *[F.col(f"least.{c}").bitwiseXOR(F.lit(-1 << 63)).alias(f"class{c[4:]}") for c in NAME])
+    classed = known.join(least, "component", "left") if known.count() > MAX_LINKED else known.join(F.broadcast(least), "component", "left")
+    out = materialize(classed.select(*NAME, *[F.coalesce(f"class{c[4:]}", c).alias(f"class{c[4:]}") for c in NAME]))
+    release(labels, known, signed)
+    return out
 
 
 def line_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,33 +316,23 @@ def line_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str =
     document and number is kept. Blank lines have neither id nor class and are kept. Null texts give no row; in rows with a
     null id the lines come last. Rows that repeat a document repeat its lines, and the first of equal rows stays for all.
     """
-    lines = lines_of(documents, doc_id, text)
-    known = materialize(line_classes(named_lines(lines.select("line")), percent))
-    linked = known.count()
-    least = known.groupBy("class_id").agg(F.min(hex_name()).alias("least"))
-    of_class = known.join(F.broadcast(least), "class_id") if linked <= MAX_LINKED else spread_join(known, least, "class_id", by=NAME)
-    classes = materialize(of_class.select(hex_name().alias("line_id"), F.col("least").alias("class_id")))
-    release(known)
-    named = bare_lines(lines).select("doc_id", "line_no", *[F.when(F.col("bare") != "", name).alias(c) for c, name in zip(NAME, names(), strict=True)])
-    named = named.select("doc_id", "line_no", hex_name().alias("line_id"))
-    if linked <= MAX_LINKED:
-        classed = named.join(F.broadcast(classes), "line_id", "left")
-    else:
-        classed = spread_join(materialize(named), classes, "line_id", "left", ["doc_id", "line_no"])
-    classed = materialize(classed.select("doc_id", "line_no", "line_id", F.coalesce("class_id", "line_id").alias("class_id")))
-    repeated = materialize(
-        classed.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("class_id")
-    )
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    n = repeated.count()
-    inside = classed.join(F.broadcast(repeated), "class_id") if n <= MAX_LINKED else spread_join(classed, repeated, "class_id", "inner", ["doc_id", "line_no"])
-    first = materialize(inside.groupBy("class_id").agg(F.min(place).alias("first")))
-    out = classed.join(F.broadcast(first), "class_id", "left") if n <= MAX_LINKED else spread_join(classed, first, "class_id", "left", ["doc_id", "line_no"])
+    lines = materialize(named_lines(lines_of(documents, doc_id, text)))
+    known = line_classes(lines.where("bare <> ''").select(*NAME, "bare"), percent)
+    few = known.count() <= MAX_LINKED
+    place, row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no"), ["doc_id", "line_no"]
+    named = lines.select(*row, F.struct(*NAME).alias("name"))
+    of_class = known.select(F.struct(*NAME).alias("name"), F.struct(*CLASS).alias("class"))
+    inside = named.where("name.name_a is not null")
+    inside = inside.join(F.broadcast(of_class), "name") if few else spread_join(inside, of_class, "name", by=row)
+    first = materialize(inside.groupBy("class").agg(F.min(place).alias("first")))
+    firsts = of_class.join(F.broadcast(first) if few else first, "class")
+    out = named.join(F.broadcast(firsts), "name", "left") if few else spread_join(named, materialize(firsts), "name", "left", row)
+    digits = lambda name, of: F.when(F.col(of).isNotNull(), hex_name([F.col(f"{of}.{c}") for c in name]))
+    out = out.select(*row, "first", "class", computed(digits(NAME, "name")).alias("line_id"))
     return out.select(
-        "doc_id",
-        "line_no",
+        *row,
         "line_id",
-        "class_id",
+        F.coalesce(digits(CLASS, "class"), "line_id").alias("class_id"),
         (F.col("first").isNull() | place.eqNullSafe(F.col("first"))).alias("kept"),
     )
 

@@ -354,3 +354,23 @@ def test_bitmaps_lose_no_link(spark):
     passed = {(r["a_line"], r["b_line"]) for r in sides[0].join(sides[1], F.col("a_line") < F.col("b_line")).where(lines.alike("a_", "b_", 80)).select("a_line", "b_line").collect()}
     want = {(a, b) for a in bare for b in bare if a < b and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])}
     assert len(want) > 5 and want <= passed and len(passed) < 3 * len(want)
+
+
+def test_lines_are_cut_once_and_only_shared_buckets_are_kept(spark, monkeypatch):
+    """Texts are read for their lines in one pass; of the keys only those of several lines stay; lanes are minima over every shingle."""
+    passes, cut = [], lines.bare_lines
+    monkeypatch.setattr(lines, "bare_lines", lambda df: passes.append(1) or cut(df))
+    docs = [(2, "one line of some text\n\nTWO"), (1, "two\none  line of some text"), (3, None), (None, "two")]
+    got = lines.line_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(passes) == 1
+    assert {(r["doc_id"], r["line_no"]) for r in got if r["kept"]} == {(1, 0), (1, 1), (2, 1)}
+    assert len({r["class_id"] for r in got}) == 3 and all((r["line_id"] is None) == (r["class_id"] is None) for r in got)
+    keys = spark.createDataFrame([(1, 5), (1, 4), (2, 6), (3, 7), (3, 8), (3, 9)], "key long, id long")
+    assert sorted(tuple(r) for r in lines.members_of(keys).collect()) == [(1, 4, 4), (1, 5, 4), (3, 7, 7), (3, 8, 7), (3, 9, 7)]
+    texts = ["".join(random.Random(n).choices("abcdefgh", k=n)) for n in range(1, 60)]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts) for _ in range(1 + n % 3)], "line_id long, bare string")
+    least = {r["line_id"]: r for r in lines.lane_minima(df, 1, ["line_id"]).collect()}
+    each = df.distinct().select("line_id", F.explode(F.expr("transform(sequence(1, greatest(1, length(bare) - 9)), i -> substring(bare, i, 10))")).alias("s"))
+    want = each.groupBy("line_id").agg(F.min(F.xxhash64(F.xxhash64(F.encode("s", "UTF-32")), F.lit(0))).alias("l0")).collect()
+    assert {r["line_id"]: r["l0"] for r in want} == {k: r["l0"] for k, r in least.items()}
+    assert all(r["copies"] == 1 + k % 3 for k, r in least.items())
