@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lineage_jobs import closure, corpus, datax, extension, fixtures, graph, layers, resolve, runs, service, sketches, sqltext, stats, streaming
 from lineage_jobs.fixtures import derived
-from lineage_jobs.runtime import materialize, shared_dir
+from lineage_jobs.runtime import by_text, dealt_out, materialize, shared_dir
 from lineage_jobs.schemas import DIALECTS, EDGE_PARTS, engine_ranks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -491,27 +491,34 @@ def sql_relations(spark, sf_dir):
     return sqltext.sql_relations(blocks(spark, sf_dir)).select("script_id", "stmt_idx", "scope_id", "table_name", "alias", "pos")
 
 
-def physical(spark, sf_dir):
-    s = statements(spark, sf_dir)
-    ctes = sqltext.sql_ctes(s)
-    return s, sqltext.sql_physical_sources(sqltext.sql_relations(sqltext.sql_blocks(s, ctes)), ctes)
+def mined_by_text(spark, sf_dir, fixture, mine):
+    """``mine`` over the statements of a fixture's scripts, written once; scripts with the same text are mined once."""
+
+    def over(texts):
+        return {"rows": mine(materialize(sqltext.sql_statement_kind(sqltext.sql_statements(dealt_out(texts)))))}
+
+    return by_text(derived(spark, sf_dir, fixture), over)["rows"]
+
+
+def physical(s, by_root=False):
+    ctes = materialize(sqltext.sql_ctes(s))
+    return sqltext.sql_physical_sources(sqltext.sql_relations(sqltext.sql_blocks(s, ctes)), ctes, by_root)
 
 
 @query(_S.rstrip() + f", {_SOURCES} SELECT DISTINCT script_id, stmt_idx, table_name FROM r WHERE table_name <> 'hits'")
 def sql_physical_sources(spark, sf_dir):
-    return physical(spark, sf_dir)[1]
+    return mined_by_text(spark, sf_dir, fixtures.SQL_SCRIPTS, physical)
 
 
 @query(_S.rstrip() + f""", {_SOURCES} SELECT DISTINCT r.script_id, r.stmt_idx, table_name AS source, CASE WHEN stmt_idx = 2 THEN 'web.seen' ELSE {_TARGETS} END AS target
 FROM r JOIN o ON o.script_id = r.script_id WHERE table_name <> 'hits' AND v <> 5""")
 def sql_table_edges(spark, sf_dir):
-    s, sources = physical(spark, sf_dir)
-    return sqltext.sql_table_edges(sources, sqltext.sql_targets(s))
+    return mined_by_text(spark, sf_dir, fixtures.SQL_SCRIPTS, lambda s: sqltext.sql_table_edges(physical(s), sqltext.sql_targets(s)))
 
 
 @query(_S + "SELECT script_id, 1 AS stmt_idx, 'kv.store' || x AS id, 'source' AS role FROM o WHERE v = 5")
 def sql_read_only_tables(spark, sf_dir):
-    return sqltext.sql_read_only_tables(*physical(spark, sf_dir))
+    return mined_by_text(spark, sf_dir, fixtures.SQL_SCRIPTS, lambda s: sqltext.sql_read_only_tables(s, physical(s)))
 
 
 _PROJECTIONS = """pr AS (SELECT * FROM (VALUES (0, 1, 'm', 1, 'nr', 'b.nr'), (0, 1, 'm', 2, 'col_2', 'coalesce(k.rate, 0) * b.vol'), (1, 1, 'c0', 1, 'page', 'page'), (1, 1, 'c0', 2, 'visitor', 'visitor'),
@@ -553,10 +560,8 @@ def sql_targets_hard(spark, sf_dir):
 @query(_HARD + f"SELECT script_id, {_HARD_SOURCE} AS source, target FROM h JOIN {_HARD_SOURCES} ON v = u JOIN {_HARD_TARGETS} ON v = w")
 def sql_table_edges_hard(spark, sf_dir):
     """Joins in brackets, brackets twenty deep, several targets, names in quotes and in Chinese."""
-    s = materialize(statements(spark, sf_dir, fixtures.HARD_SCRIPTS))
-    ctes = sqltext.sql_ctes(s)
-    sources = sqltext.sql_physical_sources(sqltext.sql_relations(sqltext.sql_blocks(s, ctes)), ctes, by_root=True)
-    return sqltext.sql_table_edges(sources, sqltext.sql_targets(s)).drop("stmt_idx")
+    edges = lambda s: sqltext.sql_table_edges(physical(s, by_root=True), sqltext.sql_targets(s)).drop("stmt_idx")
+    return mined_by_text(spark, sf_dir, fixtures.HARD_SCRIPTS, edges)
 
 
 @query(_HARD + """SELECT script_id, concat(base, CASE more WHEN 0 THEN '' WHEN 1 THEN c ELSE concat(c, ' new') END) AS source_table, source_column, target_table, target_column FROM h JOIN (VALUES
@@ -632,8 +637,9 @@ def resolve_derived_missing(spark, sf_dir):
 _N = f"WITH o AS (SELECT o_orderkey AS script_id, o_orderkey % 4 AS v, {_X} AS x FROM orders) "
 
 
-def nested(spark, sf_dir):
-    return resolve.statement_facts(materialize(statements(spark, sf_dir, fixtures.NESTED_SCRIPTS)))
+def nested(spark, sf_dir, take):
+    """``take`` of the facts of nested statements, mined once a text."""
+    return mined_by_text(spark, sf_dir, fixtures.NESTED_SCRIPTS, lambda s: take(resolve.statement_facts(s)))
 
 
 @query(_N + """SELECT script_id, scope_id, pos, name, src_scope FROM o, (VALUES ('m.f0', 1, 'k', 'm.f0.u0'), ('m.f0', 1, 'k', 'm.f0.u1'), ('m.f0', 2, 'w', 'm.f0.u0'), ('m.f0', 3, 'v', 'm.f0.u1')) AS t(scope_id, pos, name, src_scope) WHERE o.v = 0""")
@@ -655,26 +661,27 @@ UNION ALL SELECT script_id, 1, 'pp', 'r.s' || x, 'p' FROM o WHERE v = 1 UNION AL
 
 @query(_N.rstrip() + f", {_DERIVED} SELECT * FROM d")
 def derived_passthrough(spark, sf_dir):
-    return nested(spark, sf_dir)["derived"].where("scope_id = 'm'").select("script_id", "pos", "name", "src_table", "src_column")
+    return nested(spark, sf_dir, lambda f: f["derived"].where("scope_id = 'm'").select("script_id", "pos", "name", "src_table", "src_column"))
 
 
 @query(_N.rstrip() + f""", {_DERIVED} SELECT d.script_id, d.pos, src_table AS source_table, src_column AS source_column, CASE v WHEN 0 THEN 't.u' WHEN 1 THEN 'o.o' ELSE 't.v' END AS target_table,
 CASE v WHEN 0 THEN 'x' ELSE name END AS target_column FROM d JOIN o ON o.script_id = d.script_id""")
 def insert_column_rename(spark, sf_dir):
-    f = nested(spark, sf_dir)
-    return resolve.insert_column_rename(f["derived"], f["targets"]).drop("stmt_idx")
+    return nested(spark, sf_dir, lambda f: resolve.insert_column_rename(f["derived"], f["targets"]).drop("stmt_idx"))
 
 
 @query(_S + """SELECT script_id, 'hr.desk' || x AS source_table, 'room' AS source_column, 'hr.staff' AS target_table, 'desk' AS target_column FROM o WHERE v = 4 UNION ALL SELECT script_id, 'hr.desk' || x, 'head', 'hr.staff', 'boss' FROM o WHERE v = 4""")
 def update_edges(spark, sf_dir):
-    f = resolve.statement_facts(materialize(statements(spark, sf_dir)))
-    return resolve.update_edges(f["set_items"], f["sources"], f["targets"]).select("script_id", *EDGE_PARTS)
+    def edges(s):
+        f = resolve.statement_facts(s)
+        return resolve.update_edges(f["set_items"], f["sources"], f["targets"]).select("script_id", *EDGE_PARTS)
+
+    return mined_by_text(spark, sf_dir, fixtures.SQL_SCRIPTS, edges)
 
 
 @query(_N + """SELECT script_id, 's.u' || x AS source_table, c AS source_column, 'm.t' AS target_table, t AS target_column FROM o, (VALUES ('b', 'a'), ('id', 'id'), ('c', 'a')) AS m(c, t) WHERE v = 3""")
 def merge_edges(spark, sf_dir):
-    f = nested(spark, sf_dir)
-    return resolve.merge_edges(f["set_items"], f["sources"], f["targets"])[0].select("script_id", *EDGE_PARTS)
+    return nested(spark, sf_dir, lambda f: resolve.merge_edges(f["set_items"], f["sources"], f["targets"])[0].select("script_id", *EDGE_PARTS))
 
 
 @query(f"""WITH p AS (SELECT * FROM ({fixtures.PATH_FACTS}) AS r WHERE tbl NOT IN ('cte1', 'cte3')), n AS (SELECT script_id, path_id, tbl AS source_table, col AS source_column,

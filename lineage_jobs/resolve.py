@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineage_jobs.graph import normalize_graph
-from lineage_jobs.runtime import dealt_out, materialize
+from lineage_jobs.runtime import by_text, dealt_out, materialize
 from lineage_jobs.sqltext import (
     KEY,
     blocks_without_relation,
@@ -336,9 +336,16 @@ def query_outputs(queries: DataFrame) -> DataFrame:
     """``(script_id, content_idx, query_pos, pos, name, sources, tables)`` of the analysed readers' queries.
 
     ``queries(script_id, content_idx, query_pos, sql)``; ``pos`` counts from 0; ``sources`` are structs of table and column; ``tables``
-    the query's physical tables. A query that isn't a SELECT with output columns gives no row.
+    the query's physical tables. A query that isn't a SELECT with output columns gives no row. Equal queries are mined once.
     """
-    keyed = dealt_out(queries).withColumn("stmt_idx", F.col("content_idx").cast("long") * (1 << 32) + F.col("query_pos"))
+    place = F.struct("script_id", "content_idx", "query_pos").alias("script_id")
+    found = by_text(queries.select(place, "sql"), lambda texts: {"outputs": _query_outputs(texts)}, ["sql"])["outputs"]
+    return found.select("script_id.*", "pos", "name", "sources", "tables")
+
+
+def _query_outputs(queries: DataFrame) -> DataFrame:
+    """``(script_id, pos, name, sources, tables)`` of queries ``(script_id, sql)`` each of which is mined."""
+    keyed = dealt_out(queries).withColumn("stmt_idx", F.lit(1))
     statements = materialize(sql_statement_kind(keyed.select(*KEY, "sql")).where("kind = 'select'"))
     facts = statement_facts(statements)
     sources = facts["derived"].where("scope_id = 'm'").groupBy(*KEY, "pos").agg(F.sort_array(F.collect_set(F.struct("src_table", "src_column"))).alias("sources"))
@@ -347,9 +354,8 @@ def query_outputs(queries: DataFrame) -> DataFrame:
     return (
         outputs.join(sources, [*KEY, "pos"], "left")
         .join(tables, KEY, "left")
-        .join(keyed.select(*KEY, "content_idx", "query_pos"), KEY)
         .select(
-            "script_id", "content_idx", "query_pos", (F.col("pos") - 1).cast("int").alias("pos"), "name",
+            "script_id", (F.col("pos") - 1).cast("int").alias("pos"), "name",
             F.coalesce("sources", F.array().cast("array<struct<src_table:string,src_column:string>>")).alias("sources"),
             F.coalesce("tables", F.array().cast("array<string>")).alias("tables"),
         )
@@ -389,8 +395,13 @@ def sql_lineage(scripts: DataFrame, strict: bool = False) -> dict[str, DataFrame
     Statements whose brackets don't balance, whose written table isn't found or that write in an unknown form are left out, and these and
     blocks whose FROM clause can't be read are named ``needs_parser`` in the warnings; those with table edges but no column edge
     are named ``no_column_lineage``. A script from which no table comes, or of which a statement needs a parser, is a failed
-    attempt, so that another engine is tried; what was found in it stays.
+    attempt, so that another engine is tried; what was found in it stays. Scripts with the same text are mined once.
     """
+    return by_text(scripts, lambda texts: _sql_lineage(texts, strict))
+
+
+def _sql_lineage(scripts: DataFrame, strict: bool) -> dict[str, DataFrame]:
+    """:func:`sql_lineage` of scripts each of which is mined."""
     statements = materialize(sql_statement_kind(sql_statements(dealt_out(scripts))))
     raw = sql_edges(statements)
     seq = F.col("stmt_idx").cast("long") * 1_000_000
