@@ -370,14 +370,19 @@ def datax_mask_vars(spark, sf_dir):
     return datax.datax_query_texts(query_sides(spark, sf_dir))
 
 
-def query_facts(spark, sf_dir):
-    s = query_sides(spark, sf_dir)
-    return s, materialize(resolve.query_outputs(datax.datax_query_texts(s)))
+def by_query_job(spark, sf_dir, take):
+    """``take`` of the sides and the queries' facts of jobs with queries, both written; jobs with the same text are read once."""
+
+    def over(texts):
+        s = materialize(datax.datax_sides(datax.datax_contents(datax.datax_parse(texts))))
+        return {"rows": take(s, materialize(resolve.query_outputs(datax.datax_query_texts(s))))}
+
+    return by_text(derived(spark, sf_dir, fixtures.DATAX_QUERY_JOBS), over)["rows"]
 
 
 @query(_Q + "SELECT script_id, 1 AS content_idx, 0 AS query_pos FROM o WHERE v < 2")
 def datax_first_query(spark, sf_dir):
-    return datax.datax_first_query(*query_facts(spark, sf_dir))
+    return by_query_job(spark, sf_dir, datax.datax_first_query)
 
 
 _SRC = "CASE v WHEN 0 THEN 'dock.t' || x WHEN 1 THEN 'dock.a' || x || ',dock.b' WHEN 2 THEN 's.t' || x WHEN 3 THEN 'quay.o' || x WHEN 4 THEN 'm' || x ELSE 'only' || x END"
@@ -413,8 +418,7 @@ UNION ALL SELECT script_id, 1, 1, 'port.cargo', 'tons', 'quay.tally', 'v' FROM o
 UNION ALL SELECT script_id, 1, 0, 'q' || x, 'a', 'yard.t', 'x' FROM o WHERE v = 1
 UNION ALL SELECT script_id, 1, 1, 'q' || x, 'one', 'yard.t', 'y' FROM o WHERE v = 1""")
 def datax_query_columns(spark, sf_dir):
-    s, facts = query_facts(spark, sf_dir)
-    return datax.datax_query_columns(datax.datax_resolved(s, facts))
+    return by_query_job(spark, sf_dir, lambda s, facts: datax.datax_query_columns(datax.datax_resolved(s, facts)))
 
 
 @query(_V + """SELECT script_id, 1 AS content_idx, 'width' AS code, 3 AS n, 1 AS m FROM o WHERE v = 2 UNION ALL SELECT script_id, 2, 'no_target', NULL, NULL FROM o WHERE v = 5
