@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineage_jobs import corpus, datax, graph, resolve
-from lineage_jobs.runtime import materialize
+from lineage_jobs.runtime import by_text, materialize
 from lineage_jobs.schemas import EDGE_PARTS, ENGINE_RANK
 
 PARTS = {"tables": ["id", "role", "ord"], "table_columns": ["tbl", "col", "ord"], "table_edges": ["source", "target", "seq"], "column_edges": [*EDGE_PARTS, "seq"]}
@@ -30,6 +30,12 @@ def foreign_graph(found: dict[str, DataFrame], strict: bool = False) -> dict[str
     return graph.normalize_graph(declared, found["table_edges"], found["column_edges"], strict) | {"warnings": found["warnings"], "attempts": attempts}
 
 
+def _answers(found: dict[str, DataFrame], place: str | None) -> dict[str, DataFrame]:
+    """``attempts`` of an engine and ``documents(script_id, graph)`` of its graphs."""
+    parts = [found[p].select("script_id", *cols) for p, cols in PARTS.items()]
+    return {"attempts": found["attempts"], "documents": corpus.graph_document(*parts, _coded(found, place))}
+
+
 def analyse_corpus(scripts: DataFrame, others: dict[str, dict[str, DataFrame]] | None = None, own: str = "sqlglot", strict: bool = False, ranks: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """``responses(script_id, ok, response)``, ``picks``, ``attempts`` and ``documents(script_id, graph)`` of a corpus.
 
@@ -41,24 +47,19 @@ def analyse_corpus(scripts: DataFrame, others: dict[str, dict[str, DataFrame]] |
     """
     cleaned = materialize(corpus.input_classify(corpus.input_clean(scripts)))
     usable = cleaned.where("reject_reason is null")
+    # documents of equal texts are equal: they are made once a text, and given to the scripts that chose their engine
     found = {
-        "datax": (datax.datax_lineage(usable.select("script_id", "text"), strict), "content_idx"),
-        own: (resolve.sql_lineage(usable.where("kind = 'sql'").select("script_id", "text"), strict), "stmt_idx"),
+        "datax": by_text(usable, lambda texts: _answers(datax.datax_lineage(texts, strict), "content_idx"), ["text"]),
+        own: by_text(usable.where("kind = 'sql'"), lambda texts: _answers(resolve.sql_lineage(texts, strict), "stmt_idx"), ["text"]),
     }
-    found |= {name: (foreign_graph(tables, strict), None) for name, tables in (others or {}).items()}
+    found |= {name: _answers(foreign_graph(tables, strict), None) for name, tables in (others or {}).items()}
     tried = []
-    for name, (tables, _) in found.items():
-        tried.append(tables["attempts"].select("script_id", F.lit(name).alias("engine"), F.lit((ranks or ENGINE_RANK)[name]).alias("engine_rank"), "ok", "message"))
+    for name, answers in found.items():
+        tried.append(answers["attempts"].select("script_id", F.lit(name).alias("engine"), F.lit((ranks or ENGINE_RANK)[name]).alias("engine_rank"), "ok", "message"))
     candidates = materialize(usable.select("script_id", "preference").join(reduce(DataFrame.unionByName, tried), "script_id"))
     picks = materialize(corpus.fallback_pick(candidates, ranks))
     attempts = corpus.attempt_log(candidates)
     chosen = picks.where("ok").select("script_id", "engine")
-
-    def of_chosen(part):
-        rows = reduce(DataFrame.unionByName, [part(name).withColumn("engine", F.lit(name)) for name in found])
-        return rows.join(chosen, ["script_id", "engine"]).drop("engine")
-
-    parts = {p: of_chosen(lambda name, p=p, cols=cols: found[name][0][p].select("script_id", *cols)) for p, cols in PARTS.items()}
-    warnings = of_chosen(lambda name: _coded(*found[name]))
-    documents = materialize(corpus.graph_document(parts["tables"], parts["table_columns"], parts["table_edges"], parts["column_edges"], warnings))
+    made = [answers["documents"].withColumn("engine", F.lit(name)) for name, answers in found.items()]
+    documents = materialize(reduce(DataFrame.unionByName, made).join(chosen, ["script_id", "engine"]).drop("engine"))
     return {"responses": corpus.response_envelope(cleaned, picks, attempts, documents), "picks": picks, "attempts": attempts, "documents": documents}
