@@ -4,14 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from lineage_jobs.components import connected_components
 from lineage_jobs.runtime import broadcast_if_small, materialize
 from lineage_jobs.schemas import EDGE_PARTS
 
 
+#: Scripts with up to so many edges, copies counted, are closed in one row each; larger ones by steps over all their edges at once.
+SMALL_SCRIPT = 200
+
+
 def _component_of_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """The nodes that undirected paths join to a seed. ``edges(src, dst)``, ``seeds(node)``; nodes are structs."""
+    large = materialize(edges.groupBy("src.script_id").count().where(F.col("count") > SMALL_SCRIPT).select("script_id"))
+    n = large.count()
+    if not n:
+        return _closed_by_row(edges, seeds)
+    few = broadcast_if_small(large.withColumn("large", F.lit(True)), n)
+    parted = lambda rows, node: rows.withColumn("script_id", F.col(node)["script_id"]).join(few, "script_id", "left").drop("script_id")
+    part = lambda rows, node, which: parted(rows, node).where(which).drop("large")
+    return _closed_by_row(part(edges, "src", "large is null"), part(seeds, "node", "large is null")).unionByName(
+        _closed_by_steps(part(edges, "src", "large"), part(seeds, "node", "large"))
+    )
+
+
+def _closed_by_row(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """:func:`_component_of_seeds` of scripts of few edges: each edge joins the components that it touches."""
+    kind = seeds.schema["node"].dataType
+    graphs = edges.groupBy(F.col("src.script_id").alias("script_id")).agg(F.collect_set(F.struct("src", "dst")).alias("links"))
+    wanted = seeds.groupBy(F.col("node.script_id").alias("script_id")).agg(F.collect_set("node").alias("seeds"))
+    touched = lambda c, e: F.array_contains(c, e["src"]) | F.array_contains(c, e["dst"])
+
+    def joined(parts, e):
+        met = F.flatten(F.filter(parts, lambda c: touched(c, e)))
+        return F.concat(F.filter(parts, lambda c: ~touched(c, e)), F.array(F.array_distinct(F.concat(met, F.array(e["src"], e["dst"])))))
+
+    parts = F.aggregate("links", F.array().cast(ArrayType(ArrayType(kind))), joined)
+    reached = F.flatten(F.filter(parts, lambda c: F.arrays_overlap(c, F.col("seeds"))))
+    every = F.when(F.col("links").isNull(), F.col("seeds")).otherwise(F.array_union(reached, F.col("seeds")))
+    return wanted.join(graphs, "script_id", "left").select(F.explode(every).alias("node"))
+
+
+def _closed_by_steps(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """:func:`_component_of_seeds` by joins, for scripts of any size."""
     scripts = materialize(seeds.select("node.script_id").distinct())  # scripts are graphs of their own
     few = broadcast_if_small(scripts, scripts.count())
     near = materialize(edges.withColumn("script_id", F.col("src.script_id")).join(few, "script_id", "left_semi").select("src", "dst").distinct())
